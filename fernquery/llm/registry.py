@@ -1,6 +1,7 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
+from fernquery.llm.mixing import op8_mixing
 from fernquery.llm.packing import op3_packing
 
-QUERIES = {"op3_packing": op3_packing}
+QUERIES = {"op3_packing": op3_packing, "op8_mixing": op8_mixing}
 ORACLES: dict[str, str] = {}
