@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fernquery.session import ship
+
 U64 = np.uint64
 _BASE = U64(0x9E3779B97F4A7C15 | 1)
 _BASE_INV = U64(pow(int(_BASE), -1, 1 << 64))
@@ -21,7 +23,7 @@ WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def cut(df: DataFrame) -> DataFrame:

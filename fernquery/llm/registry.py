@@ -1,7 +1,9 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
 from fernquery.llm.mixing import op8_mixing
+from fernquery.llm.nearcopies import op9_nearcopies
 from fernquery.llm.packing import op3_packing
+from fernquery.llm.quality import op7_quality
 
-QUERIES = {"op3_packing": op3_packing, "op8_mixing": op8_mixing}
+QUERIES = {"op3_packing": op3_packing, "op7_quality": op7_quality, "op8_mixing": op8_mixing, "op9_nearcopies": op9_nearcopies}
 ORACLES: dict[str, str] = {}
