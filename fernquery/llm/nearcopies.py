@@ -205,21 +205,28 @@ def verify(pairs: DataFrame, items: DataFrame, similarity: float) -> DataFrame:
     return both.mapInArrow(run, "a long, b long, similarity double")
 
 
+def few(df: DataFrame, rows: int, each: int = 50_000) -> DataFrame:
+    """df in no more partitions than its number of rows is worth, so that small tables don't make many small files."""
+    return df.coalesce(max(2, rows // each + 1))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, label (the least node of its component) for every node of an edge (a, b)."""
     now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
-    seen = None
+    seen, rows = None, edges.count()
     while True:
+        now = few(now, rows)
         count = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if count == seen or not count[0]:
             break
         seen = count
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").filter("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = few(large, rows).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        now = cut(small.filter("u <> v").distinct())
+        now = cut(few(small.filter("u <> v"), rows).distinct())
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct()
 
 
@@ -232,19 +239,23 @@ def classes(docs: DataFrame, near: Near = Near()) -> DataFrame:
     member = texts.select("node", F.explode("bands").alias("bucket"))
     shared = member.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1")
     buckets = cut(member.join(shared, "bucket").select("bucket", "node", "leader"))
+    n = buckets.count()
+    buckets = few(buckets, n)
     wanted = texts.join(buckets.select("node").distinct(), "node", "left_semi").select("text_key", "node")
     source = docs.select(_text_key().alias("text_key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     least = texts.select("text_key", F.col("least_id").alias("own"))
     # one row of each text: that of its least id; equal rows that are left make equal multisets and are merged
-    held = source.join(wanted.join(least, "text_key"), "text_key").filter(F.col("doc_id").eqNullSafe(F.col("own")))
+    held = source.join(few(wanted, n).join(least, "text_key"), "text_key").filter(F.col("doc_id").eqNullSafe(F.col("own")))
     items = cut(multisets(held, near).dropDuplicates(["node"]))
+    items = few(items, n, 20_000)
 
-    known = verified_pairs(buckets.select(F.col("node").alias("a"), F.col("leader").alias("b")), None, items, near)
+    known = few(verified_pairs(buckets.select(F.col("node").alias("a"), F.col("leader").alias("b")), None, items, near, n), n)
     for step in range(3):
         labels = components(known.filter(F.col("similarity") >= near.similarity).select("a", "b"))
         labelled = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        labelled = few(labelled, n)
         mixed = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("bucket")
-        open_ = cut(labelled.join(mixed, "bucket", "left_semi"))
+        open_ = few(cut(labelled.join(mixed, "bucket", "left_semi")), n)
         if open_.isEmpty():
             break
         if step == 0:
@@ -257,18 +268,19 @@ def classes(docs: DataFrame, near: Near = Near()) -> DataFrame:
         else:
             other = open_.select("bucket", F.col("node").alias("b"), F.col("label").alias("label_b"))
             pairs = open_.join(other, "bucket").filter("label < label_b").select(F.col("node").alias("a"), "b")
-        known = cut(known.unionByName(verified_pairs(pairs, known, items, near)))
+        more = verified_pairs(few(pairs, n), known, items, near, n)
+        known = few(cut(known.unionByName(few(more, n))), n)
     labels = components(known.filter(F.col("similarity") >= near.similarity).select("a", "b"))
     named = texts.join(labels, "node", "left").select("text_key", F.coalesce("label", "node").alias("label"), "least_id", "copies")
     heads = named.groupBy("label").agg(F.min("least_id").alias("class_id"), F.sum("copies").alias("class_size"), F.count("*").alias("class_texts"))
     return rows.select("doc_id", "text_key").join(named.join(heads, "label").select("text_key", "class_id", "class_size", "class_texts"), "text_key")
 
 
-def verified_pairs(pairs: DataFrame, known: DataFrame | None, items: DataFrame, near: Near) -> DataFrame:
+def verified_pairs(pairs: DataFrame, known: DataFrame | None, items: DataFrame, near: Near, rows: int) -> DataFrame:
     fresh = pairs.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     if known is not None:
         fresh = fresh.join(known.select("a", "b"), ["a", "b"], "left_anti")
-    return cut(verify(fresh, items, near.similarity))
+    return cut(verify(few(fresh, rows), items, near.similarity))
 
 
 def keep_one(docs: DataFrame, near: Near = Near()) -> DataFrame:
