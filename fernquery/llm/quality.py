@@ -113,7 +113,7 @@ def features(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def all_features(texts: pa.Array) -> np.ndarray:
     data, at = utf8(texts)
-    parts = [features(data[at[a] : at[b]], at[a : b + 1] - at[a]) for a, b in slices(len(at) - 1, at)]
+    parts = [features(data[at[a] : at[b]], at[a : b + 1] - at[a]) for a, b in slices(len(at) - 1, at, 1 << 21)]
     return np.concatenate(parts) if parts else features(data, at)
 
 
