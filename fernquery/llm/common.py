@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -119,6 +121,14 @@ def slices(rows: int, at: np.ndarray, most: int = 1 << 23) -> list[tuple[int, in
     return out
 
 
+def runs_of(batches: Iterator[pa.RecordBatch], column: int, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """The batches cut into runs of rows with at most `most` bytes of text in `column`, to bound the arrays."""
+    for b in batches:
+        _, at = utf8(b.column(column))
+        for lo, hi in slices(b.num_rows, at, most):
+            yield b.slice(lo, hi - lo)
+
+
 def crc_of_id(name: str = "doc_id"):
     """crc32 of an id as text; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary"))

@@ -23,7 +23,6 @@ doc_id and text don't take part, whatever their names.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernquery.llm.common import RangeHash, cut, mix64, slices, table, utf8
+from fernquery.llm.common import RangeHash, cut, mix64, runs_of, slices, table, utf8
 
 U64 = np.uint64
 LATE = (1 << 63) - 1
@@ -120,8 +119,7 @@ def cut_blocks(docs: DataFrame, rule: Repeats) -> DataFrame:
                 if len(k):
                     yield from _ranges(owner[k], start[k], n[k])
 
-    slim = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LATE)).alias("at_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return slim.mapInArrow(run, ROWS)
+    return _texts(docs).mapInArrow(run, ROWS)
 
 
 def _ranges(owner: np.ndarray, start: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -186,7 +184,7 @@ def window_bytes(leads: DataFrame, docs: DataFrame, rule: Repeats) -> DataFrame:
     """The bytes that the leads' windows cover: h, away, at_id, start, bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in runs_of(batches, 1):
             data, at = utf8(b.column(1))
             lists = b.column(2)
             row = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
@@ -203,8 +201,12 @@ def window_bytes(leads: DataFrame, docs: DataFrame, rule: Repeats) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(h[lo:hi]), pa.array(away[lo:hi]), pa.array(ids[lo:hi]), pa.array(start[lo:hi]), held[lo:hi]], names=["h", "away", "at_id", "start", "bytes"])
 
     by_doc = leads.groupBy("at_id").agg(F.collect_list(F.struct("h", "start", "n", "away")).alias("leads"))
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LATE)).alias("at_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return keyed.join(by_doc, "at_id").select("at_id", "text", "leads").mapInArrow(run, "h long, away int, at_id long, start long, bytes binary")
+    return _texts(docs).join(by_doc, "at_id").select("at_id", "text", "leads").mapInArrow(run, "h long, away int, at_id long, start long, bytes binary")
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    """at_id, text: the same columns wherever texts are joined, so that one exchange of them serves all joins of a plan."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LATE)).alias("at_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
 def compare_windows(held: DataFrame, rule: Repeats) -> DataFrame:
@@ -293,7 +295,8 @@ def repeated_starts(docs: DataFrame, rule: Repeats = Repeats()) -> DataFrame:
     """at_id, start, n: ranges of window starts whose windows start earlier too."""
     first = cut(decide(cut_blocks(docs, rule)))
     leads = first.filter("away >= 0")
-    second = cut(compare_windows(window_bytes(leads, docs, rule), rule))
+    # not cut: the texts' exchange is then part of the final plan and used again there
+    second = compare_windows(window_bytes(leads, docs, rule), rule)
     third = decide(second.filter("away >= 0"), all_leads=False)
     ranges = first.filter("away = -1").unionByName(second.filter("away = -1")).unionByName(third.filter("away = -1"))
     return ranges.select("at_id", "start", "n")
@@ -303,7 +306,7 @@ def dedup(docs: DataFrame, rule: Repeats = Repeats()) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the bytes that stay) and spans (start, end) of every row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in runs_of(batches, 1):
             data, at = utf8(b.column(1))
             lists = b.column(2).fill_null([]) if b.column(2).null_count else b.column(2)
             row = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
@@ -330,17 +333,13 @@ def dedup(docs: DataFrame, rule: Repeats = Repeats()) -> DataFrame:
             text = [kept[ends[k] : ends[k + 1]].tobytes() for k in range(b.num_rows)]
             pairs = [np.stack([s2[bounds[k] : bounds[k + 1]], e2[bounds[k] : bounds[k + 1]]], axis=1).reshape(-1).tolist() for k in range(b.num_rows)]
             ids = b.column(0)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(at)), pa.array(removed), pa.array(spans.astype(np.int64)), pa.array(text, type=pa.binary()), pa.array(pairs, type=pa.list_(pa.int64()))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "spans"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(at)), pa.array(removed), pa.array(spans.astype(np.int64)), pa.array(text, type=pa.binary()), pa.array(pairs, type=pa.list_(pa.int64()))], names=["at_id", "n_bytes", "n_removed", "n_spans", "kept", "spans"])
 
     by_doc = repeated_starts(docs, rule).groupBy("at_id").agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LATE)).alias("at_id"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return keyed.join(by_doc, "at_id", "left").select("doc_id", "text", "ranges").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<long>")
+    done = _texts(docs).join(by_doc, "at_id", "left").select("at_id", "text", "ranges").mapInArrow(run, "at_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<long>")
+    return done.select(F.when(F.col("at_id") != LATE, F.col("at_id")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept", "spans")
 
 
 def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = dedup(table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
-
-
-def sha256(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()
