@@ -110,7 +110,7 @@ def word_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return start, end, np.diff(np.searchsorted(start, at))
 
 
-def slices(rows: int, at: np.ndarray, most: int = 1 << 23) -> list[tuple[int, int]]:
+def slices(rows: int, at: np.ndarray, most: int = 1 << 21) -> list[tuple[int, int]]:
     """Cut rows into runs of at most `most` bytes (a longer row stands alone), to bound the arrays."""
     out, low = [], 0
     while low < rows:

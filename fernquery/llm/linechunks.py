@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernquery.llm.common import DIGITS, RangeHash, cut, mix64, slices, table, utf8
+from fernquery.llm.common import DIGITS, RangeHash, cut, mix64, runs_of, slices, table, utf8
 
 U64 = np.uint64
 LATE = (1 << 63) - 1
@@ -88,7 +88,7 @@ def _each(column: pa.Array, rule: Lines) -> Iterator[tuple[np.ndarray, ...]]:
 
 def slim_chunks(docs: DataFrame, rule: Lines) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in runs_of(batches, 2):
             for row, place, start, end, lines, data in _each(b.column(2), rule):
                 many = lines > 1
                 take = pa.array(row[many])
@@ -102,7 +102,7 @@ def fetch(wanted: DataFrame, docs: DataFrame, rule: Lines) -> DataFrame:
     """The bytes of the chunks in wanted (at_id, text_key, places)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in runs_of(batches, 2):
             places = [set(x) for x in b.column(3).to_pylist()]
             rows, at, got = [], [], []
             for row, place, start, end, _, data in _each(b.column(2), rule):
@@ -144,7 +144,7 @@ def dedup(docs: DataFrame, rule: Lines = Lines(), counts: bool = False) -> DataF
     schema = StructType([*flat.schema.fields[:-1], StructField("n_lines", LongType()), StructField("n_removed", LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in runs_of(batches, at):
             n = b.num_rows
             gone = [set(x) for x in b.column(len(columns)).to_pylist()]
             texts, n_lines, n_gone = b.column(at).to_pylist(), np.zeros(n, np.int64), np.zeros(n, np.int64)
