@@ -30,7 +30,7 @@ def sign_bytes(v: Column) -> Column:
     n = F.size(v)
     return F.transform(
         F.sequence(F.lit(0), F.ceil(n / 8).cast("int") - 1),
-        lambda k: F.aggregate(F.sequence(F.lit(0), F.lit(7)), F.lit(0), lambda s, i: s + F.when(F.get(v, k * 8 + i) >= 0, F.shiftleft(F.lit(1), i)).otherwise(0)),
+        lambda k: F.aggregate(F.sequence(F.lit(0), F.lit(7)), F.lit(0), lambda s, i: s + F.when(F.get(v, k * 8 + i) >= 0, F.get(F.array(*[F.lit(1 << b) for b in range(8)]), i)).otherwise(0)),
     )
 
 

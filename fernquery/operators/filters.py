@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from fernquery.functions import analyzer
 
-TAG_CHARS = r"[\p{L}\p{N}\p{M}\p{So}_/\-\x{2000}-\x{206F}]"
+TAG_CHARS = r"[\p{L}\p{N}\p{M}\p{So}_/\-\u2000-\u206F]"
 _NEGATED = regex.compile(r"(?:^|(?<=\s))-(\S+)")
 _INLINE = regex.compile(
     rf"\[(?P<ckey>{TAG_CHARS}+)\s*(?::\s*)?(?P<op>[<>=])\s*(?P<cval>[^\]]+?)\s*\]"
@@ -180,6 +180,20 @@ def has_tag(tags: Column, wanted: str) -> Column:
     return F.exists(tags, lambda t: (F.lower(t) == low) | F.lower(t).startswith(low + "/"))
 
 
+def _binds(wanted: Column, exact: bool):
+    return lambda v: bind_form(v) == wanted if exact else F.contains(bind_form(v), wanted)
+
+
+def _compares(op: str, value: float):
+    """`>` and `<` include the bound."""
+
+    def test(v: Column) -> Column:
+        x = as_number(v)
+        return F.coalesce(x >= value if op == ">" else x <= value if op == "<" else x == value, F.lit(False))
+
+    return test
+
+
 def compile_filters(f: Filters, tags: str = "tags", path: str = "note_path", properties: str = "properties", date: Column | None = None) -> Column:
     """All kinds and together; tags and paths or among themselves. `date` is the chunk's epoch in milliseconds."""
     if f.mismatch:
@@ -192,10 +206,9 @@ def compile_filters(f: Filters, tags: str = "tags", path: str = "note_path", pro
     for key, value in f.properties.items():
         exact = len(value) > 1 and value[0] == value[-1] == '"'
         wanted = bind_form(F.lit(value[1:-1] if exact else value))
-        parts.append(F.exists(lookup(F.col(properties), key), lambda v, w=wanted, e=exact: bind_form(v) == w if e else F.contains(bind_form(v), w)))
+        parts.append(F.exists(lookup(F.col(properties), key), _binds(wanted, exact)))
     for key, op, value in f.numeric:
-        test = {">": lambda x, n=value: x >= n, "<": lambda x, n=value: x <= n, "=": lambda x, n=value: x == n}[op]
-        parts.append(F.exists(lookup(F.col(properties), key), lambda v, t=test: F.coalesce(t(as_number(v)), F.lit(False))))
+        parts.append(F.exists(lookup(F.col(properties), key), _compares(op, value)))
     if f.after:
         parts.append((date if date is not None else F.lit(None).cast("long")) >= date_ms(f.after))
     if f.before:

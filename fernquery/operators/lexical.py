@@ -30,8 +30,10 @@ def field_terms(chunks: DataFrame, fields: list[str]) -> DataFrame:
     """chunk_id, field, term: a row for each indexed occurrence; one pass over the chunks."""
     texts = F.array(*[F.struct(F.lit(f).alias("field"), F.coalesce(F.col(f), F.lit("")).alias("text")) for f in fields])
     rows = chunks.select("chunk_id", F.explode(texts).alias("t")).select("chunk_id", "t.field", F.explode(analyzer.tokens(F.col("t.text"))).alias("token"))
-    term = F.when(F.col("field").isin(*NAME_FIELDS), analyzer.term(F.col("token"), True)).otherwise(analyzer.term(F.col("token")))
-    return rows.select("chunk_id", "field", term.alias("term")).filter("term IS NOT NULL AND term <> ''")
+    # folded in a step of its own: the plural rules use it many times
+    folded = rows.select("chunk_id", "field", analyzer.fold(F.col("token")).alias("folded"))
+    kept = folded.filter(F.col("field").isin(*NAME_FIELDS) | ~F.col("folded").isin(analyzer.STOPWORDS))
+    return kept.select("chunk_id", "field", analyzer.singular(F.col("folded")).alias("term")).filter("term <> ''")
 
 
 def postings(chunks: DataFrame, fields: list[str]) -> DataFrame:

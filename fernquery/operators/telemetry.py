@@ -26,8 +26,8 @@ def milestones(errors: DataFrame, message: str, at: list[str]) -> DataFrame:
 
 def overlaps(spans: DataFrame, tasks: DataFrame, slot: int = 3600) -> DataFrame:
     """For each task (task_id, start, end) the span (context, start, end) with the largest overlap, later start on ties; an open span never ends.
-    Both are dealt into time slots, so the range join is an equi-join; numbers are seconds."""
-    last = F.coalesce("end", F.lit(1 << 40))
+    Both are dealt into time slots, so the range join is an equi-join; slot is in the unit of the numbers."""
+    last = F.coalesce("end", F.lit((1 << 62)))
     top = tasks.agg(F.max("end").alias("hi"))
     cut = F.least(last, F.col("hi"))
     a = spans.crossJoin(F.broadcast(top)).filter("start <= hi").select("context", F.col("start").alias("s"), last.alias("e"), F.explode(F.sequence(F.floor(F.col("start") / slot), F.floor(F.greatest(cut, F.col("start")) / slot))).alias("slot"))

@@ -1,12 +1,569 @@
-"""Every registered query of the engine with its DuckDB equivalent."""
+"""Every registered query of the engine with its DuckDB equivalent. Floats are rounded to six digits on both sides."""
+
+from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from fernquery.functions import analyzer, notes
+from fernquery.operators import dense, filters, lexical, maintenance, ranking, telemetry
+from fernquery.plans import search
+from fernquery.session import ship
+from fernquery.sources.tables import note_chunks, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+QUERY = "ther attion onnt"
+NOW_MS = 1_735_689_600_000  # 2025-01-01, a fixed reference time
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = lambda spark, sf_dir: f(ship(spark), sf_dir)
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def r6(c: Column | str) -> Column:
+    return F.round(F.col(c) if isinstance(c, str) else c, 6)
+
+
+def _quoted(words) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
+_IRREGULAR = " ".join(f"WHEN t = '{a}' THEN '{b}'" for a, b in analyzer.IRREGULAR.items())
+SINGULAR_SQL = f"""CASE WHEN length(t) <= 3 THEN t {_IRREGULAR} WHEN t IN ({_quoted(analyzer.SINGULAR_IN_S)}) THEN t
+ WHEN t LIKE '%ies' AND length(t) > 4 THEN CASE WHEN t[:-2] IN ({_quoted(analyzer.NOUNS_IN_IE)}) THEN t[:-2] ELSE t[:-4] || 'y' END
+ WHEN t LIKE '%sses' THEN t[:-3]
+ WHEN (t LIKE '%ches' OR t LIKE '%shes' OR t LIKE '%xes' OR t LIKE '%zes' OR t LIKE '%ses') AND length(t) > 4 THEN t[:-3]
+ WHEN t LIKE '%s' AND NOT (t LIKE '%ss' OR t LIKE '%us' OR t LIKE '%is' OR t LIKE '%os') THEN t[:-2] ELSE t END"""
+SPLIT_SQL = "[\\n\\r\\p{Z}\\p{P}\\p{Sm}]+"
+TITLE_SQL = "array_to_string(regexp_split_to_array(text, '[ \\n]+')[1:4], ' ')"
+CHUNKS_SQL = f"""chunks AS (SELECT doc_id, lpad(CAST(doc_id AS VARCHAR), 12, '0') chunk_id, source || '/' || lang || '/' || doc_id || '.md' note_path, {TITLE_SQL} title,
+ lang, source, text content, n_chars, quality, toxic FROM documents LEFT JOIN labels USING (doc_id))"""
+
+
+def terms_sql(column: str, key: str, source: str, keep: bool = False, name: str = "terms") -> str:
+    stop = "" if keep else f" WHERE t NOT IN ({_quoted(analyzer.STOPWORDS)})"
+    return f"""{name} AS (SELECT {key}, {SINGULAR_SQL} term FROM (SELECT {key}, strip_accents(lower(w)) t FROM
+ (SELECT {key}, unnest(regexp_split_to_array({column}, '{SPLIT_SQL}')) w FROM {source}) WHERE w <> ''){stop})"""
+
+
+CONTENT_TERMS = terms_sql("text", "doc_id", "documents")
+
+
+def content_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
+    return lexical.postings(d, ["content"])
+
+
+def content_index(spark: SparkSession, sf_dir: str) -> lexical.Index:
+    posts = content_posts(spark, sf_dir)
+    return lexical.Index(posts, lexical.lengths(posts), read(spark, sf_dir, "documents").count())
+
+
+# Analyzer
+
+
+@query("tokenize_terms", f"WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(text, '{SPLIT_SQL}')) w FROM documents) SELECT doc_id, count(*) n_tokens, count(DISTINCT w) n_distinct FROM w WHERE w <> '' GROUP BY doc_id")
+def _(spark, sf):
+    d = read(spark, sf, "documents").select("doc_id", analyzer.tokens(F.col("text")).alias("t"))
+    return d.filter(F.size("t") > 0).select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"))
+
+
+@query("stoplist_filter", f"WITH w AS (SELECT lower(unnest(regexp_split_to_array(text, '{SPLIT_SQL}'))) w FROM documents) SELECT w AS word, count(*) n FROM w WHERE w IN ({_quoted(analyzer.STOPWORDS)}) GROUP BY 1")
+def _(spark, sf):
+    w = read(spark, sf, "documents").select(F.explode(analyzer.tokens(F.col("text"))).alias("w")).select(F.lower("w").alias("word"))
+    return w.filter(F.col("word").isin(analyzer.STOPWORDS)).groupBy("word").agg(F.count("*").alias("n"))
+
+
+@query("depluralize_terms", f"WITH w AS (SELECT DISTINCT strip_accents(lower(w)) t FROM (SELECT unnest(regexp_split_to_array(text, '{SPLIT_SQL}')) w FROM documents) WHERE w <> '') SELECT t AS folded, {SINGULAR_SQL} singular FROM w WHERE t LIKE '%s'")
+def _(spark, sf):
+    w = read(spark, sf, "documents").select(F.explode(analyzer.tokens(F.col("text"))).alias("w")).select(analyzer.fold(F.col("w")).alias("folded")).distinct()
+    return w.filter(F.col("folded").endswith("s")).select("folded", analyzer.singular(F.col("folded")).alias("singular"))
+
+
+@query("df_by_term", f"WITH {CONTENT_TERMS} SELECT term, count(DISTINCT doc_id) df, count(*) tf FROM terms GROUP BY term")
+def _(spark, sf):
+    return content_posts(spark, sf).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+
+
+@query("avg_doc_len", f"WITH {CONTENT_TERMS} SELECT round(count(*) / (SELECT count(*) FROM documents), 6) avg_len, count(DISTINCT doc_id) n_docs FROM terms")
+def _(spark, sf):
+    lens = lexical.lengths(content_posts(spark, sf))
+    total = read(spark, sf, "documents").agg(F.count("*").alias("n"))
+    return lens.agg(F.sum("len").alias("s"), F.count("*").alias("n_docs")).crossJoin(total).select(r6(F.col("s") / F.col("n")).alias("avg_len"), "n_docs")
+
+
+@query("term_doc_fraction", f"WITH {CONTENT_TERMS} SELECT term, round(count(DISTINCT doc_id) / (SELECT count(*) FROM documents), 6) share FROM terms GROUP BY term HAVING count(DISTINCT doc_id) >= 10")
+def _(spark, sf):
+    n = read(spark, sf, "documents").agg(F.count("*").alias("n"))
+    return content_posts(spark, sf).groupBy("term").agg(F.count("*").alias("df")).filter("df >= 10").crossJoin(n).select("term", r6(F.col("df") / F.col("n")).alias("share"))
+
+
+@query("camel_and_glue_tokens")
+def _(spark, sf):
+    d = read(spark, sf, "part").select("p_partkey", F.concat_ws(" ", "p_name", F.initcap("p_type"), "p_brand", F.lit("GPT-4 camelCaseWord U.S.A")).alias("text"))
+    return d.select("p_partkey", F.array_join(analyzer.tokenize_udf()(F.col("text")), " ").alias("terms"))
+
+
+# Lexical ranking
+
+TERMS = analyzer.query_terms(QUERY)
+SCORES_SQL = f"""{CONTENT_TERMS}, tf AS (SELECT doc_id, term, count(*) tf FROM terms GROUP BY ALL), len AS (SELECT doc_id, count(*) len FROM terms GROUP BY doc_id),
+ n AS (SELECT count(*) n FROM documents), al AS (SELECT sum(len) / (SELECT n FROM n) al FROM len), df AS (SELECT term, count(*) df FROM tf WHERE term IN ({_quoted(TERMS)}) GROUP BY term),
+ part AS (SELECT doc_id, term, 3.0::DOUBLE * ln(1 + (n - df + 0.5) / (df + 0.5)) * (0.5 + tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / al))) s FROM tf JOIN df USING (term) JOIN len USING (doc_id), n, al)"""
+
+
+@query("bm25_top10", f"WITH {SCORES_SQL} SELECT doc_id AS chunk_id, round(sum(s), 6) score, count(DISTINCT term) matched FROM part GROUP BY doc_id ORDER BY sum(s) DESC, doc_id LIMIT 10")
+def _(spark, sf):
+    s = content_index(spark, sf).scores(lexical.query_frame(spark, QUERY))
+    return ranking.top(s, "score", 10, "chunk_id").select("chunk_id", r6("score").alias("score"), "matched")
+
+
+@query("bm25_coverage", f"WITH {SCORES_SQL} SELECT doc_id AS chunk_id, round(sum(s) * pow(least(1.0, count(DISTINCT term) / (SELECT count(*) FROM df)), 2), 6) score FROM part GROUP BY doc_id")
+def _(spark, sf):
+    index = content_index(spark, sf)
+    asked = lexical.query_frame(spark, QUERY)
+    known = index.posts.join(F.broadcast(asked.select("term").distinct()), "term", "left_semi").agg(F.countDistinct("term").alias("k"))
+    s = index.scores(asked).crossJoin(F.broadcast(known))
+    return s.select("chunk_id", r6(F.col("score") * F.pow(F.least(F.lit(1.0), F.col("matched") / F.col("k")), F.lit(2.0))).alias("score"))
+
+
+@query("bm25_bound", f"WITH {SCORES_SQL}, best AS (SELECT term, max(s) b FROM part GROUP BY term) SELECT round(sum(b), 6) bound FROM best")
+def _(spark, sf):
+    return content_index(spark, sf).bound(lexical.query_frame(spark, QUERY)).select(r6("bound").alias("bound"))
+
+
+_MULTI = ["title", "content", "tags_text"]
+MULTI_SQL = f"""{CHUNKS_SQL}, {terms_sql("title", "chunk_id", "chunks", True, "tt")}, {terms_sql("content", "chunk_id", "chunks", False, "ct")}, {terms_sql("lang || ' src/' || source", "chunk_id", "chunks", False, "gt")},
+ occ AS (SELECT 'title' field, 10.0::DOUBLE boost, * FROM tt UNION ALL SELECT 'content', 3.0, * FROM ct UNION ALL SELECT 'tags', 3.0, * FROM gt),
+ tf AS (SELECT field, boost, chunk_id, term, count(*) tf FROM occ GROUP BY ALL), len AS (SELECT field, chunk_id, count(*) len FROM occ GROUP BY ALL), n AS (SELECT count(*) n FROM chunks),
+ al AS (SELECT field, sum(len) / (SELECT n FROM n) al FROM len GROUP BY field), df AS (SELECT field, term, count(*) df FROM tf WHERE term IN ({_quoted(TERMS)}) GROUP BY ALL),
+ part AS (SELECT chunk_id, term, boost * ln(1 + (n - df + 0.5) / (df + 0.5)) * (0.5 + tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / al))) s FROM tf JOIN df USING (field, term) JOIN len USING (field, chunk_id) JOIN al USING (field), n)"""
+
+
+@query("multi_field_bm25", f"WITH {MULTI_SQL} SELECT chunk_id, round(sum(s), 6) score, count(DISTINCT term) matched FROM part GROUP BY chunk_id ORDER BY sum(s) DESC, chunk_id LIMIT 50")
+def _(spark, sf):
+    chunks = note_chunks(spark, sf).withColumn("tags", F.array_join("tags", " "))
+    s = lexical.Index.build(chunks, ["title", "content", "tags"]).scores(lexical.query_frame(spark, QUERY))
+    return ranking.top(s, "score", 50, "chunk_id").select("chunk_id", r6("score").alias("score"), "matched")
+
+
+@query("prefix_expand", f"WITH {CONTENT_TERMS}, v AS (SELECT DISTINCT term FROM terms) SELECT term, round(0.375 * 4 / length(term), 6) weight FROM v WHERE starts_with(term, 'onnt') AND length(term) > 4")
+def _(spark, sf):
+    return lexical.prefix_terms(content_posts(spark, sf).select("term").distinct(), "onnt").select("term", r6("weight").alias("weight"))
+
+
+@query("fuzzy_expand", f"WITH {CONTENT_TERMS}, v AS (SELECT DISTINCT term FROM terms), q AS (SELECT * FROM (VALUES ('ther', 1), ('attion', 2), ('onnt', 1)) q(source, allowed)) SELECT source, term, levenshtein(term, source) edits FROM v, q WHERE term <> source AND abs(length(term) - length(source)) <= allowed AND levenshtein(term, source) <= allowed")
+def _(spark, sf):
+    return lexical.fuzzy_terms(content_posts(spark, sf).select("term").distinct(), TERMS).select("source", "term", F.col("edits").cast("long").alias("edits"))
+
+
+@query("synonym_mates", """WITH m AS (SELECT DISTINCT p_partkey // 2 class_id, unnest(string_split(p_name, ' ')) || (p_partkey // 4) token FROM part), c AS (SELECT token FROM m GROUP BY token HAVING count(DISTINCT class_id) = 1), e AS (SELECT m.* FROM m JOIN c USING (token))
+ SELECT DISTINCT a.token AS source, b.token AS mate, 0.8 AS weight FROM e a JOIN e b USING (class_id) WHERE a.token <> b.token""")
+def _(spark, sf):
+    word = F.explode(F.split("p_name", " "))
+    m = read(spark, sf, "part").select(F.expr("p_partkey div 2").alias("class_id"), F.expr("p_partkey div 4").cast("string").alias("k"), word.alias("w"))
+    return lexical.synonyms(m.select("class_id", F.concat("w", "k").alias("token")))
+
+
+# Dense
+
+Q0 = "(SELECT embedding::DOUBLE[] q FROM embeddings WHERE vec_id = 0)"
+COS_SQL = f"e AS (SELECT vec_id, embedding::DOUBLE[] v FROM embeddings), s AS (SELECT vec_id, list_dot_product(v, q) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(q, q))) c FROM e, {Q0})"
+
+
+def _vector(spark, sf) -> list[float]:
+    return read(spark, sf, "embeddings").filter("vec_id = 0").select("embedding").first()[0]
+
+
+@query("cosine_top10", f"WITH {COS_SQL} SELECT vec_id, round(c, 6) score FROM s ORDER BY c DESC, vec_id LIMIT 10")
+def _(spark, sf):
+    return dense.nearest(read(spark, sf, "embeddings"), _vector(spark, sf), 10).select("vec_id", r6("score").alias("score"))
+
+
+@query("asymmetric_top200", f"SELECT vec_id, round(s, 6) score FROM (SELECT vec_id, list_dot_product(q, list_transform(embedding::DOUBLE[], lambda x: CASE WHEN x >= 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END)) s FROM embeddings, {Q0}) ORDER BY s DESC, vec_id LIMIT 200")
+def _(spark, sf):
+    return dense.nearest(read(spark, sf, "embeddings"), _vector(spark, sf), 200, tier="sign").select("vec_id", r6("score").alias("score"))
+
+
+@query("sign_bits_pack", "SELECT vec_id, array_to_string(list_transform(range(8), lambda k: CAST(list_sum(list_transform(range(8), lambda i: CASE WHEN embedding[k * 8 + i + 1] >= 0 THEN 1 << i ELSE 0 END)) AS BIGINT)), ',') bits FROM embeddings")
+def _(spark, sf):
+    return read(spark, sf, "embeddings").select("vec_id", F.array_join(dense.sign_bytes(F.col("embedding")).cast("array<string>"), ",").alias("bits"))
+
+
+_INT8 = "m AS (SELECT vec_id, embedding::DOUBLE[] v, list_max(list_transform(embedding::DOUBLE[], lambda x: abs(x))) / 127 s FROM embeddings), q8 AS (SELECT vec_id, v, s, list_transform(v, lambda x: CAST(floor(x * (1 / s) + 0.5) AS BIGINT)) q FROM m)"
+
+
+@query("int8_quantize", f"WITH {_INT8} SELECT vec_id, round(s, 6) s, array_to_string(q, ',') q FROM q8")
+def _(spark, sf):
+    v = F.col("embedding")
+    return read(spark, sf, "embeddings").select("vec_id", r6(dense.scale(v)).alias("s"), F.array_join(dense.quantise(v).cast("array<string>"), ",").alias("q"))
+
+
+@query("int8_rerank", f"WITH {_INT8}, d AS (SELECT vec_id, list_transform(q, lambda x: x * s) w FROM q8), c AS (SELECT vec_id, list_dot_product(w, q) / (sqrt(list_dot_product(w, w)) * sqrt(list_dot_product(q, q))) c FROM d, {Q0}) SELECT vec_id, round(c, 6) score FROM c ORDER BY c DESC, vec_id LIMIT 20")
+def _(spark, sf):
+    return dense.nearest(read(spark, sf, "embeddings"), _vector(spark, sf), 20, tier="int8").select("vec_id", r6("score").alias("score"))
+
+
+@query("bg_mean_closed_form", "WITH d AS (SELECT unnest(range(64)) i), s AS (SELECT i, sum(embedding[i + 1]::DOUBLE) s FROM embeddings, d GROUP BY i), n AS (SELECT count(*) n FROM embeddings) SELECT n, round((sum(s * s) / n - 1) / (n - 1), 6) mean FROM s, n GROUP BY n")
+def _(spark, sf):
+    return dense.background_mean(read(spark, sf, "embeddings")).select("n", r6("mean").alias("mean"))
+
+
+@query("bg_std_sampled")
+def _(spark, sf):
+    return dense.background_deviation(read(spark, sf, "embeddings")).select(r6("deviation").alias("deviation"))
+
+
+@query("dense_norm", f"WITH {COS_SQL} SELECT vec_id, round(least(1.0, greatest(0.0, (c + 1) / 2)), 6) n FROM s")
+def _(spark, sf):
+    q = F.array(*[F.lit(float(x)) for x in _vector(spark, sf)])
+    return read(spark, sf, "embeddings").select("vec_id", r6(dense.dense_norm(dense.cosine(q, F.col("embedding")))).alias("n"))
+
+
+@query("match_strength", f"WITH {COS_SQL} SELECT vec_id, round(least(1.0, greatest(0.0, 0.85 / (1 + exp(-((c - 0.1) / 0.2 - 2.0) / 0.9)) + 0.15 * (vec_id % 10) / 10)), 6) strength FROM s")
+def _(spark, sf):
+    q = F.array(*[F.lit(float(x)) for x in _vector(spark, sf)])
+    p = dense.confidence(dense.cosine(q, F.col("embedding")), F.lit(0.1), F.lit(0.2))
+    return read(spark, sf, "embeddings").select("vec_id", r6(dense.match_strength(p, F.col("vec_id") % 10 / 10, F.lit(False))).alias("strength"))
+
+
+@query("pool_caps", "SELECT n, CAST(CASE WHEN n <= 5000 THEN 200 ELSE greatest(200, least(800, floor(200 * sqrt(n / 5000) + 0.5))) END AS BIGINT) AS binary_cap, CAST(CASE WHEN n <= 5000 THEN 100 ELSE greatest(100, least(400, floor(100 * sqrt(n / 5000) + 0.5))) END AS BIGINT) AS bm25_cap, 50::BIGINT AS recency_cap FROM (SELECT count(*) n FROM lineitem)")
+def _(spark, sf):
+    n = read(spark, sf, "lineitem").count()
+    c = dense.pool_caps(n)
+    return spark.createDataFrame([(n, c["binary"], c["bm25"], c["recency"])], "n long, binary_cap long, bm25_cap long, recency_cap long")
+
+
+# Fusion and ranking
+
+
+@query("recency_decay", "SELECT o_orderkey, round(pow(0.5, greatest(0.0, (1735689600000 - epoch_ms(o_orderdate::TIMESTAMP)) / 86400000.0) / 180.0), 6) recency FROM orders")
+def _(spark, sf):
+    ms = F.unix_millis(F.col("o_orderdate").cast("timestamp"))
+    return read(spark, sf, "orders").select("o_orderkey", r6(ranking.recency(ms, NOW_MS, 180.0)).alias("recency"))
+
+
+@query("title_boost", f"""WITH {CHUNKS_SQL}, {terms_sql("title", "chunk_id", "chunks", True, "tt")}, x AS (SELECT chunk_id, list_distinct(list(term)) ts FROM tt GROUP BY chunk_id)
+ SELECT chunk_id, round(0.8 * least(1.0, 1.0 / len(ts)), 6) boost FROM x WHERE list_contains(ts, 'ther')""")
+def _(spark, sf):
+    c = note_chunks(spark, sf).select("chunk_id", (0.8 * ranking.title_coverage("ther", F.col("title"))).alias("b"))
+    return c.filter("b > 0").select("chunk_id", r6("b").alias("boost"))
+
+
+@query("candidate_union", f"""WITH {COS_SQL}, a0 AS (SELECT vec_id, row_number() OVER (ORDER BY c DESC, vec_id) p FROM s QUALIFY p <= 50), a1 AS (SELECT vec_id, row_number() OVER (ORDER BY label DESC, vec_id) p FROM embeddings QUALIFY p <= 40), a AS (SELECT vec_id, 0 arm, p FROM a0 UNION ALL SELECT vec_id, 1, p FROM a1)
+ SELECT vec_id AS chunk_id, min(arm)::BIGINT arm, min_by(p, arm)::BIGINT place FROM a GROUP BY vec_id""")
+def _(spark, sf):
+    e = read(spark, sf, "embeddings")
+    q = F.array(*[F.lit(float(x)) for x in _vector(spark, sf)])
+    rows = e.select(F.col("vec_id").alias("chunk_id"), dense.cosine(q, F.col("embedding")).alias("c"), "label")
+    u = ranking.union_of(ranking.arm(rows, "c", 50, "chunk_id", 0), ranking.arm(rows, "label", 40, "chunk_id", 1))
+    return u.select("chunk_id", F.col("arm").cast("long").alias("arm"), F.col("place").cast("long").alias("place"))
+
+
+HYBRID_SQL = f"""{SCORES_SQL}, lex AS (SELECT doc_id, sum(s) * pow(least(1.0, count(DISTINCT term) / (SELECT count(*) FROM df)), 2) lex FROM part GROUP BY doc_id), b AS (SELECT sum(m) bound FROM (SELECT max(s) m FROM part GROUP BY term)),
+ e AS (SELECT vec_id, embedding::DOUBLE[] v FROM embeddings), d AS (SELECT vec_id doc_id, list_dot_product(v, q) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(q, q))) dense FROM e, {Q0}),
+ j AS (SELECT doc_id, source, coalesce(lex, 0) lex, dense FROM documents LEFT JOIN lex USING (doc_id) LEFT JOIN d USING (doc_id)),
+ f AS (SELECT doc_id, source, 0.85 * least(1.0, greatest(0.0, (coalesce(dense, (SELECT min(dense) FROM j)) + 1) / 2)) + 0.15 * least(1.0, lex / bound) score FROM j, b)"""
+
+
+def _hybrid(spark, sf) -> DataFrame:
+    index, asked = content_index(spark, sf), lexical.query_frame(spark, QUERY)
+    known = index.posts.join(F.broadcast(asked.select("term").distinct()), "term", "left_semi").agg(F.countDistinct("term").alias("k"))
+    q = F.array(*[F.lit(float(x)) for x in _vector(spark, sf)])
+    d = read(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), dense.cosine(q, F.col("embedding")).alias("dense"))
+    s = index.scores(asked).withColumnRenamed("chunk_id", "doc_id")
+    rows = read(spark, sf, "documents").select("doc_id", "source").join(s, "doc_id", "left").join(d, "doc_id", "left").crossJoin(F.broadcast(index.bound(asked))).crossJoin(F.broadcast(known))
+    rows = rows.withColumns({"lexical": F.coalesce("score", F.lit(0.0)), "coverage": F.least(F.lit(1.0), F.coalesce("matched", F.lit(0)) / F.col("k")), "recency": F.lit(0.0), "boost": F.lit(0.0)})
+    return ranking.fuse(rows.drop("score"), ranking.PRODUCT)
+
+
+@query("hybrid_fuse", f"WITH {HYBRID_SQL} SELECT doc_id, round(score, 6) score FROM f")
+def _(spark, sf):
+    return _hybrid(spark, sf).select("doc_id", r6("score").alias("score"))
+
+
+@query("dedup_by_note", f"WITH {HYBRID_SQL} SELECT source, doc_id, round(score, 6) score FROM f QUALIFY row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) = 1")
+def _(spark, sf):
+    return ranking.best_of_note(_hybrid(spark, sf), [F.desc("score"), F.col("doc_id")], "source").select("source", "doc_id", r6("score").alias("score"))
+
+
+@query("browse_order", "SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE epoch_ms(o_orderdate::TIMESTAMP) END ms FROM orders ORDER BY ms DESC NULLS LAST, CAST(o_custkey AS VARCHAR), CAST(o_orderkey AS VARCHAR) LIMIT 500")
+def _(spark, sf):
+    o = read(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 7 != 0, F.unix_millis(F.col("o_orderdate").cast("timestamp"))).alias("ms"), F.col("o_custkey").cast("string").alias("note_path"), F.col("o_orderkey").cast("string").alias("chunk_id"))
+    return ranking.browse(o, "ms", 500).select("o_orderkey", "ms")
+
+
+@query("ranked_search")
+def _(spark, sf):
+    chunks = note_chunks(spark, sf)
+    vectors = read(spark, sf, "embeddings").select(F.lpad(F.col("vec_id").cast("string"), 12, "0").alias("chunk_id"), "embedding")
+    corpus = search.Corpus.build(chunks, vectors, ["title", "content"])
+    return search.search(corpus, QUERY + " tag:en -zzzz", _vector(spark, sf), 10)
+
+
+# Filters
+
+
+def _filtered(spark, sf, text: str) -> DataFrame:
+    chunks = note_chunks(spark, sf)
+    _, f = filters.parse(text)
+    return chunks.filter(filters.compile_filters(f)).select("chunk_id")
+
+
+@query("filter_tag_hier", "SELECT lpad(CAST(doc_id AS VARCHAR), 12, '0') chunk_id FROM documents WHERE lang = 'fr' OR source = 'src3'")
+def _(spark, sf):
+    return _filtered(spark, sf, "#fr tag:#SRC/src3")
+
+
+@query("filter_path_glob", "SELECT lpad(CAST(doc_id AS VARCHAR), 12, '0') chunk_id FROM documents WHERE regexp_matches(source || '/' || lang || '/' || doc_id || '.md', '^(.*/)?src1./en/.*$') OR regexp_matches(CAST(doc_id AS VARCHAR), '^1.$')")
+def _(spark, sf):
+    return _filtered(spark, sf, 'path:src1?/en/* path:"1?.md"')
+
+
+@query("filter_property_contains", "SELECT lpad(CAST(doc_id AS VARCHAR), 12, '0') chunk_id FROM documents JOIN labels USING (doc_id) WHERE quality = 1 AND contains(CAST(n_chars AS VARCHAR), '12')")
+def _(spark, sf):
+    return _filtered(spark, sf, '[quality:"1"] [chars:12]')
+
+
+@query("filter_numeric", "SELECT lpad(CAST(doc_id AS VARCHAR), 12, '0') chunk_id FROM documents JOIN labels USING (doc_id) WHERE n_chars >= 1000 AND n_chars <= 5000 AND toxic = 0")
+def _(spark, sf):
+    return _filtered(spark, sf, "[chars>1000] [chars:<5000][toxic=0]")
+
+
+@query("filter_date_range", "SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '1996-07-01'")
+def _(spark, sf):
+    _, f = filters.parse("after:1995 before:1996-06")
+    ms = F.unix_millis(F.col("o_orderdate").cast("timestamp"))
+    return read(spark, sf, "orders").filter(filters.compile_filters(f, date=ms)).select("o_orderkey")
+
+
+@query("filter_type_mismatch", "SELECT doc_id FROM documents WHERE false")
+def _(spark, sf):
+    _, f = filters.parse("[chars>abc]", filters.Context(numeric_keys={"chars"}))
+    return note_chunks(spark, sf).filter(filters.compile_filters(f)).select("doc_id")
+
+
+@query("negation_anti_join", f"WITH {terms_sql('text', 'conv_id', 'conversations')} SELECT DISTINCT conv_id, turn FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM terms WHERE term = 'attion')")
+def _(spark, sf):
+    c = read(spark, sf, "conversations").select("conv_id", "turn", F.col("conv_id").alias("note_path"), F.col("text").alias("content"), F.struct("conv_id", "turn").alias("chunk_id"))
+    held = lexical.field_terms(c, ["content"]).select("chunk_id.conv_id", "term").withColumnRenamed("conv_id", "note_path")
+    _, f = filters.parse("-attion")
+    return filters.without_notes(c, held, f.exclude).select("conv_id", "turn").distinct()
+
+
+# Notes
+
+
+@query("chunk_markdown")
+def _(spark, sf):
+    d = note_chunks(spark, sf)
+    body = F.concat(F.lit("---\ntags: ["), F.array_join("tags", ", "), F.lit("]\naliases: [n"), F.col("doc_id").cast("string"), F.lit("]\n---\n# "), F.col("title"), F.lit("\n\n"), F.regexp_replace("content", "\n", "\n\n## Part\n\n"))
+    return notes.chunk_notes(d.select("note_path", body.alias("content"))).select("chunk_id", "title", "note_path", "start_line", "end_line", F.length("content").alias("n_chars"))
+
+
+@query("cyrb53_ids")
+def _(spark, sf):
+    h = F.pandas_udf(lambda s: s.map(notes.chunk_hash), "string")
+    d = note_chunks(spark, sf)
+    return d.select("doc_id", h(F.concat("note_path", F.lit("\n"), "title", F.lit("\n\n"), "content")).alias("chunk_id"))
+
+
+@query("token_budget_split")
+def _(spark, sf):
+    split = F.pandas_udf(lambda t, c: _pandas([notes.split_budget(a, b, lambda x: len(x.split()), 128) for a, b in zip(t, c, strict=True)]), "array<string>")
+    d = note_chunks(spark, sf).select("chunk_id", F.posexplode(split(F.col("title"), F.col("content"))).alias("part", "text"))
+    return d.select("chunk_id", "part", F.size(F.split(F.trim("text"), "\\s+")).alias("words"), F.md5("text").alias("digest"))
+
+
+def _pandas(rows: list):
+    import pandas as pd
+
+    return pd.Series(rows)
+
+
+@query("sentence_passages")
+def _(spark, sf):
+    cut = F.pandas_udf(lambda s: s.map(lambda t: len(notes.sentences(t))), "long")
+    return read(spark, sf, "documents").select("doc_id", cut(F.col("text")).alias("n_sentences"))
+
+
+@query("snippets")
+def _(spark, sf):
+    d = note_chunks(spark, sf).select("chunk_id", "content")
+    return search.with_snippets(d, QUERY).select("chunk_id", "snippet")
+
+
+@query("highlight_ranges")
+def _(spark, sf):
+    f = F.pandas_udf(lambda s: s.map(lambda t: [list(x) for x in notes.highlights(t, QUERY.split())]), "array<array<int>>")
+    return read(spark, sf, "documents").select("doc_id", F.size(f(F.col("text"))).alias("n"))
+
+
+_URL = "regexp_replace(regexp_replace(url, '^https?://', '', 'i'), '^www\\.', '', 'i')"
+
+
+@query("url_clean_words", f"WITH u AS (SELECT page_id, regexp_replace({_URL}, '[?#].*$', '') b FROM pages) SELECT page_id, trim(regexp_replace(regexp_replace(split_part(b, '/', 1), '\\.[a-z]{{2,24}}$', '', 'i') || ' ' || CASE WHEN contains(b, '/') THEN b[strpos(b, '/') + 1:] ELSE '' END, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) words FROM u")
+def _(spark, sf):
+    b = F.regexp_replace(F.regexp_replace(F.regexp_replace("url", "(?i)^https?://", ""), "(?i)^www\\.", ""), "[?#].*$", "")
+    p = read(spark, sf, "pages").select("page_id", b.alias("b"))
+    host = F.regexp_replace(F.substring_index("b", "/", 1), "(?i)\\.[a-z]{2,24}$", "")
+    path = F.when(F.contains("b", F.lit("/")), F.expr("substring(b, instr(b, '/') + 1)")).otherwise("")
+    return p.select("page_id", F.trim(F.regexp_replace(F.concat(host, F.lit(" "), path), "[^\\p{L}\\p{N}]+", " ")).alias("words"))
+
+
+@query("link_targets", "WITH t AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) target FROM pages) SELECT page_id, target, count(*) n FROM t GROUP BY ALL")
+def _(spark, sf):
+    t = read(spark, sf, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).alias("target"))
+    return t.groupBy("page_id", "target").agg(F.count("*").alias("n"))
+
+
+# Maintenance
+
+_STORED = "stored AS (SELECT source || '/' || doc_id p, doc_id sm, CASE WHEN doc_id % 3 = 0 THEN md5(text) ELSE md5(text || 'x') END sh FROM documents WHERE doc_id % 7 <> 0), live AS (SELECT source || '/' || doc_id p, CASE WHEN doc_id % 5 = 0 THEN doc_id ELSE doc_id + 1 END m, md5(text) h FROM documents WHERE doc_id % 11 <> 0)"
+
+
+@query("file_delta_full_outer", f"WITH {_STORED} SELECT coalesce(live.p, stored.p) note_path, CASE WHEN m IS NULL THEN 'deleted' WHEN sm IS NULL THEN 'dirty' WHEN m = sm OR h = sh THEN 'clean' ELSE 'dirty' END AS state FROM live FULL JOIN stored ON live.p = stored.p")
+def _(spark, sf):
+    d = read(spark, sf, "documents").withColumn("note_path", F.concat_ws("/", "source", F.col("doc_id").cast("string")))
+    live = d.filter("doc_id % 11 <> 0").select("note_path", F.when(F.col("doc_id") % 5 == 0, F.col("doc_id")).otherwise(F.col("doc_id") + 1).alias("mtime_ms"), F.md5("text").alias("hash"))
+    stored = d.filter("doc_id % 7 <> 0").select("note_path", F.col("doc_id").alias("mtime_ms"), F.when(F.col("doc_id") % 3 == 0, F.md5("text")).otherwise(F.md5(F.concat("text", F.lit("x")))).alias("hash"), F.lit(0).alias("embed_failed"), F.lit(None).cast("string").alias("embed_fail_version"))
+    return maintenance.classify_delta(live, stored, "v1")
+
+
+def _log(spark, sf) -> DataFrame:
+    e = read(spark, sf, "events")
+    return e.select(F.get_json_object("props", "$.k").alias("id"), F.col("user_id").alias("shard"), F.unix_micros(F.col("ts").cast("timestamp")).alias("mtime"), F.col("event_id").alias("seq"), F.col("event_id").alias("off"), (F.col("event_type") == "error").alias("tombstone"))
+
+
+_LWW = "l AS (SELECT json_extract_string(props, '$.k') id, user_id shard, epoch_us(ts::TIMESTAMP) mtime, event_id seq, event_type = 'error' tomb FROM events), own AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY id, shard ORDER BY mtime DESC, tomb DESC, seq DESC) = 1), win AS (SELECT * FROM own WHERE NOT tomb QUALIFY row_number() OVER (PARTITION BY id ORDER BY mtime DESC, shard DESC, seq DESC) = 1)"
+
+
+@query("lww_merge", f"WITH {_LWW} SELECT id, mtime, shard, seq FROM win")
+def _(spark, sf):
+    return maintenance.merge_log(_log(spark, sf)).select("id", "mtime", "shard", "seq")
+
+
+@query("log_dead_share", f"WITH {_LWW} SELECT l.shard, count(*) records, count(win.id) AS kept, round((count(*) - count(win.id)) / count(*), 6) dead_share FROM l LEFT JOIN win ON l.seq = win.seq GROUP BY l.shard")
+def _(spark, sf):
+    log = _log(spark, sf)
+    return maintenance.dead_share(log, maintenance.merge_log(log)).select("shard", "records", "kept", r6("dead_share").alias("dead_share"))
+
+
+@query("orphan_chunks", "SELECT doc_id AS chunk_id FROM documents WHERE source NOT IN ('src1', 'src2', 'src3') OR doc_id % 10 = 0")
+def _(spark, sf):
+    d = read(spark, sf, "documents")
+    records = d.filter("source IN ('src1', 'src2', 'src3') AND doc_id % 10 <> 0").groupBy(F.col("source").alias("note_path")).agg(F.collect_list("doc_id").alias("chunk_ids"))
+    return maintenance.orphans(d.select(F.col("doc_id").alias("chunk_id")), records)
+
+
+@query("carry_over_notes", "WITH k AS (SELECT DISTINCT md5(text) h FROM documents WHERE doc_id % 2 = 0) SELECT source AS note_path, bool_and(k.h IS NOT NULL) covered FROM documents LEFT JOIN k ON md5(text) = k.h GROUP BY source")
+def _(spark, sf):
+    d = read(spark, sf, "documents").select(F.col("source").alias("note_path"), F.md5("text").alias("input_hash"), "doc_id")
+    return maintenance.carried(d.select("note_path", "input_hash"), d.filter("doc_id % 2 = 0").select("input_hash"))
+
+
+@query("store_sizes", "SELECT 'bodies' AS store, count(*) row_count, CAST(sum(strlen(text)) AS BIGINT) bytes FROM documents UNION ALL SELECT 'meta', count(*), CAST(sum(strlen(source) + strlen(lang)) AS BIGINT) FROM documents")
+def _(spark, sf):
+    d = read(spark, sf, "documents")
+    return maintenance.store_sizes(d, "bodies", ["text"]).unionByName(maintenance.store_sizes(d, "meta", ["source", "lang"]))
+
+
+@query("frame_coherence", "SELECT count(*) mismatches FROM documents WHERE doc_id % 13 = 0")
+def _(spark, sf):
+    d = read(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("row_idx"))
+    return maintenance.coherence(d, d.withColumn("row_idx", F.when(F.col("chunk_id") % 13 == 0, -1).otherwise(F.col("row_idx"))))
+
+
+# Telemetry and suggestions
+
+
+@query("newest_n_per_type", "SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) place FROM events QUALIFY place <= 20")
+def _(spark, sf):
+    return maintenance.newest_of_type(read(spark, sf, "events"), 20).select("event_type", "event_id", F.col("place").cast("long").alias("place"))
+
+
+@query("distribution_stats_floor", "WITH s AS (SELECT event_type, count(*) n, min(value) least, max(value) greatest, avg(value) mean, list_sort(list(value)) v FROM events GROUP BY event_type) SELECT event_type, n, least, greatest, round(mean, 6) mean, v[CAST(floor(0.5 * (n - 1)) AS BIGINT) + 1] p50, v[CAST(floor(0.95 * (n - 1)) AS BIGINT) + 1] p95 FROM s")
+def _(spark, sf):
+    return telemetry.floor_percentiles(read(spark, sf, "events"), "value", ["event_type"]).withColumn("mean", r6("mean"))
+
+
+@query("error_milestones", "WITH s AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) seen, count(*) OVER (PARTITION BY user_id) total FROM events WHERE event_type = 'error') SELECT user_id, event_id, seen, (seen & (seen - 1)) <> 0 AS flush FROM s WHERE (seen & (seen - 1)) = 0 OR seen = total")
+def _(spark, sf):
+    e = read(spark, sf, "events").filter("event_type = 'error'")
+    return telemetry.milestones(e, "user_id", ["ts", "event_id"]).select("user_id", "event_id", F.col("seen").cast("long").alias("seen"), "flush")
+
+
+@query("stall_rollup_interval_join", """WITH t AS (SELECT event_id task_id, epoch_us(ts::TIMESTAMP) a, epoch_us(ts::TIMESTAMP) + CAST(round(value * 100) AS BIGINT) * 10000 b FROM events WHERE event_type = 'error'), s AS (SELECT event_id context, epoch_us(ts::TIMESTAMP) a, epoch_us(ts::TIMESTAMP) + CAST(round(value * 100) AS BIGINT) * 10000 b FROM events WHERE event_type = 'view')
+ SELECT task_id, s.context, least(t.b, s.b) - greatest(t.a, s.a) AS overlap FROM t JOIN s ON s.a < t.b AND t.a < s.b QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY overlap DESC, s.a DESC, s.context DESC) = 1""")
+def _(spark, sf):
+    e = read(spark, sf, "events").select("event_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("start"), (F.round(F.col("value") * 100).cast("long") * 10_000).alias("d"))
+    e = e.withColumn("end", F.col("start") + F.col("d"))
+    spans = e.filter("event_type = 'view'").select(F.col("event_id").alias("context"), "start", "end")
+    return telemetry.overlaps(spans, e.filter("event_type = 'error'").select(F.col("event_id").alias("task_id"), "start", "end"), slot=600_000_000)
+
+
+@query("click_search_join", "SELECT c.event_id click_id, c.user_id, max_by(v.event_id, (v.ts, v.event_id)) search_id FROM events c LEFT JOIN events v ON v.user_id = c.user_id AND v.event_type = 'view' AND v.ts <= c.ts WHERE c.event_type = 'click' GROUP BY ALL")
+def _(spark, sf):
+    e = read(spark, sf, "events")
+    return telemetry.clicks_after(e.filter("event_type = 'view'"), e.filter("event_type = 'click'"), "user_id")
+
+
+@query("device_counts", "SELECT user_id, count(*) n, round(sum(value), 6) total, max(value) most FROM events GROUP BY user_id")
+def _(spark, sf):
+    return telemetry.roll_up(read(spark, sf, "events"), "user_id", "value").withColumn("total", r6("total"))
+
+
+@query("crash_last_activity", "SELECT user_id, max_by(event_type, (ts, event_id)) FILTER (event_type NOT IN ('view', 'signup')) last_type FROM events GROUP BY user_id")
+def _(spark, sf):
+    return telemetry.last_activity(read(spark, sf, "events"), "user_id", ["view", "signup"])
+
+
+_FACETS = "f AS (SELECT 'p_brand' AS key, p_brand AS value, count(*) n FROM part GROUP BY ALL UNION ALL SELECT 'p_type', p_type, count(*) FROM part GROUP BY ALL UNION ALL SELECT 'p_size', CAST(p_size AS VARCHAR), count(*) FROM part GROUP BY ALL)"
+
+
+def _facets(spark, sf) -> DataFrame:
+    return telemetry.facets(read(spark, sf, "part"), ["p_brand", "p_type", "p_size"])
+
+
+@query("facet_counts", f"WITH {_FACETS} SELECT * FROM f")
+def _(spark, sf):
+    return _facets(spark, sf)
+
+
+@query("facet_keys", f"WITH {_FACETS} SELECT key, count(*) card, CAST(sum(n) AS BIGINT) total FROM f GROUP BY key HAVING count(*) <= 40 OR sum(n) >= 2 * count(*)")
+def _(spark, sf):
+    return telemetry.worthwhile(_facets(spark, sf))
+
+
+@query("prefix_completions", f"WITH {_FACETS} SELECT * FROM f WHERE starts_with(lower(value), 'brand#1') ORDER BY n DESC, value LIMIT 8")
+def _(spark, sf):
+    return telemetry.completions(_facets(spark, sf), "Brand#1")
+
+
+@query("recent_queries", "WITH l AS (SELECT user_id, event_type, max(ts) t FROM events GROUP BY ALL) SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY t DESC, event_type) place FROM l QUALIFY place <= 3")
+def _(spark, sf):
+    last = read(spark, sf, "events").groupBy("user_id", "event_type").agg(F.max("ts").alias("t"))
+    place = F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("t"), "event_type"))
+    return last.withColumn("place", place).filter("place <= 3").select("user_id", "event_type", F.col("place").cast("long").alias("place"))
+
+
+@query("hourly_windows", "SELECT date_trunc('hour', ts::TIMESTAMP) AS hour, event_type, count(*) n, round(sum(value), 6) total FROM events GROUP BY ALL")
+def _(spark, sf):
+    from fernquery.streaming import events
+
+    e = read(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return events.windowed(e).select(F.col("start").cast("timestamp_ntz").alias("hour"), "event_type", "n", r6("total").alias("total"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").limit(10)
+    return QUERIES["bm25_top10"](spark, sf_dir)
