@@ -34,6 +34,7 @@ MOST_BUCKETS = 512
 ROWS_A_BUCKET = 2000
 _POSITIONS = 24
 _LAST = (1 << _POSITIONS) - 1
+_TUPLE = 57  # bits of a tuple's hash in a packed cell; cells are at most 64
 
 
 @dataclass(frozen=True)
@@ -63,7 +64,7 @@ def _range(low: Column, high: Column) -> Column:
 
 
 def cells(text: Column, rule: Order) -> Column:
-    """array<struct<cell, tuple>> of the filled cells, by cell."""
+    """Packed numbers of the filled cells, by cell: the cell in the top bits, 57 bits of its tuple's hash below."""
     one = F.lit(1)
 
     def kmers(tokens: Column) -> Column:
@@ -90,7 +91,8 @@ def cells(text: Column, rule: Order) -> Column:
             def one_cell(i: Column) -> Column:
                 own = F.filter(F.slice(q, i + 1, F.lit(rule.kept)), lambda v: cell(v) == cell(F.get(q, i)))
                 in_order = F.array_sort(F.transform(own, lambda v: F.struct(v.bitwiseAND(F.lit(_LAST)).alias("at"), _head(v).alias("item"))))
-                return F.struct(cell(F.get(q, i)).cast("int").alias("cell"), F.xxhash64(F.transform(in_order, lambda x: x["item"])).alias("tuple"))
+                hashed = F.xxhash64(F.transform(in_order, lambda x: x["item"]))
+                return F.shiftleft(cell(F.get(q, i)), _TUPLE).bitwiseOR(hashed.bitwiseAND(F.lit((1 << _TUPLE) - 1)))
 
             return F.transform(first, one_cell)
 
@@ -103,13 +105,13 @@ def cells(text: Column, rule: Order) -> Column:
 def likeness(a: Column, b: Column) -> Column:
     """Of two fingerprints: agreeing cells among those that either fills; 1 for two empty ones."""
     same = F.size(F.array_intersect(a, b))
-    filled = F.size(F.array_union(F.transform(a, lambda x: x["cell"]), F.transform(b, lambda x: x["cell"])))
+    filled = F.size(F.array_union(F.transform(a, lambda x: F.shiftright(x, _TUPLE)), F.transform(b, lambda x: F.shiftright(x, _TUPLE))))
     return F.when(filled == 0, 1.0).otherwise(same / F.greatest(filled, F.lit(1)))
 
 
 def written(a: Column) -> Column:
-    """A fingerprint as text: each filled cell's number and tuple in hexadecimal."""
-    return F.array_join(F.transform(a, lambda x: F.concat(F.lpad(F.hex(x["cell"]), 2, "0"), F.lpad(F.hex(x["tuple"]), 16, "0"))), "")
+    """A fingerprint as text: each filled cell's packed number in hexadecimal."""
+    return F.array_join(F.transform(a, lambda x: F.lpad(F.hex(x), 16, "0")), "")
 
 
 def with_next(docs: DataFrame, made: dict[str, Column]) -> DataFrame:
@@ -118,8 +120,7 @@ def with_next(docs: DataFrame, made: dict[str, Column]) -> DataFrame:
     span = docs.agg(F.count("*"), F.percentile_approx("doc_id", [k / MOST_BUCKETS for k in range(1, MOST_BUCKETS)], 10_000)).first()
     count, bounds = span[0], sorted(set(span[1] or []))
     wanted = max(1, min(MOST_BUCKETS, count // ROWS_A_BUCKET))
-    step = max(1, len(bounds) // wanted)
-    cuts = bounds[::step][: wanted - 1] if wanted > 1 else []
+    cuts = sorted({bounds[k * len(bounds) // wanted] for k in range(1, wanted)}) if bounds else []
     bucket = F.lit(len(cuts)) - F.size(F.filter(F.array(*[F.lit(int(x)) for x in cuts]), lambda x: x < F.col("doc_id"))) if cuts else F.lit(0)
     placed = docs.withColumn("bucket", F.when(F.col("doc_id").isNull(), len(cuts)).otherwise(bucket)).withColumn("extra", F.lit(False))
     # the first id of each bucket: one row for each of at most MOST_BUCKETS buckets
