@@ -11,8 +11,8 @@ open are continued.
 Candidates. Texts that are equal are one node. Nodes that share a band are one bucket; a bucket compares its members with
 one leader at a time, never all with all: first the least node, then the member most similar to that leader (the
 likely origin of edited copies), then a pseudo-random one. Leaders are only compared with members that no verified
-link has joined to them yet. A last pass takes every pair of a bucket that is still in different classes,
-so no link between candidates is lost. Each candidate pair is verified on the whole multisets.
+link has joined to them yet. A last pass takes every pair of a bucket that is still in different classes and that the items
+outside a common leader don't rule out, so no link between candidates is lost. Each candidate pair is verified on the whole multisets.
 
 Classes are connected components, by alternating large-star and small-star steps on the verified links. Nothing but
 counters comes to the driver.
@@ -191,18 +191,54 @@ def verify(pairs: DataFrame, items: DataFrame, similarity: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sims = np.zeros(b.num_rows)
+            out = np.zeros((b.num_rows, 3), dtype=np.int64)
             for k in range(b.num_rows):
                 x, y = (np.frombuffer(b.column(c)[k].as_buffer(), dtype=np.uint64) for c in (2, 3))
-                if min(len(x), len(y)) < similarity * max(len(x), len(y)) and similarity > 0:
-                    sims[k] = min(len(x), len(y)) / max(len(x), len(y)) * 0.5  # lengths alone rule it out
-                    continue
-                at = np.searchsorted(y, x)
-                same = int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(y) else 0
-                sims[k] = same / (len(x) + len(y) - same) if len(x) + len(y) - same else 0.0
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sims)], names=["a", "b", "similarity"])
+                low, high = min(len(x), len(y)), max(len(x), len(y))
+                if low < similarity * high:
+                    same = low  # lengths alone rule it out; this bounds what they share
+                else:
+                    same = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+                out[k] = same, len(x), len(y)
+            same, m, n = out.T
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(same / np.maximum(m + n - same, 1)), *map(pa.array, (same, m, n))], names=["a", "b", "similarity", "same", "size_a", "size_b"])
 
-    return both.mapInArrow(run, "a long, b long, similarity double")
+    return both.mapInArrow(run, "a long, b long, similarity double, same long, size_a long, size_b long")
+
+
+def outside(nodes: DataFrame, items: DataFrame) -> DataFrame:
+    """node, best, item: the items of each node that its leader `best` lacks."""
+    left = nodes.join(items.select("node", F.col("items").alias("own")), "node")
+    both = left.join(items.select(F.col("node").alias("best"), F.col("items").alias("others")), "best").select("node", "best", "own", "others")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            gone = [np.setdiff1d(*(np.frombuffer(b.column(c)[k].as_buffer(), dtype=np.uint64) for c in (2, 3)), assume_unique=True) for k in range(b.num_rows)]
+            take = pa.array(np.repeat(np.arange(b.num_rows), [len(g) for g in gone]))
+            item = np.concatenate(gone).view(np.int64) if gone else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(item)], names=["node", "best", "item"])
+
+    return both.mapInArrow(run, "node long, best long, item long")
+
+
+def last_pairs(open_: DataFrame, hubs: DataFrame, known: DataFrame, items: DataFrame, near: Near, rows: int) -> DataFrame:
+    """a, b: every pair of a bucket, in different classes, that can still be similar. Each node has been compared with its bucket's hub, and two
+    nodes share no more than the lesser of their overlaps with the hub and what they share outside it. Pairs whose overlaps with the hub
+    would do alone are taken from the bucket; all others must share items that the hub lacks, and come from a join on those."""
+    sides = known.select(F.col("a").alias("node"), F.col("b").alias("hub"), "same", F.col("size_a").alias("size")).unionByName(known.select(F.col("b").alias("node"), F.col("a").alias("hub"), "same", F.col("size_b").alias("size")))
+    own = known.select(F.col("a").alias("node"), F.col("size_a").alias("size")).unionByName(known.select(F.col("b").alias("node"), F.col("size_b").alias("size"))).distinct()
+    mine = open_.select("bucket", "node", "label").join(hubs.select("bucket", F.col("to.node").alias("hub")), "bucket")
+    apart_rows = mine.join(sides.distinct(), ["node", "hub"]).unionByName(mine.filter("node = hub").join(own, "node").withColumn("same", F.col("size")))
+    rows_ = cut(few(apart_rows, rows))
+    need = F.lit(near.similarity / (1 + near.similarity)) * (F.col("size") + F.col("size_b")) - 1e-9
+    other = rows_.select("bucket", *[F.col(c).alias(f"{c}_b") for c in ("node", "label", "same", "size")])
+    apart = few(rows_, rows).join(few(other, rows), (rows_["bucket"] == other["bucket"]) & (F.col("label") < F.col("label_b")) & (F.col("same") >= need) & (F.col("same_b") >= need))
+    nodes = few(rows_.select("node", "hub", "label", "same", "size").distinct(), rows)
+    lacking = few(cut(outside(nodes.select("node", F.col("hub").alias("best")), items)).withColumnRenamed("best", "hub").join(nodes, ["node", "hub"]), rows)
+    twin = lacking.select("hub", "item", *[F.col(c).alias(f"{c}_b") for c in ("node", "label", "same", "size")])
+    close = lacking.join(twin, ["hub", "item"]).filter("label < label_b").groupBy("hub", "node", "node_b").agg(F.count("*").alias("shared"), *[F.first(c).alias(c) for c in ("same", "same_b", "size", "size_b")])
+    close = close.filter(F.least("same", "same_b") + F.col("shared") >= need)
+    return apart.select(F.col("node").alias("a"), F.col("node_b").alias("b")).unionByName(close.select(F.col("node").alias("a"), F.col("node_b").alias("b"))).distinct()
 
 
 def few(df: DataFrame, rows: int, each: int = 50_000) -> DataFrame:
@@ -260,14 +296,13 @@ def classes(docs: DataFrame, near: Near = Near()) -> DataFrame:
             break
         if step == 0:
             seen = open_.filter("node <> leader").join(known.select(F.col("a").alias("node"), F.col("b").alias("leader"), "similarity"), ["node", "leader"])
-            lead = seen.groupBy("bucket").agg(F.max_by(F.struct("node", "label"), F.struct("similarity", "node")).alias("to"))
+            hubs = few(cut(seen.groupBy("bucket").agg(F.max_by(F.struct("node", "label"), F.struct("similarity", "node")).alias("to"))), n)
+            pairs = open_.join(hubs, "bucket").select(F.col("node").alias("a"), F.col("to.node").alias("b"))
         elif step == 1:
             lead = open_.groupBy("bucket").agg(F.min_by(F.struct("node", "label"), F.xxhash64("node", "bucket")).alias("to"))
-        if step < 2:
             pairs = open_.join(lead, "bucket").filter("label <> to.label").select(F.col("node").alias("a"), F.col("to.node").alias("b"))
         else:
-            other = open_.select("bucket", F.col("node").alias("b"), F.col("label").alias("label_b"))
-            pairs = open_.join(other, "bucket").filter("label < label_b").select(F.col("node").alias("a"), "b")
+            pairs = last_pairs(open_, hubs, known, items, near, n)
         more = verified_pairs(few(pairs, n), known, items, near, n)
         known = few(cut(known.unionByName(few(more, n))), n)
     labels = components(known.filter(F.col("similarity") >= near.similarity).select("a", "b"))
