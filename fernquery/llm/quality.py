@@ -212,21 +212,22 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network | N
 def score(docs: DataFrame, net: Network | None, keep: list[str]) -> DataFrame:
     """The columns `keep` of docs and `score`; one pass, no shuffle."""
     from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import DoubleType, StructField, StructType
 
     taken = [*keep, "text"] if "text" not in keep else list(keep)
     slim = docs.select(*[F.col(f"`{c}`").cast("string").alias(c) if c == "text" else F.col(f"`{c}`") for c in taken])
     at = taken.index("text")
-    schema = [slim.schema[c] for c in keep]
+    schema = [StructField(f"c{k}", slim.schema[c].dataType) for k, c in enumerate(keep)]  # own names: docs may have any
     kinds = [to_arrow_type(f.dataType) for f in schema]
+    names = [f"c{k}" for k in range(len(keep))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             s = net.scores(all_features(b.column(at))) if net is not None else np.full(b.num_rows, 0.5)
-            yield pa.RecordBatch.from_arrays([*[b.column(taken.index(c)).cast(k) for c, k in zip(keep, kinds, strict=True)], pa.array(s, type=pa.float64())], names=[*keep, "score"])
-
-    from pyspark.sql.types import DoubleType, StructField, StructType
+            yield pa.RecordBatch.from_arrays([*[b.column(taken.index(c)).cast(k) for c, k in zip(keep, kinds, strict=True)], pa.array(s, type=pa.float64())], names=[*names, "score"])
 
-    return slim.mapInArrow(run, StructType([*schema, StructField("score", DoubleType())]))
+    done = slim.mapInArrow(run, StructType([*schema, StructField("score", DoubleType())]))
+    return done.toDF(*keep, "score")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
