@@ -12,7 +12,7 @@ from fernquery.functions import analyzer, notes
 from fernquery.operators import dense, filters, lexical, maintenance, ranking, telemetry
 from fernquery.plans import search
 from fernquery.session import ship
-from fernquery.sources.tables import note_chunks, read
+from fernquery.sources.tables import note_chunks, read, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -60,7 +60,7 @@ CONTENT_TERMS = terms_sql("text", "doc_id", "documents")
 
 
 def content_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
+    d = spread(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content")))
     return lexical.postings(d, ["content"])
 
 

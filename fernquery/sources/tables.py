@@ -10,9 +10,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan of fewer files than half of the cores, dealt out to all of them: only small tables pay this shuffle."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores // 2 else scan
+
+
 def note_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as chunk rows: one chunk a note, first four words as title, language and source as tags, labels as properties."""
-    d = read(spark, sf_dir, "documents")
+    d = spread(read(spark, sf_dir, "documents"))
     labels = read(spark, sf_dir, "labels")
     j = d.join(labels, "doc_id", "left")
     props = F.map_filter(
