@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +36,8 @@ def cut(df: DataFrame) -> DataFrame:
     if context._jsc.sc().getCheckpointDir().isEmpty():
         where = spark.conf.get("spark.checkpoint.dir", "")
         if not where:  # tests only: a cluster names its shared folder
+            if not re.match(r"local(\[[^\],]*(,[^\]]*)?\])?$", context.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             import tempfile
 
             where = tempfile.mkdtemp(prefix="fernquery-checkpoint-")
