@@ -31,6 +31,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fernquery.llm.common import RangeHash, cut, mix64, slices, table, utf8, word_spans
@@ -224,7 +225,7 @@ def outside(nodes: DataFrame, items: DataFrame) -> DataFrame:
 def last_pairs(open_: DataFrame, hubs: DataFrame, known: DataFrame, items: DataFrame, near: Near, rows: int) -> DataFrame:
     """a, b: every pair of a bucket, in different classes, that can still be similar. Each node has been compared with its bucket's hub, and two
     nodes share no more than the lesser of their overlaps with the hub and what they share outside it. Pairs whose overlaps with the hub
-    would do alone are taken from the bucket; all others must share items that the hub lacks, and come from a join on those."""
+    would do alone are taken from the bucket; all others must share items that the hub lacks, and come from a join on the rarest of those."""
     sides = known.select(F.col("a").alias("node"), F.col("b").alias("hub"), "same", F.col("size_a").alias("size")).unionByName(known.select(F.col("b").alias("node"), F.col("a").alias("hub"), "same", F.col("size_b").alias("size")))
     own = known.select(F.col("a").alias("node"), F.col("size_a").alias("size")).unionByName(known.select(F.col("b").alias("node"), F.col("size_b").alias("size"))).distinct()
     mine = open_.select("bucket", "node", "label").join(hubs.select("bucket", F.col("to.node").alias("hub")), "bucket")
@@ -235,9 +236,19 @@ def last_pairs(open_: DataFrame, hubs: DataFrame, known: DataFrame, items: DataF
     apart = few(rows_, rows).join(few(other, rows), (rows_["bucket"] == other["bucket"]) & (F.col("label") < F.col("label_b")) & (F.col("same") >= need) & (F.col("same_b") >= need))
     nodes = few(rows_.select("node", "hub", "label", "same", "size").distinct(), rows)
     lacking = few(cut(outside(nodes.select("node", F.col("hub").alias("best")), items)).withColumnRenamed("best", "hub").join(nodes, ["node", "hub"]), rows)
-    twin = lacking.select("hub", "item", *[F.col(c).alias(f"{c}_b") for c in ("node", "label", "same", "size")])
-    close = lacking.join(twin, ["hub", "item"]).filter("label < label_b").groupBy("hub", "node", "node_b").agg(F.count("*").alias("shared"), *[F.first(c).alias(c) for c in ("same", "same_b", "size", "size_b")])
-    close = close.filter(F.least("same", "same_b") + F.col("shared") >= need)
+    # an item held by one class only is shared by no pair that matters
+    common = lacking.groupBy("hub", "item").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("hub", "item", "n")
+    least = nodes.groupBy("hub").agg(F.min("size").alias("shortest"))
+    own_ = W.partitionBy("hub", "node")
+    held = few(lacking, rows).join(few(common, rows), ["hub", "item"]).join(few(least, rows), "hub")
+    held = held.withColumn("left", F.count("*").over(own_)).withColumn("place", F.row_number().over(own_.orderBy("n", "item")))
+    # any partner shares at least `least_shared` of these, so one of them stands among the rarest left - least_shared + 1 of both nodes
+    s = near.similarity
+    bound = F.lit(s / (1 + s)) * (F.col("size") + F.greatest(F.col("shortest").cast("double"), F.col("size") * F.lit(s))) - 1e-9
+    held = held.filter(F.col("place") <= F.col("left") - F.greatest(F.ceil(bound - F.col("same")), F.lit(1)) + 1)
+    held = few(cut(held.select("hub", "item", "node", "label", "same", "size", "left")), rows)
+    twin = held.select("hub", "item", *[F.col(c).alias(f"{c}_b") for c in ("node", "label", "same", "size", "left")])
+    close = held.join(twin, ["hub", "item"]).filter((F.col("label") < F.col("label_b")) & (F.least("same", "same_b") + F.least("left", "left_b") >= need))
     return apart.select(F.col("node").alias("a"), F.col("node_b").alias("b")).unionByName(close.select(F.col("node").alias("a"), F.col("node_b").alias("b"))).distinct()
 
 
