@@ -246,9 +246,10 @@ def last_pairs(open_: DataFrame, hubs: DataFrame, known: DataFrame, items: DataF
     s = near.similarity
     bound = F.lit(s / (1 + s)) * (F.col("size") + F.greatest(F.col("shortest").cast("double"), F.col("size") * F.lit(s))) - 1e-9
     held = held.filter(F.col("place") <= F.col("left") - F.greatest(F.ceil(bound - F.col("same")), F.lit(1)) + 1)
-    held = few(cut(held.select("hub", "item", "node", "label", "same", "size", "left")), rows)
-    twin = held.select("hub", "item", *[F.col(c).alias(f"{c}_b") for c in ("node", "label", "same", "size", "left")])
-    close = held.join(twin, ["hub", "item"]).filter((F.col("label") < F.col("label_b")) & (F.least("same", "same_b") + F.least("left", "left_b") >= need))
+    held = few(cut(held.select("hub", "item", "node", "label", "same", "size", (F.col("left") - F.col("place") + 1).alias("rest"))), rows)
+    twin = held.select("hub", "item", *[F.col(c).alias(f"{c}_b") for c in ("node", "label", "same", "size", "rest")])
+    # a pair's first common item has all that they share at or behind it in both, so at that item this bound holds for every pair that matters
+    close = held.join(twin, ["hub", "item"]).filter((F.col("label") < F.col("label_b")) & (F.least("same", "same_b") + F.least("rest", "rest_b") >= need))
     return apart.select(F.col("node").alias("a"), F.col("node_b").alias("b")).unionByName(close.select(F.col("node").alias("a"), F.col("node_b").alias("b"))).distinct()
 
 
