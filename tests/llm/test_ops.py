@@ -325,6 +325,22 @@ def test_context_mixing(docs, rows, none):
     assert contextmix.score(none, contextmix.Mixing(words=50, bits=16)).count() == 0
 
 
+def test_context_weights_are_fitted_on_all_learning_rows(spark):
+    """The slope of the cost over all rows and whole texts is all but gone at the starting weights, also where most of the corpus lies behind a long prefix."""
+    rng = random.Random(9)
+    rows = [(k, text(rng, 30)) for k in range(300)] + [(1000 + k, text(rng, 4000) + " " + " ".join("".join(rng.choice("qwxyz") for _ in range(5)) for _ in range(4000))) for k in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    rule = contextmix.Mixing(words=200, bits=16, rounds=6)
+    learnt, _ = contextmix.learn(df, rule)
+    weights = contextmix.fit(df, spark.sparkContext.broadcast(learnt), rule)
+    data, at = contextmix.utf8(contextmix.pa.array([t for i, t in rows if zlib.crc32(str(i).encode()) % 10]))
+    for stream, w in zip(learnt.coder.streams(data, at, learnt.coder.tokens(data, at)), weights, strict=True):
+        first = contextmix.slopes(stream, learnt.tables, np.tile(np.array([0.3, 0.4, 0.4, 0.0]), (16, 1)))
+        last = contextmix.slopes(stream, learnt.tables, w)
+        assert (last[:, 0] <= first[:, 0] + 1e-3 * (1 + first[:, 0])).all()
+        assert np.abs(last[:, 1:5]).sum() < 0.05 * np.abs(first[:, 1:5]).sum()
+
+
 def test_codes_are_complete():
     first, size, nodes, bits = contextmix.huffman(np.array([5, 1, 1, 9, 0]))
     assert abs(sum(2.0**-s for s in size) - 1) < 1e-12
