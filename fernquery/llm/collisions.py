@@ -77,7 +77,9 @@ def search_block(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarra
     n, d = x.shape
     lines = np.random.default_rng(rule.seed).normal(size=(d, rule.lines))
     xu, qu = _unit(x), _unit(q)
-    px, pq = (xu @ lines).T, (qu @ lines).T
+    _, first_copy, copy_of = np.unique(x, axis=0, return_index=True, return_inverse=True)  # equal vectors share projections and cosines
+    copy_of = copy_of.reshape(-1)
+    px, pq = (xu[first_copy] @ lines)[copy_of].T, (qu @ lines).T
     order = np.argsort(px, axis=1, kind="stable")
     arrays = np.take_along_axis(px, order, axis=1)
     wide = np.uint16 if n < 1 << 16 else np.uint32
@@ -105,15 +107,14 @@ def search_block(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarra
                 keep_i, keep_s = np.zeros(0, np.int64), np.zeros(0)
             fresh = np.flatnonzero(found)
             fresh = fresh[ids[fresh] != q_ids[j]]
-            near = np.clip(xu[fresh] @ qu[j], -1, 1)
-            if len(fresh) > 4 * k:  # only those near the k-th best can count
-                floor = np.partition(near, len(near) - k)[len(near) - k] - 1e-9
-                fresh, near = fresh[near >= floor], near[near >= floor]
-            keep_i, keep_s = np.concatenate([keep_i, fresh]), np.concatenate([keep_s, near])
-            if len(keep_i) > k:
-                exact = np.array([cosine(x[i], q[j]) for i in keep_i]) if len(keep_i) < 64 else keep_s
-                top = np.lexsort((ids[keep_i], -exact))[:k]
-                keep_i, keep_s = keep_i[top], keep_s[top]
+            if len(fresh) > k:  # only those near the k-th best can count; sums differ by their place in the product, so exact cosines decide
+                near = xu[fresh] @ qu[j]
+                fresh = fresh[near >= np.partition(near, len(near) - k)[len(near) - k] - 1e-9]
+            different, which = np.unique(copy_of[fresh], return_inverse=True)
+            exact = np.array([cosine(x[i], q[j]) for i in first_copy[different]])
+            keep_i, keep_s = np.concatenate([keep_i, fresh]), np.concatenate([keep_s, exact[which]])
+            top = np.lexsort((ids[keep_i], -keep_s))[:k]
+            keep_i, keep_s = keep_i[top], keep_s[top]
             best_i[j], best_s[j] = keep_i, keep_s
             far = math.sqrt(max(0.0, 2 - 2 * keep_s.min())) if len(keep_s) >= k else math.inf
             if whole or far <= radius[j]:
@@ -123,8 +124,7 @@ def search_block(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarra
         live = np.array(going, dtype=np.int64)
     index = np.repeat(np.arange(len(q)), [len(b) for b in best_i])
     rows = np.concatenate(best_i) if len(q) else np.zeros(0, np.int64)
-    scores = np.array([cosine(x[i], q[j]) for i, j in zip(rows, index, strict=True)])
-    return index, ids[rows], scores
+    return index, ids[rows], np.concatenate(best_s) if len(q) else np.zeros(0)
 
 
 def cosine(a: np.ndarray, b: np.ndarray) -> float:

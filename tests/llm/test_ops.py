@@ -263,6 +263,18 @@ def test_collisions(spark):
     assert collisions.search(df.limit(0), df.limit(0), 5).count() == 0
 
 
+def test_collisions_among_copies():
+    """Of equal vectors the smallest ids are the nearest, however many there are and wherever they stand."""
+    rng = np.random.default_rng(11)
+    for d, n in itertools.product((16, 64, 100), (5, 40, 63, 64, 70, 301, 1001)):
+        v, others = rng.normal(size=d), rng.normal(size=(90, d))
+        x = np.concatenate([others[:45], np.repeat(v[None], n, axis=0), others[45:]])
+        q = np.stack([v + 0.01 * rng.normal(size=d), v])
+        _, found, scores = collisions.search_block(np.arange(len(x)), x, np.array([-1, -2]), q, 5, collisions.Collide())
+        assert found.tolist() == [45, 46, 47, 48, 49] * 2
+        assert len(set(scores[:5])) == len(set(scores[5:])) == 1
+
+
 def test_transcripts(spark):
     model = transcripts.Model()
     rng = random.Random(6)
