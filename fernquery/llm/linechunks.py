@@ -1,7 +1,8 @@
 """Line dedup over content-defined chunks of lines.
 
 A rolling hash over the hashes of the last `window` lines ends a chunk where it is 0 modulo `spread`, so
-boundaries depend on nearby lines only and come back after an insertion. A chunk has at least `least` and at most `most` lines.
+boundaries depend on nearby lines only and come back after an insertion. A chunk has at least `least` and at most `most` lines;
+what a text's end cuts off below `least` lines belongs to the chunk before it. Lines are compared without the line feed that ends the chunk.
 A chunk of several lines that stands earlier (smaller doc_id, or the same document and an earlier chunk) with the same bytes is
 removed; the first copy stays.
 
@@ -40,6 +41,11 @@ class Lines:
     most: int = 64
 
 
+def _bare(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Ends without a final line feed."""
+    return end - (data[end - 1] == 10) if len(end) else end
+
+
 def chunks(data: np.ndarray, at: np.ndarray, rule: Lines) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, first byte, end byte, lines) of each chunk; a line's line feed belongs to it."""
     rows = len(at) - 1
@@ -50,7 +56,7 @@ def chunks(data: np.ndarray, at: np.ndarray, rule: Lines) -> tuple[np.ndarray, n
     n = len(ends)
     if not n:
         return (np.zeros(0, np.int64),) * 4
-    hashes = RangeHash(data)(starts, ends)
+    hashes = RangeHash(data)(starts, _bare(data, starts, ends))
     roll = np.zeros(n, dtype=np.uint64)
     for k in range(rule.window):
         there = np.zeros(n, dtype=bool)
@@ -64,7 +70,10 @@ def chunks(data: np.ndarray, at: np.ndarray, rule: Lines) -> tuple[np.ndarray, n
     stops, since = [], 0
     for k, final in enumerate(last.tolist()):
         since += 1
-        if final or since >= rule.most or (hit[k] and since >= rule.least):
+        if final and since < rule.least and stops and row[stops[-1]] == row[k]:
+            stops[-1] = k
+            since = 0
+        elif final or since >= rule.most or (hit[k] and since >= rule.least):
             stops.append(k)
             since = 0
     stop = np.array(stops)
@@ -92,21 +101,22 @@ def slim_chunks(docs: DataFrame, rule: Lines) -> DataFrame:
             for row, place, start, end, lines, data in _each(b.column(2), rule):
                 many = lines > 1
                 take = pa.array(row[many])
-                digest = RangeHash(data)(start[many], end[many]).view(np.int64) if many.any() else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(place[many].astype(np.int64)), pa.array(digest), pa.array((end - start)[many].astype(np.int64))], names=["at_id", "text_key", "place", "digest", "size"])
+                bare = _bare(data, start, end)
+                digest = RangeHash(data)(start[many], bare[many]).view(np.int64) if many.any() else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(place[many].astype(np.int64)), pa.array(digest), pa.array((bare - start)[many].astype(np.int64))], names=["at_id", "text_key", "place", "digest", "size"])
 
     return docs.select(*_keyed(docs)).mapInArrow(run, "at_id long, text_key binary, place long, digest long, size long")
 
 
 def fetch(wanted: DataFrame, docs: DataFrame, rule: Lines) -> DataFrame:
-    """The bytes of the chunks in wanted (at_id, text_key, places)."""
+    """The bytes of the chunks in wanted (at_id, text_key, places), without a final line feed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in runs_of(batches, 2):
             places = [set(x) for x in b.column(3).to_pylist()]
             rows, at, got = [], [], []
             for row, place, start, end, _, data in _each(b.column(2), rule):
-                for r, p, s, e in zip(row.tolist(), place.tolist(), start.tolist(), end.tolist(), strict=True):
+                for r, p, s, e in zip(row.tolist(), place.tolist(), start.tolist(), _bare(data, start, end).tolist(), strict=True):
                     if p in places[r]:
                         rows.append(r)
                         at.append(p)

@@ -184,6 +184,16 @@ def test_line_chunks(docs, rows, none):
     assert linechunks.dedup(none).count() == 0
 
 
+def test_line_chunks_of_copies(spark):
+    """A copy of a text of several lines comes out empty, with and without a line feed at its end."""
+    rng = random.Random(12)
+    made = ["\n".join(text(rng, 5) for _ in range(2 + k)) for k in range(70)]
+    rows = [(k, t) for k, t in enumerate(made)] + [(100 + k, t) for k, t in enumerate(made)] + [(200 + k, t + "\n") for k, t in enumerate(made)]
+    done = {r["doc_id"]: r["text"] for r in linechunks.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(done[k] == t for k, t in enumerate(made))
+    assert {done[k] for k in done if k >= 100} == {""}
+
+
 def test_mixing(docs, none):
     got = mixing.mix_documents(docs).collect()
     by = collections.defaultdict(list)
