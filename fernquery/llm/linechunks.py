@@ -6,8 +6,11 @@ what a text's end cuts off below `least` lines belongs to the chunk before it. L
 A chunk of several lines that stands earlier (smaller doc_id, or the same document and an earlier chunk) with the same bytes is
 removed; the first copy stays.
 
-Plan: one pass makes a slim row (digest, id, place) for each chunk of several lines; the earliest row of
-each repeated digest is found by partial aggregation, which meets hot chunks before the shuffle. Only repeated chunks'
+Chunk boundaries seldom fit a short passage. So each pair of neighbouring lines is judged too: pairs that stand in a document of a smaller doc_id are
+joined to runs, and what the chunks leave of a run is removed if it has over `words` words.
+
+Plan: one pass makes a slim row (digest, id, place) for each chunk of several lines and each pair of lines; the earliest row of
+each repeated digest is found by partial aggregation, which meets hot chunks before the shuffle. Only repeated spans'
 bytes are then fetched, compared with the earliest copy's bytes, and the confirmed ones removed. Both passes over
 documents join on the row key with the same exchange.
 
@@ -27,10 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernquery.llm.common import DIGITS, RangeHash, cut, mix64, runs_of, slices, table, utf8
+from fernquery.llm.common import DIGITS, RangeHash, cut, mix64, runs_of, slices, table, utf8, word_spans
 
 U64 = np.uint64
 LATE = (1 << 63) - 1
+PAIR = 1 << 40  # places of pairs of lines begin here
 
 
 @dataclass(frozen=True)
@@ -39,6 +43,7 @@ class Lines:
     spread: int = 4
     least: int = 2
     most: int = 64
+    words: int = 50
 
 
 def _bare(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -46,13 +51,28 @@ def _bare(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return end - (data[end - 1] == 10) if len(end) else end
 
 
-def chunks(data: np.ndarray, at: np.ndarray, rule: Lines) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, first byte, end byte, lines) of each chunk; a line's line feed belongs to it."""
-    rows = len(at) - 1
+def lines_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first byte, end byte) of each line; a line's line feed belongs to it."""
     marks = np.flatnonzero(data == 10) + 1
     ends = np.unique(np.concatenate([marks, at[1:][np.diff(at) > 0]]))
     starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else ends
-    row = np.searchsorted(at, starts, side="right") - 1
+    return np.searchsorted(at, starts, side="right") - 1, starts, ends
+
+
+def rest_of_runs(pairs: np.ndarray, gone: np.ndarray, words: np.ndarray, least: int) -> np.ndarray:
+    """Lines left of runs of repeated pairs, where they have over `least` words. pairs: of each line and the next; gone: lines removed already."""
+    edge = np.diff(np.concatenate([[0], pairs.astype(np.int8), [0]]))
+    out = np.zeros(len(gone), dtype=bool)
+    for a, b in zip(np.flatnonzero(edge == 1).tolist(), (np.flatnonzero(edge == -1) + 1).tolist(), strict=True):
+        left = ~gone[a:b]
+        if words[a:b][left].sum() > least:
+            out[a:b] = left
+    return out
+
+
+def chunks(data: np.ndarray, at: np.ndarray, rule: Lines) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first byte, end byte, lines) of each chunk; a line's line feed belongs to it."""
+    row, starts, ends = lines_of(data, at)
     n = len(ends)
     if not n:
         return (np.zeros(0, np.int64),) * 4
@@ -95,28 +115,42 @@ def _each(column: pa.Array, rule: Lines) -> Iterator[tuple[np.ndarray, ...]]:
         yield row + lo, np.arange(len(row)) - first[row] if len(row) else row, start + at[lo], end + at[lo], lines, data
 
 
+def _spans(column: pa.Array, rule: Lines) -> Iterator[tuple[np.ndarray, ...]]:
+    """(row, place, first byte, end byte without a final line feed) of the chunks of several lines and then of all pairs of lines, and the buffer."""
+    for row, place, start, end, lines, data in _each(column, rule):
+        many = lines > 1
+        row, place, start, end = row[many], place[many], start[many], end[many]
+        yield row, place, start, _bare(data, start, end), data
+    data, at = utf8(column)
+    for lo, hi in slices(len(column), at):
+        row, start, end = lines_of(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
+        nth = np.arange(len(row)) - np.searchsorted(row, row)
+        pair = np.flatnonzero(row[1:] == row[:-1])
+        start, end = start[pair] + at[lo], end[pair + 1] + at[lo] if len(pair) else pair
+        yield row[pair] + lo, nth[pair] + PAIR, start, _bare(data, start, end), data
+
+
 def slim_chunks(docs: DataFrame, rule: Lines) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in runs_of(batches, 2):
-            for row, place, start, end, lines, data in _each(b.column(2), rule):
-                many = lines > 1
-                take = pa.array(row[many])
-                bare = _bare(data, start, end)
-                digest = RangeHash(data)(start[many], bare[many]).view(np.int64) if many.any() else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(place[many].astype(np.int64)), pa.array(digest), pa.array((bare - start)[many].astype(np.int64))], names=["at_id", "text_key", "place", "digest", "size"])
+            for row, place, start, end, data in _spans(b.column(2), rule):
+                take = pa.array(row)
+                digest = RangeHash(data)(start, end) if len(row) else np.zeros(0, np.uint64)
+                digest = np.where(place < PAIR, digest, mix64(digest ^ DIGITS[0])).view(np.int64)  # a pair is never a copy of a chunk
+                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(place.astype(np.int64)), pa.array(digest), pa.array((end - start).astype(np.int64))], names=["at_id", "text_key", "place", "digest", "size"])
 
     return docs.select(*_keyed(docs)).mapInArrow(run, "at_id long, text_key binary, place long, digest long, size long")
 
 
 def fetch(wanted: DataFrame, docs: DataFrame, rule: Lines) -> DataFrame:
-    """The bytes of the chunks in wanted (at_id, text_key, places), without a final line feed."""
+    """The bytes of the spans in wanted (at_id, text_key, places), without a final line feed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in runs_of(batches, 2):
             places = [set(x) for x in b.column(3).to_pylist()]
             rows, at, got = [], [], []
-            for row, place, start, end, _, data in _each(b.column(2), rule):
-                for r, p, s, e in zip(row.tolist(), place.tolist(), start.tolist(), _bare(data, start, end).tolist(), strict=True):
+            for row, place, start, end, data in _spans(b.column(2), rule):
+                for r, p, s, e in zip(row.tolist(), place.tolist(), start.tolist(), end.tolist(), strict=True):
                     if p in places[r]:
                         rows.append(r)
                         at.append(p)
@@ -129,10 +163,10 @@ def fetch(wanted: DataFrame, docs: DataFrame, rule: Lines) -> DataFrame:
 
 
 def repeated(docs: DataFrame, rule: Lines = Lines()) -> DataFrame:
-    """at_id, text_key and the places of the chunks to remove."""
+    """at_id, text_key and the places of the chunks to remove and of the pairs of lines that stand in earlier documents."""
     slim = cut(slim_chunks(docs, rule).dropDuplicates(["at_id", "text_key", "place"]))
     firsts = slim.groupBy("digest", "size").agg(F.min(F.struct("at_id", "place", "text_key")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    later = slim.join(firsts.drop("n"), ["digest", "size"]).filter("at_id > first.at_id OR (at_id = first.at_id AND place > first.place)")
+    later = slim.join(firsts.drop("n"), ["digest", "size"]).filter(f"at_id > first.at_id OR (at_id = first.at_id AND place > first.place AND place < {PAIR})")
     later = cut(later.select("at_id", "text_key", "place", "digest", "size", F.col("first.at_id").alias("f_id"), F.col("first.text_key").alias("f_key"), F.col("first.place").alias("f_place")))
     sides = later.select("at_id", "text_key", "place").unionByName(later.select(F.col("f_id").alias("at_id"), F.col("f_key").alias("text_key"), F.col("f_place").alias("place")).distinct())
     got = cut(fetch(sides.groupBy("at_id", "text_key").agg(F.collect_set("place").alias("places")), docs, rule))
@@ -158,15 +192,20 @@ def dedup(docs: DataFrame, rule: Lines = Lines(), counts: bool = False) -> DataF
             n = b.num_rows
             gone = [set(x) for x in b.column(len(columns)).to_pylist()]
             texts, n_lines, n_gone = b.column(at).to_pylist(), np.zeros(n, np.int64), np.zeros(n, np.int64)
+            ends = utf8(b.column(at))[1][1:].tolist()
             kept: dict[int, list[bytes]] = {r: [] for r in range(n) if gone[r]}
-            for row, place, start, end, lines, data in _each(b.column(at), rule):
+            for row, place, start, _, lines, data in _each(b.column(at), rule):
                 np.add.at(n_lines, row, lines)
-                for k in np.flatnonzero([bool(gone[r]) for r in row.tolist()]).tolist():
-                    r = int(row[k])
-                    if int(place[k]) in gone[r]:
-                        n_gone[r] += lines[k]
-                    else:
-                        kept[r].append(data[start[k] : end[k]].tobytes())
+                for r in [r for r in np.unique(row).tolist() if gone[r]]:
+                    a, z = np.searchsorted(row, [r, r + 1])
+                    part = data[start[a] : ends[r]]
+                    _, first, last = lines_of(part, np.array([0, len(part)]))
+                    off = np.repeat([p in gone[r] for p in place[a:z].tolist()], lines[a:z])
+                    pairs = np.array([PAIR + i in gone[r] for i in range(len(first) - 1)], dtype=bool)
+                    if pairs.any():
+                        off = off | rest_of_runs(pairs, off, word_spans(part, np.append(first, len(part)))[2], rule.words)
+                    n_gone[r] = off.sum()
+                    kept[r] = [part[s:e].tobytes() for s, e, x in zip(first.tolist(), last.tolist(), off.tolist(), strict=True) if not x]
             for r, parts in kept.items():
                 texts[r] = b"".join(parts).decode("utf-8")
             out = [pa.array(texts, type=pa.string()) if k == at else b.column(k) for k in range(len(columns))]

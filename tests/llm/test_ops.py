@@ -194,6 +194,30 @@ def test_line_chunks_of_copies(spark):
     assert {done[k] for k in done if k >= 100} == {""}
 
 
+def test_repeated_passages_of_lines(spark):
+    """Passages of two and more lines and over 50 words go from later documents, wherever chunks end, but for at most 50 words that chunks leave of one;
+    single lines and short passages are no passages."""
+    rng = random.Random(13)
+    rows, want, left = [], {}, 0
+    for k in range(60):
+        n = 2 + k % 4
+        passage = [text(rng, 52 // n + 1) for _ in range(n)]
+        some = lambda: [text(rng, 9) for _ in range(rng.randrange(1, 5))]
+        rows.append((k, "\n".join([*some(), *passage] + some() * (k % 3 > 0))))
+        before, after = some(), some()
+        rows.append((100 + k, "\n".join([*before, *passage, *after])))
+        want[100 + k] = (before, passage, after)
+        rows.append((200 + k, "\n".join([before[-1], text(rng, 60), passage[0], text(rng, 9)])))
+        want[200 + k] = ([rows[-1][1]], [], [])
+    done = {r["doc_id"]: r["text"] for r in linechunks.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, (before, passage, after) in want.items():
+        kept = [x for x in passage if x in done[k]]
+        assert done[k] == "\n".join([*before, *kept, *after]) and len(" ".join(kept).split()) <= 50
+        left += len(kept) > 0
+    assert left <= 3
+    assert all(done[k] == t for k, t in rows if k < 100)
+
+
 def test_mixing(docs, none):
     got = mixing.mix_documents(docs).collect()
     by = collections.defaultdict(list)
