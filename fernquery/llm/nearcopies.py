@@ -11,8 +11,8 @@ open are continued.
 Candidates. Texts that are equal are one node. Nodes that share a band are one bucket; a bucket compares its members with
 one leader at a time, never all with all: first the least node, then the member most similar to that leader (the
 likely origin of edited copies), then a pseudo-random one. Leaders are only compared with members that no verified
-link has joined to them yet. A last pass takes every pair of a bucket that is still in different classes and that the items
-outside a common leader don't rule out, so no link between candidates is lost. Each candidate pair is verified on the whole multisets.
+link has joined to them yet. A last pass takes every pair of a bucket that is still in different classes and that their
+differences from a common leader don't rule out (prefix filtering on those), so no link between candidates is lost. Each candidate pair is verified on the whole multisets.
 
 Classes are connected components, by alternating large-star and small-star steps on the verified links. Nothing but
 counters comes to the driver.
@@ -207,50 +207,54 @@ def verify(pairs: DataFrame, items: DataFrame, similarity: float) -> DataFrame:
     return both.mapInArrow(run, "a long, b long, similarity double, same long, size_a long, size_b long")
 
 
-def outside(nodes: DataFrame, items: DataFrame) -> DataFrame:
-    """node, best, item: the items of each node that its leader `best` lacks."""
-    left = nodes.join(items.select("node", F.col("items").alias("own")), "node")
-    both = left.join(items.select(F.col("node").alias("best"), F.col("items").alias("others")), "best").select("node", "best", "own", "others")
+def differing(nodes: DataFrame, items: DataFrame) -> DataFrame:
+    """hub, node, label, item: the items that exactly one of each node and its hub holds."""
+    left = nodes.select("hub", "node", "label").join(items.select("node", F.col("items").alias("own")), "node")
+    both = left.join(items.select(F.col("node").alias("hub"), F.col("items").alias("others")), "hub").select("hub", "node", "label", "own", "others")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            gone = [np.setdiff1d(*(np.frombuffer(b.column(c)[k].as_buffer(), dtype=np.uint64) for c in (2, 3)), assume_unique=True) for k in range(b.num_rows)]
-            take = pa.array(np.repeat(np.arange(b.num_rows), [len(g) for g in gone]))
-            item = np.concatenate(gone).view(np.int64) if gone else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(item)], names=["node", "best", "item"])
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256)
+                held = [np.setxor1d(*(np.frombuffer(part.column(c)[k].as_buffer(), dtype=np.uint64) for c in (3, 4)), assume_unique=True) for k in range(part.num_rows)]
+                take = pa.array(np.repeat(np.arange(part.num_rows), [len(x) for x in held]))
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(take) for c in range(3)), pa.array(np.concatenate(held).view(np.int64))], names=["hub", "node", "label", "item"])
 
-    return both.mapInArrow(run, "node long, best long, item long")
+    return both.mapInArrow(run, "hub long, node long, label long, item long")
 
 
 def last_pairs(open_: DataFrame, hubs: DataFrame, known: DataFrame, items: DataFrame, near: Near, rows: int) -> DataFrame:
-    """a, b: every pair of a bucket, in different classes, that can still be similar. Each node has been compared with its bucket's hub, and two
-    nodes share no more than the lesser of their overlaps with the hub and what they share outside it. Pairs whose overlaps with the hub
-    would do alone are taken from the bucket; all others must share items that the hub lacks, and come from a join on the rarest of those."""
-    sides = known.select(F.col("a").alias("node"), F.col("b").alias("hub"), "same", F.col("size_a").alias("size")).unionByName(known.select(F.col("b").alias("node"), F.col("a").alias("hub"), "same", F.col("size_b").alias("size")))
-    own = known.select(F.col("a").alias("node"), F.col("size_a").alias("size")).unionByName(known.select(F.col("b").alias("node"), F.col("size_b").alias("size"))).distinct()
-    mine = open_.select("bucket", "node", "label").join(hubs.select("bucket", F.col("to.node").alias("hub")), "bucket")
-    apart_rows = mine.join(sides.distinct(), ["node", "hub"]).unionByName(mine.filter("node = hub").join(own, "node").withColumn("same", F.col("size")))
-    rows_ = cut(few(apart_rows, rows))
-    need = F.lit(near.similarity / (1 + near.similarity)) * (F.col("size") + F.col("size_b")) - 1e-9
-    other = rows_.select("bucket", *[F.col(c).alias(f"{c}_b") for c in ("node", "label", "same", "size")])
-    apart = few(rows_, rows).join(few(other, rows), (rows_["bucket"] == other["bucket"]) & (F.col("label") < F.col("label_b")) & (F.col("same") >= need) & (F.col("same_b") >= need))
-    nodes = few(rows_.select("node", "hub", "label", "same", "size").distinct(), rows)
-    lacking = few(cut(outside(nodes.select("node", F.col("hub").alias("best")), items)).withColumnRenamed("best", "hub").join(nodes, ["node", "hub"]), rows)
-    # an item held by one class only is shared by no pair that matters
-    common = lacking.groupBy("hub", "item").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("hub", "item", "n")
-    least = nodes.groupBy("hub").agg(F.min("size").alias("shortest"))
-    own_ = W.partitionBy("hub", "node")
-    held = few(lacking, rows).join(few(common, rows), ["hub", "item"]).join(few(least, rows), "hub")
-    held = held.withColumn("left", F.count("*").over(own_)).withColumn("place", F.row_number().over(own_.orderBy("n", "item")))
-    # any partner shares at least `least_shared` of these, so one of them stands among the rarest left - least_shared + 1 of both nodes
-    s = near.similarity
-    bound = F.lit(s / (1 + s)) * (F.col("size") + F.greatest(F.col("shortest").cast("double"), F.col("size") * F.lit(s))) - 1e-9
-    held = held.filter(F.col("place") <= F.col("left") - F.greatest(F.ceil(bound - F.col("same")), F.lit(1)) + 1)
-    held = few(cut(held.select("hub", "item", "node", "label", "same", "size", (F.col("left") - F.col("place") + 1).alias("rest"))), rows)
-    twin = held.select("hub", "item", *[F.col(c).alias(f"{c}_b") for c in ("node", "label", "same", "size", "rest")])
-    # a pair's first common item has all that they share at or behind it in both, so at that item this bound holds for every pair that matters
-    close = held.join(twin, ["hub", "item"]).filter((F.col("label") < F.col("label_b")) & (F.least("same", "same_b") + F.least("rest", "rest_b") >= need))
-    return apart.select(F.col("node").alias("a"), F.col("node_b").alias("b")).unionByName(close.select(F.col("node").alias("a"), F.col("node_b").alias("b"))).distinct()
+    """a, b: every pair of a bucket, in different classes, that can still be similar.
+
+    Each node has been compared with its bucket's hub h. Let D(x) be the items that exactly one of x and h holds. Nodes a and b differ in
+    |D(a)| + |D(b)| - 2 |D(a) & D(b)| items, and are similar only if that is at most c (|a| + |b|), c = (1 - s) / (1 + s). With the excess
+    k(x) = |D(x)| - c |x| they must thus share (k(a) + k(b)) / 2 items of D, which is above 0 unless both are linked to h already. So the pair
+    shares one of the rarest |D| - (k(a) + k(b)) / 2 + 1 items of both (prefix filtering), where an item that one class holds alone doesn't
+    count. Copies of a hub with edits of their own share next to nothing of D, however many they are. Groups of up to three nodes pair directly."""
+    c = (1 - near.similarity) / (1 + near.similarity)
+    ways = [known.select(F.col(x).alias("node"), F.col(y).alias("hub"), "same", F.col(f"size_{x}").alias("size"), F.col(f"size_{y}").alias("hub_size")) for x, y in ("ab", "ba")]
+    sides = ways[0].unionByName(ways[1]).distinct()
+    mine = open_.join(hubs.select("bucket", F.col("to.node").alias("hub")), "bucket").filter("node <> hub").select("hub", "node", "label").distinct()
+    differ = F.col("size") + F.col("hub_size") - 2 * F.col("same")
+    nodes = mine.join(sides, ["node", "hub"]).select("hub", "node", "label", (differ - F.lit(c) * F.col("size")).alias("k"))
+    nodes = few(cut(few(nodes, rows)), rows)
+    groups = nodes.groupBy("hub").agg(F.count("*").alias("members"), F.min("k").alias("least_k"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
+    nodes = few(cut(nodes.join(groups.drop("lo", "hi"), "hub")), rows)
+    twin = lambda df, more: df.select("hub", *[F.col(x).alias(f"{x}_b") for x in ("node", "label", "k")], *more)
+    small = nodes.filter("members <= 3")
+    direct = small.join(twin(small, []), "hub").filter("label < label_b")
+    held = cut(differing(nodes.filter("members > 3"), items))
+    common = held.groupBy("hub", "item").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("hub", "item", "n")
+    own = W.partitionBy("hub", "node")
+    held = held.join(common, ["hub", "item"]).withColumn("left", F.count("*").over(own)).withColumn("place", F.row_number().over(own.orderBy("n", "item")))
+    held = held.select("hub", "node", "item", (F.col("left") - F.col("place") + 1).alias("rest")).join(nodes.select("hub", "node", "label", "k", "least_k"), ["hub", "node"])
+    # a pair is found by its node of lesser k in `index`, by the other in `probe`: they share at least k, and at least half of k and the least k
+    at_least = lambda x: F.greatest(F.ceil(x - 1e-9), F.lit(1))
+    held = cut(held.filter(F.col("rest") >= at_least((F.col("k") + F.col("least_k")) / 2)))
+    index, probe = held.filter(F.col("rest") >= at_least(F.col("k"))), twin(held, [F.col("item"), F.col("rest").alias("rest_b")])
+    # all that a pair shares stands at or behind its first common item in both, so this bound holds there
+    close = index.join(probe, ["hub", "item"]).filter((F.col("label") != F.col("label_b")) & (F.col("k") <= F.col("k_b")) & (F.least("rest", "rest_b") >= (F.col("k") + F.col("k_b")) / 2 - 1e-9))
+    return direct.select(F.col("node").alias("a"), F.col("node_b").alias("b")).unionByName(close.select(F.col("node").alias("a"), F.col("node_b").alias("b"))).distinct()
 
 
 def few(df: DataFrame, rows: int, each: int = 50_000) -> DataFrame:
@@ -279,7 +283,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, near: Near = Near()) -> DataFrame:
-    """doc_id, text_key, class_id (the least doc_id of the class) and class_size (documents) of every row of docs."""
+    """doc_id, text_key, class_id (the least doc_id of the class), class_size (documents), class_texts and label of every row of docs.
+    Only the label names a class for sure: ids may be null or repeated."""
     rows = cut(banded(docs, near))
     # a text's first row stands for it; partial aggregation meets copies before the shuffle
     texts = rows.groupBy("text_key").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
@@ -320,7 +325,7 @@ def classes(docs: DataFrame, near: Near = Near()) -> DataFrame:
     labels = components(known.filter(F.col("similarity") >= near.similarity).select("a", "b"))
     named = texts.join(labels, "node", "left").select("text_key", F.coalesce("label", "node").alias("label"), "least_id", "copies")
     heads = named.groupBy("label").agg(F.min("least_id").alias("class_id"), F.sum("copies").alias("class_size"), F.count("*").alias("class_texts"))
-    return rows.select("doc_id", "text_key").join(named.join(heads, "label").select("text_key", "class_id", "class_size", "class_texts"), "text_key")
+    return rows.select("doc_id", "text_key").join(named.join(heads, "label").select("text_key", "class_id", "class_size", "class_texts", "label"), "text_key")
 
 
 def verified_pairs(pairs: DataFrame, known: DataFrame | None, items: DataFrame, near: Near, rows: int) -> DataFrame:
@@ -331,15 +336,14 @@ def verified_pairs(pairs: DataFrame, known: DataFrame | None, items: DataFrame,
 
 
 def keep_one(docs: DataFrame, near: Near = Near()) -> DataFrame:
-    """docs without all but one document of each class: that with the least doc_id (of rows with one id, any one)."""
+    """docs without all but one document of each class: that with the least doc_id, nulls last (of equal ids that with the least text hash, of equal rows any)."""
     columns = docs.columns
-    found = classes(docs, near).groupBy("class_id").agg(F.min(F.struct("doc_id", "text_key")).alias("kept"))
-    kept = found.filter("class_id IS NOT NULL").select(F.col("class_id").alias("_kept_id"), F.col("kept.text_key").alias("_kept_key"))
+    least = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
+    kept = classes(docs, near).groupBy("label").agg(F.min(least).alias("kept")).select(F.col("kept.doc_id").alias("_kept_id"), F.col("kept.text_key").alias("_kept_key"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), _text_key().alias("key"))
-    chosen = rows.join(kept, (F.col("id") == F.col("_kept_id")) & (F.col("key") == F.col("_kept_key"))).dropDuplicates(["id"])
-    lost = rows.filter("id IS NULL").dropDuplicates(["key"])  # rows without an id: one of each text
-    return chosen.select("row").unionByName(lost.select("row")).select([F.col("row").getField(c).alias(c) for c in columns])
+    chosen = rows.join(kept, (F.col("key") == F.col("_kept_key")) & F.col("id").eqNullSafe(F.col("_kept_id"))).dropDuplicates(["key"])
+    return chosen.select([F.col("row").getField(c).alias(c) for c in columns])
 
 
 def op9_nearcopies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classes(table(spark, sf_dir, "documents")).drop("text_key")
+    return classes(table(spark, sf_dir, "documents")).drop("text_key", "label")

@@ -161,6 +161,52 @@ def test_near_copies_of_a_hub(spark):
     assert sizes == [1, 61]
 
 
+def test_near_copies_of_near_copies(spark):
+    """Copies of edited copies, which link to one another but not to the text they all come from, against brute force over all pairs."""
+    rng = random.Random(21)
+
+    def edit(words, n):
+        out = list(words)
+        for j in rng.sample(range(len(out)), n):
+            out[j] = f"new{rng.randrange(10**6)}"
+        return out
+
+    base = text(rng, 150).split()
+    made = [base]
+    for _ in range(40):
+        child = edit(base, rng.choice((4, 5, 6, 7)))
+        made += [child, *(edit(child, rng.choice((1, 2, 3))) for _ in range(rng.randrange(4)))]
+    bags = [collections.Counter(tuple(w[j : j + 5]) for j in range(146)) for w in made]
+    parent = list(range(len(made)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(range(len(made)), 2):
+        same = sum((bags[a] & bags[b]).values())
+        if same / (292 - same) >= 0.8:
+            parent[find(a)] = find(b)
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(made)], "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["class_id"] for r in nearcopies.classes(df).collect()}
+    least = {}
+    for k in range(len(made)):
+        least.setdefault(find(k), k)
+    assert got == {k: least[find(k)] for k in range(len(made))}
+    assert 10 < len(least) < len(made) - 10
+
+
+def test_one_of_each_class(spark):
+    """One row stays of each class, also where ids are null or repeated."""
+    rng = random.Random(22)
+    a, b, c = (text(rng, 120) for _ in range(3))
+    rows = [(None, a), (None, a), (None, a + " x"), (3, b), (3, c), (3, c), (4, c + " y"), (5, b), (None, b), (6, None), (None, "")]
+    kept = nearcopies.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in kept), key=str) == sorted([(None, next(r["text"] for r in kept if r["doc_id"] is None)), (3, b), (3, c), (6, None)], key=str)
+    assert next(r["text"] for r in kept if r["doc_id"] is None) in (a, a + " x")
+
+
 def test_line_chunks(docs, rows, none):
     rule = linechunks.Lines()
     done = {(r["doc_id"], r["n_chars"]): r for r in linechunks.dedup(docs, rule, counts=True).collect()}
