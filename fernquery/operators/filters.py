@@ -11,16 +11,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fernquery.functions import analyzer
-
-TAG_CHARS = r"[\p{L}\p{N}\p{M}\p{So}_/\-\u2000-\u206F]"
-_NEGATED = regex.compile(r"(?:^|(?<=\s))-(\S+)")
-_INLINE = regex.compile(
-    rf"\[(?P<ckey>{TAG_CHARS}+)\s*(?::\s*)?(?P<op>[<>=])\s*(?P<cval>[^\]]+?)\s*\]"
-    rf"|\[(?P<skey>{TAG_CHARS}+)\s*:\s*(?P<sval>[^\]]+?)\s*\]"
-    rf"|(?:^|\s)(?:tag:\#?(?P<tag>{TAG_CHARS}+)|path:(?P<path>\"[^\"]+\"|\S+)|after:(?P<after>\"[^\"]+\"|\S+)|before:(?P<before>\"[^\"]+\"|\S+)|\#(?P<hash>{TAG_CHARS}+))"
-)
-
+from fernquery.functions import analyzer, markup
 
 @dataclass
 class Context:
@@ -94,51 +85,116 @@ def end_ms(text: str) -> int | None:
     return None if base is None else base + 86_400_000
 
 
-def parse(raw: str, context: Context | None = None) -> tuple[str, Filters | None]:
-    """(text that is left, filters). Without any operator the text is kept as it is, but for blanks at its ends."""
-    out, context, dropped = Filters(), context or Context(), False
+def _unquoted(s: str) -> str:
+    return s[1:-1] if len(s) > 1 and s[0] == s[-1] == '"' else s
+
+
+def _run(text: str, at: int) -> int:
+    """The end of what isn't blank from `at` on."""
+    while at < len(text) and text[at] not in markup.BLANKS:
+        at += 1
+    return at
+
+
+def _argument(text: str, at: int) -> int:
+    """The end of an operator's argument: a quoted text that isn't empty, or what isn't blank."""
+    close = text.find('"', at + 1) if text.startswith('"', at) else -1
+    return close + 1 if close > at + 1 else _run(text, at)
 
-    def negated(m: regex.Match) -> str:
-        nonlocal dropped
-        word = m[1]
+
+class _Query:
+    """One pass over a raw query. Each `take_*` says where its construct ends, or None if what stands there is text."""
+
+    def __init__(self, raw: str, context: Context):
+        self.raw, self.context, self.found, self.dropped = raw, context, Filters(), False
+
+    def negation(self, at: int, end: int) -> bool:
+        """A leading minus excludes a word's terms. Negated operators go without effect, so that they can't turn into positive ones."""
+        word = self.raw[at + 1 : end]
+        if not word:
+            return False
         if word[0] in "#[" or ":" in word:
-            dropped = True  # negated operators are dropped, so that they can't turn into positive ones
-            return " "
+            self.dropped = True
+            return True
         terms = [analyzer.singular_text(t) for t in map(analyzer.fold_text, analyzer.tokenize(word)) if t not in analyzer.STOPWORDS]
-        if not terms:
-            return m[0]
-        out.exclude += terms
-        return " "
-
-    def unquoted(s: str) -> str:
-        return s[1:-1] if len(s) > 1 and s[0] == s[-1] == '"' else s
-
-    def inline(m: regex.Match) -> str:
-        g = m.groupdict()
-        if g["ckey"]:
-            value = number(g["cval"]) if context.numeric_keys is None or g["ckey"] in context.numeric_keys else None
-            if value is None:
-                out.mismatch.append(g["ckey"])
+        self.found.exclude += terms
+        return bool(terms)
+
+    def take_bracket(self, text: str, at: int) -> int | None:
+        """[key<n], [key>n], [key=n] with or without a colon before the sign, or [key:value]."""
+        close = text.find("]", at)
+        name_end = markup.run_end(text, at + 1)
+        if close < 0 or name_end == at + 1:
+            return None
+        key, rest = text[at + 1 : name_end], text[name_end:close].lstrip(markup.BLANKS)
+        colon = rest.startswith(":")
+        value = rest[1:].lstrip(markup.BLANKS) if colon else rest
+        if value[:1] in ("<", ">", "=") and len(value) > 1:
+            typed = self.context.numeric_keys is None or key in self.context.numeric_keys
+            n = number(value[1:]) if typed else None
+            if n is None:
+                self.found.mismatch.append(key)
             else:
-                out.numeric.append((g["ckey"], g["op"], value))
-        elif g["skey"]:
-            out.properties[g["skey"]] = g["sval"].strip()
-        elif g["tag"] or g["hash"]:
-            out.tags.append(g["tag"] or g["hash"])
-        elif g["path"]:
-            out.paths.append(unquoted(g["path"]))
+                self.found.numeric.append((key, value[0], n))
+        elif colon and len(rest) > 1:
+            self.found.properties[key] = value.strip(markup.BLANKS)
         else:
-            kind = "after" if g["after"] else "before"
-            value = unquoted(g[kind]).strip()
-            if not context.dates or (date_ms if kind == "after" else end_ms)(value) is None:
-                return m[0]
-            setattr(out, kind, value)
-        return " "
-
-    rest = regex.sub(r"\s+", " ", _INLINE.sub(inline, _NEGATED.sub(negated, raw))).strip()
-    if not out.any():
-        return (rest if dropped else raw.strip()), None
-    return rest, out
+            return None
+        return close + 1
+
+    def take_word(self, text: str, at: int) -> int | None:
+        """tag:, path:, after:, before: and #tag at the start of a word."""
+        name = next((x for x in ("tag:", "path:", "after:", "before:", "#") if text.startswith(x, at)), None)
+        if name is None:
+            return None
+        at += len(name)
+        if name in ("tag:", "#"):
+            at += name == "tag:" and text.startswith("#", at)
+            end = markup.tag_end(text, at)
+            if end > at:
+                self.found.tags.append(text[at:end])
+                return end
+            return None
+        end = _argument(text, at)
+        value = _unquoted(text[at:end])
+        if end == at:
+            return None
+        if name == "path:":
+            self.found.paths.append(value)
+            return end
+        bound = date_ms if name == "after:" else end_ms
+        value = value.strip(markup.BLANKS)
+        if not self.context.dates or bound(value) is None:
+            return None
+        setattr(self.found, name[:-1], value)
+        return end
+
+    def read(self) -> tuple[str, Filters | None]:
+        kept, at = [], 0
+        while at < len(self.raw):  # words with a minus first: what they exclude isn't read again
+            end = _run(self.raw, at)
+            gone = end > at and self.raw[at] == "-" and self.negation(at, end)
+            kept.append(" " if gone else self.raw[at:end])
+            kept.append(self.raw[end : end + 1])
+            at = end + 1
+        text, out, at = "".join(kept), [], 0
+        while at < len(text):
+            end = None
+            if text[at] == "[":
+                end = self.take_bracket(text, at)
+            elif at == 0 or text[at - 1] in markup.BLANKS:
+                end = self.take_word(text, at)
+            out.append(" " if end else text[at])
+            at = end or at + 1
+        rest = " ".join("".join(out).split())
+        if self.found.any():
+            return rest, self.found
+        return (rest if self.dropped else self.raw.strip(markup.BLANKS)), None
+
+
+def parse(raw: str, context: Context | None = None) -> tuple[str, Filters | None]:
+    """(text that is left, filters). Without any operator the text is kept as it is, but for blanks at its ends."""
+    return _Query(raw, context or Context()).read()
 
 
 def glob_pattern(glob: str) -> str:

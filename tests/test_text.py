@@ -45,15 +45,21 @@ def test_query_terms_keep_stopwords_only_alone():
         ('path:"Daily notes/2022" z', "z", lambda f: f.paths == ["Daily notes/2022"]),
         ("[price > 3] q", "q", lambda f: f.numeric == [("price", ">", 3.0)]),
         ("[price>abc]", "", lambda f: f.mismatch == ["price"]),
-        ("[a:b][c:d]", "", lambda f: f.properties == {"a": "b", "c": "d"}),
+        ("[kind:pub][town:Leith]tea", "tea", lambda f: f.properties == {"kind": "pub", "town": "Leith"}),
+        ("[size :>= 3]", "", lambda f: f.mismatch == ["size"]),
+        ("[size : < 3] [note:a>b]", "", lambda f: f.numeric == [("size", "<", 3.0)] and f.properties == {"note": "a>b"}),
+        ("[ x]", "[ x]", lambda f: f is None),
+        ("#tea/green/ #\u201cq", "/ #\u201cq", lambda f: f.tags == ["tea/green"]),
+        ("#ours\u201d", "\u201d", lambda f: f.tags == ["ours"]),
+        ('path:"" x', "x", lambda f: f.paths == [""]),
         ("[k:v1] [k:v2]", "", lambda f: f.properties == {"k": "v2"}),
         ("cats -dogs", "cats", lambda f: f.exclude == ["dog"]),
         ("cats -#dogs", "cats", lambda f: f is None),
         ("cats -the", "cats -the", lambda f: f is None),
         ("after:2026 before:2026-02 x", "x", lambda f: (f.after, f.before) == ("2026", "2026-02")),
         ("after:yesterday", "after:yesterday", lambda f: f is None),
-        ("http://x.y/#frag", "http://x.y/#frag", lambda f: f is None),
-        ("montag:treffen", "montag:treffen", lambda f: f is None),
+        ("see shop.example/a#deals", "see shop.example/a#deals", lambda f: f is None),
+        ("heritage:trail", "heritage:trail", lambda f: f is None),
     ],
 )
 def test_parse(raw, left, check):
@@ -73,6 +79,7 @@ def test_dates():
 
 
 def test_chunk_ids():
+    # Ids of existing stores.
     assert N.chunk_id("Notes/Foo.md", "Foo", "body text") == "1324c39d06d44a"
     assert N.chunk_id("Notes/Foo.md", "Foo", "body text", "project active") == "1c8096b6b2c2b8"
 
@@ -127,7 +134,50 @@ def test_sentences_and_snippets():
     assert [text[a:b] for a, b in N.sentences(text)] == ["One is here.", "Two follows e.g. this.", "Three!", "Four"]
     long = "Nothing. " * 60 + "The golden gate stands."
     assert N.snippet(long, N.passage_terms("golden")).startswith("The golden gate")
-    assert N.highlights("Golden gates, begone", ["g", "gold"]) == [(0, 4)] or N.highlights("Golden gates", ["gate"]) == [(7, 11)]
+
+
+def test_highlights():
+    text = "---\ntea: x\n---\nTea rooms; ![[tea]] and `tea` or [[tea/list|teapots]], [[teas]] steatite the"
+    found = [text[a:b] for a, b in N.highlights(text, ["tea", "room", "the", "t"])]
+    assert found == ["Tea", "rooms", "teapots", "teas"]
+    assert len(N.highlights("tea " * 50, ["tea"])) == 32
+    assert N.highlights("abc abd", ["ab", "abc"]) == [(0, 3), (4, 7)]
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("#walk and #Walk, x#no #2024 #2024/w1", ["walk", "2024/w1"]),
+        ("a %%#hidden%% #seen\n`#code` #after %% #gone", ["seen", "after"]),
+        ("```\n#fenced\n```\n#out/of/it/ #\u201cq\u201d #a\u2028b", ["out/of/it", "a"]),
+        ("`x`#y #日本語 #🎉 it", ["日本語", "🎉"]),
+    ],
+)
+def test_inline_tags(text, want):
+    assert N.inline_tags(text) == want
+
+
+@pytest.mark.parametrize(
+    ("text", "want", "lost"),
+    [
+        ("![[scan.tiff]] ![[Tea list]] ![[a.ogg]]", "Tea list a.ogg", "scan.tiff"),
+        ("[[x/y#z|Why]] [[x/y#z]] [t](u v) ![alt]( pic.png )", "Why y t alt", "pic.png x/y#z x/y#z u v"),
+        ("see <https://a.example/b> <b>bold</b> https://www.tea.example/green-leaf?x=1#y.", "see bold tea green leaf", "https://a.example/b https://www.tea.example/green-leaf?x=1#y."),
+        ("[![badge](b.svg)](https://c.example)", "badge", "b.svg https://c.example"),
+        ("a\n* * *\n\n\n\nb\t c \n d", "a\n\nb c\nd", ""),
+        ("[open [[x]] and (no) <3 i<j", "[open x and (no) <3 i<j", ""),
+    ],
+)
+def test_cleaning(text, want, lost):
+    assert N.clean_body(text) == (want, lost)
+
+
+def test_plain_snippets():
+    from fernquery.functions.markup import plain_snippet
+
+    assert plain_snippet("![[banner.png]]\nHi **there**\n\n\n\n```json\n{}\n```\n| a | b |\n|---|---|") == "Hi **there**\n\n{}"
+    assert plain_snippet("| a | b |\n|:--|--:|\n| 1 |  |\n$$\nx = 1\n$$") == "a · b  |  1  —  x = 1"
+    assert plain_snippet("a | b is prose") == "a | b is prose"
 
 
 def test_scalars(spark):
