@@ -7,17 +7,18 @@ A chunk of several lines that stands earlier (smaller doc_id, or the same docume
 removed; the first copy stays.
 
 Chunk boundaries seldom fit a short passage. So each pair of neighbouring lines is judged too: pairs that stand in a document of a smaller doc_id are
-joined to runs, and what the chunks leave of a run is removed if it has over `words` words.
+joined to runs, and a run of over `words` words is removed, whatever chunks its lines are in.
 
-Plan: one pass makes a slim row (digest, id, place) for each chunk of several lines and each pair of lines; the earliest row of
-each repeated digest is found by partial aggregation, which meets hot chunks before the shuffle. Only repeated spans'
-bytes are then fetched, compared with the earliest copy's bytes, and the confirmed ones removed. Both passes over
-documents join on the row key with the same exchange.
+Plan: one pass makes a slim row (digest, document, line, lines) for each chunk of several lines and each pair of lines; the earliest row of
+each repeated digest is found by partial aggregation, which meets hot chunks before the shuffle. Repeats of one document
+that follow one another in one earlier document are joined to ranges; each different range of an earlier document is fetched once as
+bytes, sent to the documents that repeat it and compared there, and only what is equal goes. Both passes over texts join
+on the document's key with the same exchange; texts without a line feed take no part in it.
 
 Defined results: lines end at line feeds; null and empty texts have no lines and come out as empty text (null stays null);
-a text of one chunk that is an earlier text's copy comes out empty; rows of equal doc_id and equal text are judged alike,
-neither removing the other's chunks; a null doc_id is later than all others; an empty table gives an empty result; all columns of docs pass
-through, whatever their names.
+a text of one chunk that is an earlier text's copy comes out empty; a null doc_id is later than all others; of different texts of one
+(or no) id the one with the lesser hash is earlier; rows of equal doc_id and equal text are copies of the first of them, so their
+chunks of several lines go; an empty table gives an empty result; all columns of docs pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,13 +29,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fernquery.llm.common import DIGITS, RangeHash, cut, mix64, runs_of, slices, table, utf8, word_spans
 
 U64 = np.uint64
 LATE = (1 << 63) - 1
-PAIR = 1 << 40  # places of pairs of lines begin here
 
 
 @dataclass(frozen=True)
@@ -60,13 +61,12 @@ def lines_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def rest_of_runs(pairs: np.ndarray, gone: np.ndarray, words: np.ndarray, least: int) -> np.ndarray:
-    """Lines left of runs of repeated pairs, where they have over `least` words. pairs: of each line and the next; gone: lines removed already."""
+    """Lines left of runs of repeated pairs that have over `least` words. pairs: of each line and the next; gone: lines removed already."""
     edge = np.diff(np.concatenate([[0], pairs.astype(np.int8), [0]]))
     out = np.zeros(len(gone), dtype=bool)
     for a, b in zip(np.flatnonzero(edge == 1).tolist(), (np.flatnonzero(edge == -1) + 1).tolist(), strict=True):
-        left = ~gone[a:b]
-        if words[a:b][left].sum() > least:
-            out[a:b] = left
+        if words[a:b].sum() > least:
+            out[a:b] = ~gone[a:b]
     return out
 
 
@@ -101,79 +101,135 @@ def chunks(data: np.ndarray, at: np.ndarray, rule: Lines) -> tuple[np.ndarray, n
     return row[begin], starts[begin], ends[stop], stop - begin + 1
 
 
-def _keyed(docs: DataFrame) -> list:
+def _keyed(docs: DataFrame, keep: bool = True) -> DataFrame:
+    """row (all columns), at_id and key (a hash of the text) of the rows whose text has a line feed (`keep`), or of all others."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(LATE)).alias("at_id"), F.unhex(F.md5(text.cast("binary"))).alias("text_key"), text.alias("whole")]
+    row = F.struct(*[F.col(f"`{c}`").cast("string").alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    has = F.contains(text, F.lit("\n"))
+    return docs.filter(has if keep else ~has).select(row.alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LATE)).alias("at_id"), F.xxhash64(text).alias("key"))
 
 
-def _each(column: pa.Array, rule: Lines) -> Iterator[tuple[np.ndarray, ...]]:
-    """(row, place in the row, first byte, end byte, lines) of all chunks, and the buffer, for each run of rows."""
-    data, at = utf8(column)
-    for lo, hi in slices(len(column), at):
-        row, start, end, lines = chunks(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], rule)
-        first = np.searchsorted(row, np.arange(hi - lo))
-        yield row + lo, np.arange(len(row)) - first[row] if len(row) else row, start + at[lo], end + at[lo], lines, data
+def slim_chunks(docs: DataFrame, rule: Lines) -> DataFrame:
+    """at_id, key, line, n, pair, digest of the chunks of several lines and the pairs of lines."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in runs_of(batches, 2):
+            data, at = utf8(b.column(2))
+            for lo, hi in slices(b.num_rows, at):
+                part, own = data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
+                row, start, end, n = chunks(part, own, rule)
+                line = np.cumsum(n) - n
+                line = line - line[np.searchsorted(row, row)]
+                many = n > 1
+                l_row, l_start, l_end = lines_of(part, own)
+                two = np.flatnonzero(l_row[1:] == l_row[:-1])
+                nth = np.arange(len(l_row)) - np.searchsorted(l_row, l_row)
+                row, line, n = np.concatenate([row[many], l_row[two]]), np.concatenate([line[many], nth[two]]), np.concatenate([n[many], np.full(len(two), 2)])
+                start, end = np.concatenate([start[many], l_start[two]]), np.concatenate([end[many], l_end[two + 1]])
+                pair = np.arange(len(row)) >= many.sum()
+                digest = RangeHash(part)(start, _bare(part, start, end)) if len(row) else np.zeros(0, np.uint64)
+                digest = np.where(pair, mix64(digest ^ DIGITS[0]), digest).view(np.int64)  # a pair is never a copy of a chunk
+                take = pa.array(row + lo)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(line.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(pair), pa.array(digest)], names=["at_id", "key", "line", "n", "pair", "digest"])
+
+    return _keyed(docs.select("doc_id", "text")).select("at_id", "key", "row.text").mapInArrow(run, "at_id long, key long, line int, n int, pair boolean, digest long")
+
+
+def ranges_of(spans: list[dict]) -> list[tuple[int, int, int, int, int]]:
+    """(line, lines, earlier document's id, key and line) that together hold all spans: neighbours in one earlier document are one range."""
+    found: dict[tuple, list[list[int]]] = {}
+    for s in sorted(spans, key=lambda s: (s["line"], -s["n"])):
+        runs = found.setdefault((s["f_id"], s["f_key"], s["f_line"] - s["line"]), [])
+        if runs and s["line"] <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], s["line"] + s["n"])
+        else:
+            runs.append([s["line"], s["line"] + s["n"]])
+    every = sorted(((a, b, f) for f, runs in found.items() for a, b in runs), key=lambda x: (x[0], -x[1]))
+    out, reach = [], -1
+    for a, b, (f_id, f_key, off) in every:
+        if b > reach:  # else a range that is sent anyway holds it
+            out.append((a, b - a, f_id, f_key, a + off))
+            reach = b
+    return out
 
-def _spans(column: pa.Array, rule: Lines) -> Iterator[tuple[np.ndarray, ...]]:
-    """(row, place, first byte, end byte without a final line feed) of the chunks of several lines and then of all pairs of lines, and the buffer."""
-    for row, place, start, end, lines, data in _each(column, rule):
-        many = lines > 1
-        row, place, start, end = row[many], place[many], start[many], end[many]
-        yield row, place, start, _bare(data, start, end), data
-    data, at = utf8(column)
-    for lo, hi in slices(len(column), at):
-        row, start, end = lines_of(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
-        nth = np.arange(len(row)) - np.searchsorted(row, row)
-        pair = np.flatnonzero(row[1:] == row[:-1])
-        start, end = start[pair] + at[lo], end[pair + 1] + at[lo] if len(pair) else pair
-        yield row[pair] + lo, nth[pair] + PAIR, start, _bare(data, start, end), data
 
+def sought(spans: DataFrame) -> DataFrame:
+    """The ranges of every document's spans, one row each."""
+    names = ["at_id", "key", "line", "n", "f_id", "f_key", "f_line"]
 
-def slim_chunks(docs: DataFrame, rule: Lines) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in runs_of(batches, 2):
-            for row, place, start, end, data in _spans(b.column(2), rule):
-                take = pa.array(row)
-                digest = RangeHash(data)(start, end) if len(row) else np.zeros(0, np.uint64)
-                digest = np.where(place < PAIR, digest, mix64(digest ^ DIGITS[0])).view(np.int64)  # a pair is never a copy of a chunk
-                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(place.astype(np.int64)), pa.array(digest), pa.array((end - start).astype(np.int64))], names=["at_id", "text_key", "place", "digest", "size"])
+        for b in batches:
+            made = [(i, k, *r) for i, k, own in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True) for r in ranges_of(own)]
+            columns = list(zip(*made, strict=True)) if made else [[]] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int32() if x in ("line", "n", "f_line") else pa.int64()) for c, x in zip(columns, names, strict=True)], names=names)
 
-    return docs.select(*_keyed(docs)).mapInArrow(run, "at_id long, text_key binary, place long, digest long, size long")
+    return spans.select("at_id", "key", "spans").mapInArrow(run, "at_id long, key long, line int, n int, f_id long, f_key long, f_line int")
 
 
-def fetch(wanted: DataFrame, docs: DataFrame, rule: Lines) -> DataFrame:
-    """The bytes of the spans in wanted (at_id, text_key, places), without a final line feed."""
+def fetch(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """f_id, f_key, f_line, n, bytes (without a final line feed) of the ranges in wanted (at_id, key, ranges)."""
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in runs_of(batches, 2):
-            places = [set(x) for x in b.column(3).to_pylist()]
-            rows, at, got = [], [], []
-            for row, place, start, end, data in _spans(b.column(2), rule):
-                for r, p, s, e in zip(row.tolist(), place.tolist(), start.tolist(), end.tolist(), strict=True):
-                    if p in places[r]:
-                        rows.append(r)
-                        at.append(p)
-                        got.append(data[s:e].tobytes())
-            take = pa.array(rows, type=pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(at, type=pa.int64()), pa.array(got, type=pa.binary())], names=["at_id", "text_key", "place", "bytes"])
-
-    keyed = docs.select(*_keyed(docs))
-    return keyed.join(wanted, ["at_id", "text_key"]).select("at_id", "text_key", "whole", "places").mapInArrow(run, "at_id long, text_key binary, place long, bytes binary").dropDuplicates(["at_id", "text_key", "place"])
+        for b in batches:
+            texts = b.column(2).field(at)
+            for lo in range(0, b.num_rows, 64):
+                ids, keys, line, n, got = [], [], [], [], []
+                for r in range(lo, min(lo + 64, b.num_rows)):
+                    data = np.frombuffer((texts[r].as_py() or "").encode(), np.uint8)
+                    _, first, last = lines_of(data, np.array([0, len(data)]))
+                    last = _bare(data, first, last)
+                    for x in b.column(3)[r].as_py():
+                        ids.append(b.column(0)[r].as_py())
+                        keys.append(b.column(1)[r].as_py())
+                        line.append(x["f_line"])
+                        n.append(x["n"])
+                        got.append(data[first[x["f_line"]] : last[x["f_line"] + x["n"] - 1]].tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(ids, type=pa.int64()), pa.array(keys, type=pa.int64()), pa.array(line, type=pa.int32()), pa.array(n, type=pa.int32()), pa.array(got, type=pa.binary())], names=["f_id", "f_key", "f_line", "n", "bytes"])
+
+    joined = _keyed(docs).join(wanted, ["at_id", "key"]).select("at_id", "key", "row", "ranges")
+    return joined.mapInArrow(run, "f_id long, f_key long, f_line int, n int, bytes binary").dropDuplicates(["f_id", "f_key", "f_line", "n"])
 
 
 def repeated(docs: DataFrame, rule: Lines = Lines()) -> DataFrame:
-    """at_id, text_key and the places of the chunks to remove and of the pairs of lines that stand in earlier documents."""
-    slim = cut(slim_chunks(docs, rule).dropDuplicates(["at_id", "text_key", "place"]))
-    firsts = slim.groupBy("digest", "size").agg(F.min(F.struct("at_id", "place", "text_key")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    later = slim.join(firsts.drop("n"), ["digest", "size"]).filter(f"at_id > first.at_id OR (at_id = first.at_id AND place > first.place AND place < {PAIR})")
-    later = cut(later.select("at_id", "text_key", "place", "digest", "size", F.col("first.at_id").alias("f_id"), F.col("first.text_key").alias("f_key"), F.col("first.place").alias("f_place")))
-    sides = later.select("at_id", "text_key", "place").unionByName(later.select(F.col("f_id").alias("at_id"), F.col("f_key").alias("text_key"), F.col("f_place").alias("place")).distinct())
-    got = cut(fetch(sides.groupBy("at_id", "text_key").agg(F.collect_set("place").alias("places")), docs, rule))
-    own = later.join(got, ["at_id", "text_key", "place"])
-    first = got.select(F.col("at_id").alias("f_id"), F.col("text_key").alias("f_key"), F.col("place").alias("f_place"), F.col("bytes").alias("f_bytes"))
-    same = own.join(first, ["f_id", "f_key", "f_place"]).filter("bytes = f_bytes")
-    return same.groupBy("at_id", "text_key").agg(F.collect_set("place").alias("places"))
+    """at_id, key, spans (line, n, pair) that stand earlier too, and proofs (line, n, bytes of an earlier document) for them."""
+    slim = cut(slim_chunks(docs, rule))
+    firsts = slim.groupBy("digest").agg(F.min(F.struct("at_id", "key", "line")).alias("first"), F.count("*").alias("many")).filter("many > 1").select("digest", "first")
+    own = F.struct("at_id", "key", "line")
+    elsewhere = (F.col("at_id") != F.col("first.at_id")) | (F.col("key") != F.col("first.key"))
+    later = slim.join(firsts, "digest").filter((own > F.col("first")) & (elsewhere | ~F.col("pair")))
+    span = F.struct("line", "n", "pair", F.col("first.at_id").alias("f_id"), F.col("first.key").alias("f_key"), F.col("first.line").alias("f_line"))
+    spans = cut(later.groupBy("at_id", "key").agg(F.collect_set(span).alias("spans")))
+    ranges = sought(spans)
+    place = ["f_id", "f_key", "f_line", "n"]
+    wanted = ranges.select(*place).distinct().groupBy(F.col("f_id").alias("at_id"), F.col("f_key").alias("key")).agg(F.collect_list(F.struct("f_line", "n")).alias("ranges"))
+    proofs = ranges.join(fetch(wanted, docs), place).groupBy("at_id", "key").agg(F.collect_list(F.struct("line", "n", "bytes")).alias("proofs"))
+    return spans.join(proofs, ["at_id", "key"]).select("at_id", "key", F.transform("spans", lambda x: F.struct(x["line"].alias("line"), x["n"].alias("n"), x["pair"].alias("pair"))).alias("spans"), "proofs")
+
+
+def lines_gone(data: np.ndarray, spans: list[dict], proofs: list[dict], copy: bool, rule: Lines) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first byte, end byte, whether it goes) of each line of one text."""
+    zero = np.array([0, len(data)])
+    _, first, last = lines_of(data, zero)
+    bare = _bare(data, first, last)
+    gone, pairs, proven = np.zeros(len(first), dtype=bool), np.zeros(max(len(first) - 1, 0), dtype=bool), []
+    for x in proofs:
+        a, b = x["line"], x["line"] + x["n"]
+        if data[first[a] : bare[b - 1]].tobytes() == x["bytes"]:
+            proven.append((a, b))
+    if copy:
+        _, _, _, n = chunks(data, zero, rule)
+        gone |= np.repeat(n > 1, n)
+    for s in spans:
+        a, b = s["line"], s["line"] + s["n"]
+        if any(x <= a and b <= y for x, y in proven):
+            if s["pair"]:
+                pairs[a] = True
+            else:
+                gone[a:b] = True
+    if pairs.any():
+        gone |= rest_of_runs(pairs, gone, word_spans(data, np.append(first, len(data)))[2], rule.words)
+    return first, last, gone
 
 
 def dedup(docs: DataFrame, rule: Lines = Lines(), counts: bool = False) -> DataFrame:
@@ -182,39 +238,37 @@ def dedup(docs: DataFrame, rule: Lines = Lines(), counts: bool = False) -> DataF
 
     columns = docs.columns
     at = columns.index("text")
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`").cast("string").alias(c) if c == "text" else F.col(f"`{c}`") for c in columns]).alias("row"), *_keyed(docs)[:2])
-    joined = keyed.join(repeated(docs, rule), ["at_id", "text_key"], "left")
-    flat = joined.select(*[F.col("row").getField(c).alias(f"c{k}") for k, c in enumerate(columns)], F.coalesce("places", F.array().cast("array<bigint>")).alias("places"))
-    schema = StructType([*flat.schema.fields[:-1], StructField("n_lines", LongType()), StructField("n_removed", LongType())])
+    joined = _keyed(docs).join(repeated(docs, rule), ["at_id", "key"], "left")
+    joined = joined.withColumn("nth", F.row_number().over(W.partitionBy("at_id", "key").orderBy("at_id")))
+    flat = joined.select(*[F.col("row").getField(c).alias(f"c{k}") for k, c in enumerate(columns)], "spans", "proofs", (F.col("nth") > 1).alias("copy"))
+    schema = StructType([*flat.schema.fields[:-3], StructField("n_lines", LongType()), StructField("n_removed", LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in runs_of(batches, at):
-            n = b.num_rows
-            gone = [set(x) for x in b.column(len(columns)).to_pylist()]
-            texts, n_lines, n_gone = b.column(at).to_pylist(), np.zeros(n, np.int64), np.zeros(n, np.int64)
-            ends = utf8(b.column(at))[1][1:].tolist()
-            kept: dict[int, list[bytes]] = {r: [] for r in range(n) if gone[r]}
-            for row, place, start, _, lines, data in _each(b.column(at), rule):
-                np.add.at(n_lines, row, lines)
-                for r in [r for r in np.unique(row).tolist() if gone[r]]:
-                    a, z = np.searchsorted(row, [r, r + 1])
-                    part = data[start[a] : ends[r]]
-                    _, first, last = lines_of(part, np.array([0, len(part)]))
-                    off = np.repeat([p in gone[r] for p in place[a:z].tolist()], lines[a:z])
-                    pairs = np.array([PAIR + i in gone[r] for i in range(len(first) - 1)], dtype=bool)
-                    if pairs.any():
-                        off = off | rest_of_runs(pairs, off, word_spans(part, np.append(first, len(part)))[2], rule.words)
-                    n_gone[r] = off.sum()
-                    kept[r] = [part[s:e].tobytes() for s, e, x in zip(first.tolist(), last.tolist(), off.tolist(), strict=True) if not x]
-            for r, parts in kept.items():
-                texts[r] = b"".join(parts).decode("utf-8")
-            out = [pa.array(texts, type=pa.string()) if k == at else b.column(k) for k in range(len(columns))]
-            yield pa.RecordBatch.from_arrays([*out, pa.array(n_lines), pa.array(n_gone)], names=[f.name for f in schema.fields])
+            n, k = b.num_rows, len(columns)
+            copy = b.column(k + 2).to_pylist()
+            hit = [r for r in range(n) if copy[r] or b.column(k)[r].is_valid]
+            data, ends = utf8(b.column(at))
+            n_lines, n_gone = np.bincount(lines_of(data, ends)[0], minlength=n), np.zeros(n, np.int64)
+            texts = b.column(at)
+            if hit:
+                texts = texts.to_pylist()
+                for r in hit:
+                    own = data[ends[r] : ends[r + 1]]
+                    first, last, gone = lines_gone(own, b.column(k)[r].as_py() or [], b.column(k + 1)[r].as_py() or [], copy[r], rule)
+                    n_gone[r] = gone.sum()
+                    if n_gone[r]:
+                        texts[r] = b"".join(own[s:e].tobytes() for s, e, x in zip(first.tolist(), last.tolist(), gone.tolist(), strict=True) if not x).decode("utf-8")
+                texts = pa.array(texts, type=pa.string())
+            out = [texts if j == at else b.column(j) for j in range(k)]
+            yield pa.RecordBatch.from_arrays([*out, pa.array(n_lines.astype(np.int64)), pa.array(n_gone)], names=[f.name for f in schema.fields])
 
     done = flat.mapInArrow(run, schema)
-    if counts:
-        return done.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(columns)], "n_lines", "n_removed")
-    return done.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(columns)])
+    plain = _keyed(docs, keep=False).select(*[F.col("row").getField(c).alias(f"c{k}") for k, c in enumerate(columns)])
+    one = (F.length(F.coalesce(F.col(f"c{at}"), F.lit(""))) > 0).cast("long")
+    done = done.unionByName(plain.withColumn("n_lines", one).withColumn("n_removed", F.lit(0).cast("long")))
+    out = [F.col(f"c{k}").alias(c) for k, c in enumerate(columns)]
+    return done.select(*out, "n_lines", "n_removed") if counts else done.select(*out)
 
 
 def op2_linechunks(spark: SparkSession, sf_dir: str) -> DataFrame:
