@@ -426,7 +426,7 @@ def test_quality(spark, none):
 
 
 def test_context_mixing(docs, rows, none):
-    got = contextmix.score(docs, contextmix.Mixing(words=50, bits=16)).collect()
+    got = contextmix.score(docs, contextmix.Mixing(words=50, least_bits=10, most_bits=12)).collect()
     low = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
     import re
 
@@ -437,23 +437,111 @@ def test_context_mixing(docs, rows, none):
     want = sorted((str(i), len(ts), sum(c[t] > 0 for t in ts), round(sum(math.log10((c[t] + 0.1) / (n + 0.1 * (v + 1))) for t in ts), 6), not learns(i)) for i, ts in tokens)
     assert sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], round(r["base_score"], 6), r["held_out"]) for r in got) == want
     assert all(r["train_tokens"] == n and r["score"] < 0 for r in got)
-    assert contextmix.score(none, contextmix.Mixing(words=50, bits=16)).count() == 0
-
-
-def test_context_weights_are_fitted_on_all_learning_rows(spark):
-    """The slope of the cost over all rows and whole texts is all but gone at the starting weights, also where most of the corpus lies behind a long prefix."""
-    rng = random.Random(9)
-    rows = [(k, text(rng, 30)) for k in range(300)] + [(1000 + k, text(rng, 4000) + " " + " ".join("".join(rng.choice("qwxyz") for _ in range(5)) for _ in range(4000))) for k in range(3)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    rule = contextmix.Mixing(words=200, bits=16, rounds=6)
-    learnt, _ = contextmix.learn(df, rule)
-    weights = contextmix.fit(df, spark.sparkContext.broadcast(learnt), rule)
-    data, at = contextmix.utf8(contextmix.pa.array([t for i, t in rows if zlib.crc32(str(i).encode()) % 10]))
-    for stream, w in zip(learnt.coder.streams(data, at, learnt.coder.tokens(data, at)), weights, strict=True):
-        first = contextmix.slopes(stream, learnt.tables, np.tile(np.array([0.3, 0.4, 0.4, 0.0]), (16, 1)))
-        last = contextmix.slopes(stream, learnt.tables, w)
-        assert (last[:, 0] <= first[:, 0] + 1e-3 * (1 + first[:, 0])).all()
-        assert np.abs(last[:, 1:5]).sum() < 0.05 * np.abs(first[:, 1:5]).sum()
+    assert contextmix.score(none, contextmix.Mixing(words=50, least_bits=10, most_bits=12)).count() == 0
+
+
+def small_stream(rng, rows=5, symbols=9):
+    tree = contextmix.huffman(np.array([rng.randrange(1, 60) for _ in range(symbols)]))
+    wide = tree[2].astype(np.uint64) * contextmix.ODD
+    n = [rng.randrange(1, 90) for _ in range(rows)]
+    row, nth = np.repeat(np.arange(rows), n), np.concatenate([np.arange(k) for k in n])
+    symbol = np.array([rng.randrange(symbols) for _ in row])
+    contexts = {k: np.array([rng.randrange(4) for _ in row], dtype=np.uint64) * np.uint64(977) for k in ("a", "b")}
+    plain = np.array([rng.randrange(-20, 20) for _ in range(symbols)], dtype=np.int8)
+    codes = contextmix.packed_codes(tree)
+    code = [tuple(tree[3][tree[0][k] : tree[0][k] + tree[1][k]].tolist()) for k in range(symbols)]
+    guess = [np.array([rng.randrange(symbols) for _ in row]) for _ in range(2)]
+    shared = [np.array([next((j for j in range(len(code[g])) if j >= len(code[x]) or code[g][j] != code[x][j]), 64) if g != x else 64 for g, x in zip(y, symbol, strict=True)]) for y in guess]
+    kinds = [np.array([rng.randrange(k) for _ in row]) for k in (contextmix.IN, contextmix.OUT)]
+    assert len(set(codes.tolist())) == symbols
+    return contextmix.Stream(tree, wide, symbol, row, nth, 8, contexts, ("a",), plain, tuple(zip(shared, kinds, strict=True))), code, guess
+
+
+def test_mixing_cost_by_brute_force():
+    """Counts, and the coding cost with online refinement, bit by bit in plain Python."""
+    rng = random.Random(31)
+    stream, code, _ = small_stream(rng)
+    first, size, nodes, bits = stream.tree
+    held = {k: np.zeros(4 * 64, dtype=np.uint32) for k in ("a", "b")}
+    stream.count(held, 1)
+    mask = (1 << 64) - 1
+    slot = lambda c, node, n: ((int(c) ^ (node * int(contextmix.ODD) & mask)) * int(contextmix.GOLD) & mask) >> (65 - n.bit_length())
+    want = {k: np.zeros(4 * 64, dtype=np.uint32) for k in ("a", "b")}
+    for t, x in enumerate(stream.symbol):
+        for j, bit in enumerate(code[x]):
+            for k in want:
+                want[k][128 + 2 * slot(stream.contexts[k][t], int(nodes[first[x] + j]), 64) + bit] += 1
+    assert all((held[k] == want[k]).all() for k in held)
+    tables = {k: np.array([rng.randrange(-400, 400) for _ in range(64)], dtype=np.int16) for k in ("a", "b")}
+    weights = np.array([[rng.uniform(-0.3, 0.8) for _ in range(6)] for _ in range(contextmix.GATES)])
+    got = stream.cost(tables, weights, 5, 0.3)
+    total, add = np.zeros(5), np.zeros((5, 6))
+    for r in range(5):
+        own = np.flatnonzero(stream.row == r)
+        edges = [0, 8, 16, 32, 64, 128]
+        for a, b in itertools.pairwise(edges):
+            grad, seen = np.zeros(6), 0
+            for t in own[(stream.nth[own] >= a) & (stream.nth[own] < b)]:
+                x = stream.symbol[t]
+                for j, bit in enumerate(code[x]):
+                    node = int(nodes[first[x] + j])
+                    found = {k: int(tables[k][slot(stream.contexts[k][t], node, 64)]) for k in tables}
+                    v, gate, scale = [stream.plain[node] / 10, (found["a"] >> 2) / 10, (found["b"] >> 2) / 10], found["a"] & 3, 4
+                    for (shared, kind), n in zip(stream.deep, (contextmix.IN, contextmix.OUT), strict=True):
+                        here = int(kind[t]) if shared[t] >= j else 0
+                        says = bit if shared[t] > j else 1 - bit
+                        v.append((3 if says else -3) if here else 0)
+                        gate += scale * here
+                        scale *= n
+                    v = np.array([*v, 1.0])
+                    p = 1 / (1 + math.exp(-min(18, max(-18, float((weights[gate] + add[r]) @ v)))))
+                    total[r] -= math.log2(p if bit else 1 - p)
+                    grad += (bit - p) * v
+                    seen += 1
+            add[r] += 0.3 * grad / (seen + 8)
+    assert np.abs(got - total).max() < 1e-3 * total.max()
+
+
+def test_mixing_is_a_distribution():
+    """The probabilities of all symbols in one place sum to one, whatever is guessed there."""
+    rng = random.Random(32)
+    tree = contextmix.huffman(np.array([rng.randrange(1, 1000) for _ in range(40)]))
+    codes = contextmix.packed_codes(tree)
+    for guess in (3, 17):
+        every = np.arange(40)
+        _, e = np.frexp((codes[guess] ^ codes[every]).astype(np.float64))
+        shared = np.where(every == guess, 64, 53 - e)
+        ones = np.ones(40, dtype=np.int64)
+        s = contextmix.Stream(tree, tree[2].astype(np.uint64) * contextmix.ODD, every, every, 0 * every, 8, {"a": ones.astype(np.uint64)}, ("a",), np.array([rng.randrange(-30, 30) for _ in range(40)], dtype=np.int8), ((shared, ones), (shared, 2 * ones)))
+        tables = {"a": np.array([rng.randrange(-300, 300) for _ in range(256)], dtype=np.int16)}
+        bits = s.cost(tables, np.full((contextmix.GATES, 5), 0.4), 40, 0.05)
+        assert abs((2.0**-bits).sum() - 1) < 1e-4
+
+
+def test_a_text_that_stands_twice_is_told_apart(spark):
+    """Learning rows are scored without their own counts: a text that stands once costs as much as a held-out one, a copy costs far less."""
+    rng = random.Random(33)
+    rows = [(k, text(rng, 150)) for k in range(400)]
+    rows += [(1000 + k, rows[k][1]) for k in range(0, 40, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r for r in contextmix.score(df, contextmix.Mixing(words=500, most_bits=16)).collect()}
+    learns = lambda k: zlib.crc32(str(k).encode()) % 10 != 0
+    once = [got[k]["bits_per_byte"] for k in range(40, 400) if learns(k)]
+    held = [got[k]["bits_per_byte"] for k in range(40, 400) if not learns(k)]
+    twice = [got[k]["bits_per_byte"] for k in [*range(0, 40, 2), *range(1000, 1040, 2)] if learns(k % 1000) and learns(k % 1000 + 1000)]
+    assert abs(np.mean(once) / np.mean(held) - 1) < 0.03
+    assert max(twice) < 0.8 * min(once)
+    again = {r["doc_id"]: r["score"] for r in contextmix.score(df.repartition(3), contextmix.Mixing(words=500, most_bits=16)).collect()}
+    assert all(abs(again[k] - got[k]["score"]) < 1e-3 * abs(got[k]["score"]) for k in again)
+
+
+def test_anchors_and_planes():
+    rng = np.random.default_rng(7)
+    tok = rng.integers(-(1 << 30), 300_000, 500)
+    assert (contextmix.from_planes(contextmix.planes(tok)) == tok).all()
+    a, b = contextmix.anchors_of(tok, contextmix.Mixing()), contextmix.anchors_of(tok[100:], contextmix.Mixing())
+    assert {(p - 100, k) for p, k in zip(*a, strict=True) if p > 110} == {(p, k) for p, k in zip(*b, strict=True) if p > 10}
+    assert 10 < len(a[0]) < 70 and len(contextmix.anchors_of(tok[:3], contextmix.Mixing())[0]) == 0
 
 
 def test_codes_are_complete():
