@@ -1,24 +1,24 @@
 """Repeated byte windows by a depth-limited most-significant-digit radix sort of suffixes.
 
-Suffixes are ordered only through the threshold (100 bytes), one digit a pass, and a suffix leaves as soon as its
-group has no other member; the groups that are left at full depth are exactly the repeated windows. The digits:
-
-1. The window's minimiser: its leftmost gram of `gram` bytes with the least hash. Equal windows have equal minimisers at
-   equal distances, so neighbouring windows with one minimiser travel as one block (a row each 30 to 40 bytes of text), with
-   the digest of the bytes that the block's windows cover. A group of blocks with one digest is decided at once: its
-   earliest block is the first, all windows of the others repeat it. A group with one block leaves.
-2. Groups of several digests: the earliest block of each digest is fetched as bytes, and its windows are compared at
-   each distance from the minimiser by a hash of their 100 bytes.
-3. Groups too large for one task's buffer (`buffer` blocks of different digests) are dealt out again by window hash,
-   and each window's group is then decided like a block's.
-
-Every pass streams sorted rows with a constant carry, or a bounded buffer, so no group is ever held whole. Blocks that
-repeat within one batch are decided where they are read, which pre-aggregates hot passages before the shuffle.
-Digests are 64-bit hashes beside the 64-bit (in pass 1, masked) gram hash; groups agree on both.
-
-Defined results: null and empty texts have no windows; rows of equal doc_id are one document, in which only an earlier
-start removes; a null doc_id is later than all others; an empty table gives an empty result; columns other than
-doc_id and text don't take part, whatever their names.
+Suffixes are ordered only through the threshold (100 bytes), a digit at a time, and a suffix leaves as soon as its
+group has no other member; the groups that are left at full depth are exactly the repeated windows. Digits are bytes of the text.
+
+1. First digit: 24 bytes at the window's minimiser, its leftmost gram with the least hash (equal windows have equal minimisers at
+   equal distances, so grouping by them before the window's first byte loses nothing). Neighbouring windows with one minimiser travel as one block, a row each 30 to
+   40 bytes of text. Rows are dealt and sorted by these bytes. Blocks of one group whose covered bytes have one digest are decided at once: the earliest
+   is the first, all windows of the others are proposed as repeats. A group with one block leaves.
+2. Further digits: of groups that hold several digests, the earliest block of each is fetched as bytes, and the windows are sorted by
+   eight bytes a pass, most significant first, through depth 100. A group without another member leaves after each pass.
+3. Groups too large for one task's buffer (`buffer` blocks of different digests) are dealt out again by the first 24 bytes of each
+   window, and decided like blocks.
+
+What passes 1 and 3 propose by digests is confirmed on bytes: the earlier text's bytes travel to the later text, once for each range, and are compared
+there. Every pass streams sorted rows with a constant carry, or a bounded buffer, so no group is ever held whole. Blocks that
+repeat within a task are decided where they are read, which pre-aggregates hot passages before the shuffle.
+
+Order of documents: by doc_id, a null doc_id later than all others; different texts of one or no id by the hash of the text. Defined results: null and
+empty texts have no windows; of rows of equal doc_id (or none) and equal text, later copies are removed whole if they have 100 bytes, and the first is judged as any text; a
+text is only ever cut by ranges of its own; an empty table gives an empty result; columns other than doc_id and text don't take part, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,19 +29,42 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fernquery.llm.common import RangeHash, cut, mix64, runs_of, slices, table, utf8
+from fernquery.llm.common import RangeHash, held, mix64, runs_of, slices, table, utf8
 
 U64 = np.uint64
-LATE = (1 << 63) - 1
+GRAM = 24  # bytes of the first digit, as three 64-bit numbers
+STARTS = 31  # low bits of a place: the start; above it are 32 bits of the text's hash
+PROPOSED, EXACT = -1, -2  # ranges, in `away`
+DOC = ["late", "at_id", "text_key"]
 
 
 @dataclass(frozen=True)
 class Repeats:
     length: int = 100
-    gram: int = 24
     buffer: int = 4096
+    hot: int = 1 << 17  # repeated blocks that a task remembers
+
+
+ROWS = "d1 long, d2 long, d3 long, t long, late boolean, at_id long, place long, n int, away int"
+NAMES = [x.split()[0] for x in ROWS.split(", ")]
+KINDS = [pa.int64()] * 4 + [pa.bool_()] + [pa.int64()] * 2 + [pa.int32()] * 2
+
+
+def _rows(columns: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.asarray(x), type=k) for x, k in zip(columns, KINDS, strict=True)], names=NAMES)
+
+
+def _columns(b: pa.RecordBatch) -> list[np.ndarray]:
+    return [b.column(k).to_numpy(zero_copy_only=False) for k in range(len(NAMES))]
+
+
+def words_at(data: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Eight bytes from each place on, as a number whose order is that of the bytes."""
+    view = np.ndarray((max(len(data) - 7, 0),), dtype=">u8", buffer=np.ascontiguousarray(data), strides=(1,))
+    return view[place].astype(np.uint64)
 
 
 def _least(x: np.ndarray, width: int) -> np.ndarray:
@@ -55,251 +78,348 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def blocks(data: np.ndarray, at: np.ndarray, rule: Repeats) -> tuple[np.ndarray, ...]:
-    """(row, first start, number of starts, distance to the minimiser, gram hash, digest) of each block of windows."""
-    n, width = len(data), rule.length - rule.gram + 1
+    """(row, first start, number of starts, distance to the minimiser, place of the minimiser, digest) of each block of windows."""
+    n, width = len(data), rule.length - GRAM + 1
     if n < rule.length:
-        return tuple(np.zeros(0, np.int64) for _ in range(4)) + tuple(np.zeros(0, np.uint64) for _ in range(2))
+        return tuple(np.zeros(0, np.int64) for _ in range(5)) + (np.zeros(0, np.uint64),)
     hashes = RangeHash(data)
-    place = np.arange(n - rule.gram + 1)
-    gram = hashes(place, place + rule.gram)
-    bits = max(1, int(n).bit_length())
-    mask = U64((1 << bits) - 1)
-    found = _least((gram & ~mask) | place.astype(np.uint64), width)  # one for each start, 0 .. n - length
-    mini = (found & mask).astype(np.int64)
-    size = np.diff(at)
-    starts_ok = np.zeros(n + 1, dtype=np.int64)  # windows that stay within their row
-    has = size >= rule.length
-    np.add.at(starts_ok, at[:-1][has], 1)
-    np.add.at(starts_ok, at[1:][has] - rule.length + 1, -1)
-    ok = np.cumsum(starts_ok)[: len(mini)] > 0
+    place = np.arange(n - GRAM + 1)
+    gram = hashes(place, place + GRAM)
+    mask = U64((1 << max(1, int(n).bit_length())) - 1)
+    mini = (_least((gram & ~mask) | place.astype(np.uint64), width) & mask).astype(np.int64)  # one for each start, 0 .. n - length
+    has = np.diff(at) >= rule.length
+    within = np.zeros(n + 1, dtype=np.int64)  # windows that stay within their row
+    np.add.at(within, at[:-1][has], 1)
+    np.add.at(within, at[1:][has] - rule.length + 1, -1)
+    ok = np.cumsum(within)[: len(mini)] > 0
     new = ok.copy()
     new[1:] &= (mini[1:] != mini[:-1]) | ~ok[:-1]
-    row_starts = at[:-1][has]
-    new[row_starts] = True
+    new[at[:-1][has]] = True
     first = np.flatnonzero(new)
     edge = np.flatnonzero(np.diff(np.concatenate([ok, [False]]).astype(np.int8)) == -1)  # last good start of each run
     stop = np.minimum(np.append(first[1:], len(mini)), edge[np.searchsorted(edge, first)] + 1) if len(first) else first
     row = np.searchsorted(at, first, side="right") - 1
-    count = stop - first
     anchor = mini[first]
-    away = anchor - first
-    digest = mix64(hashes(first, stop - 1 + rule.length) ^ mix64(away.astype(np.uint64) + U64(7)))
-    return row, first - at[row], count, away, gram[anchor], digest
+    digest = mix64(hashes(first, stop - 1 + rule.length) ^ mix64((anchor - first).astype(np.uint64) + U64(7)))
+    return row, first - at[row], stop - first, anchor - first, anchor, digest
 
 
-ROWS = "h long, t long, at_id long, start long, n int, away int"
-NAMES = ["h", "t", "at_id", "start", "n", "away"]
-KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+def equal_ranges(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether data[a : a + size] equals data[b : b + size], for each range."""
+    off = np.cumsum(size) - size
+    of = np.repeat(np.arange(len(size)), size)
+    step = np.arange(len(of)) - off[of]
+    differ = data[a[of] + step] != data[b[of] + step]
+    return np.bincount(of[differ], minlength=len(size)) == 0
 
 
-def _rows(h, t, ids, start, n, away) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.asarray(x), type=k) for x, k in zip((h, t, ids, start, n, away), KINDS, strict=True)], names=NAMES)
+def _texts(docs: DataFrame) -> DataFrame:
+    """late, at_id, text_key and text: the same columns wherever texts are joined, so that one exchange of them serves all joins of a plan."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    at_id = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.lit("late"), text))
+    return docs.select(F.col("doc_id").isNull().alias("late"), at_id.alias("at_id"), F.xxhash64(text).bitwiseAND(F.lit((1 << 32) - 1)).alias("text_key"), text.alias("text"))
+
+
+def _long_texts(docs: DataFrame, rule: Repeats) -> DataFrame:
+    return _texts(docs).filter(F.octet_length("text") >= rule.length)
 
 
 def cut_blocks(docs: DataFrame, rule: Repeats) -> DataFrame:
-    """ROWS of all documents; away is -1 in rows that say: these windows repeat earlier ones (h is then only for dealing)."""
+    """ROWS of all documents. In ranges, d1 to d3 name the source: its at_id, its place, whether its id is null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple, tuple] = {}  # blocks that this task met more than once: digits to the earliest
         for b in batches:
-            ids = b.column(0).to_numpy()
-            data, at = utf8(b.column(1))
+            late, ids, keys = (b.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            data, at = utf8(b.column(3))
             for lo, hi in slices(b.num_rows, at, 1 << 20):
-                row, start, n, away, gram, digest = blocks(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], rule)
+                part = data[at[lo] : at[hi]]
+                row, start, n, away, anchor, digest = blocks(part, at[lo : hi + 1] - at[lo], rule)
                 if not len(row):
                     continue
-                owner, h, t = ids[lo:hi][row], gram.view(np.int64), digest.view(np.int64)
-                order = np.lexsort((start, owner, t, h))
+                d = [words_at(part, anchor + 8 * k).view(np.int64) for k in range(3)]
+                t, row = digest.view(np.int64), row + lo
+                place = (keys[row] << STARTS) + start
+                made = [*d, t, late[row], ids[row], place, n, away]
+                order = np.lexsort((place, ids[row], late[row], t, d[2], d[1], d[0]))
                 same = np.zeros(len(order), dtype=bool)
-                same[1:] = (h[order][1:] == h[order][:-1]) & (t[order][1:] == t[order][:-1])
-                lead = order[~same]
-                yield _rows(h[lead], t[lead], owner[lead], start[lead], n[lead], away[lead])
-                k = order[same]  # repeats within this buffer, unless they are the same place of the same document
-                head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))[same]
-                k = k[(owner[k] != owner[order[head]]) | (start[k] != start[order[head]])]
-                if len(k):
-                    yield from _ranges(owner[k], start[k], n[k])
-
-    return _texts(docs).mapInArrow(run, ROWS)
-
-
-def _ranges(owner: np.ndarray, start: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Neighbouring ranges of starts merged, as rows with away -1."""
-    order = np.lexsort((start, owner))
-    o, s, e = owner[order], start[order], start[order] + n[order]
-    new = np.ones(len(o), dtype=bool)
-    new[1:] = (o[1:] != o[:-1]) | (s[1:] > e[:-1])
+                same[1:] = np.logical_and.reduce([x[order][1:] == x[order][:-1] for x in made[:4]])
+                head = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
+                begin = anchor - away
+                again = order[same]
+                lead = head[same]
+                equal = equal_ranges(part, begin[again], begin[lead], n[again] + rule.length - 1)
+                out = np.ones(len(order), dtype=bool)  # rows that travel as blocks: leads, and those whose digest deceived
+                out[again[equal]] = False
+                again, lead = again[equal], lead[equal]
+                other = (place[again] != place[lead]) | (ids[row[again]] != ids[row[lead]]) | (late[row[again]] != late[row[lead]])
+                if other.any():
+                    yield from ranges([made[4][again[other]], made[5][again[other]], place[again[other]]], n[again[other]], EXACT)
+                for k in np.unique(lead).tolist():  # hot blocks: a later one than this task has sent needn't travel
+                    name = tuple(int(x[k]) for x in made[:4])
+                    mine = (bool(made[4][k]), int(made[5][k]), int(place[k]))
+                    first = seen.get(name)
+                    if first is not None and first < mine:
+                        out[k] = False
+                        yield _rows([[first[1]], [first[2]], [int(first[0])], [0], [mine[0]], [mine[1]], [mine[2]], [int(n[k])], [PROPOSED]])
+                    elif first is not None or len(seen) < rule.hot:
+                        seen[name] = mine
+                if out.any():
+                    yield _rows([x[out] for x in made])
+
+    return _long_texts(docs, rule).mapInArrow(run, ROWS)
+
+
+def ranges(owner: list[np.ndarray], n: np.ndarray, kind: int, source: list[np.ndarray] | None = None) -> Iterator[pa.RecordBatch]:
+    """Neighbouring ranges of starts merged, where they have one source document at one distance. owner, source: late, at_id, place."""
+    late, ids, place = owner
+    zero = np.zeros(len(n), np.int64)
+    s_late, s_id, s_place = source or (zero, zero, place)
+    shift = s_place - place
+    order = np.lexsort((place, shift, s_id, s_late, ids, late))
+    late, ids, place, n, s_late, s_id, s_place, shift = (x[order] for x in (late, ids, place, n, s_late, s_id, s_place, shift))
+    end = place + n
+    new = np.ones(len(n), dtype=bool)
+    new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in (late, ids, s_late, s_id, shift)]) | (place[1:] > end[:-1])
     first = np.flatnonzero(new)
-    o, s, n = o[first], s[first], np.maximum.reduceat(e, first) - s[first]
-    h = mix64(o.astype(np.uint64) * U64(0x9E3779B97F4A7C15) + s.astype(np.uint64)).view(np.int64)
-    yield _rows(h, np.zeros(len(o), np.int64), o, s, n, np.full(len(o), -1))
+    last = np.maximum.reduceat(end, first) if len(first) else end
+    take = lambda x: x[first]
+    yield _rows([take(s_id), take(s_place), take(s_late).astype(np.int64), np.zeros(len(first), np.int64), take(late), take(ids), take(place), last - place[first], np.full(len(first), kind)])
 
 
 def decide(rows: DataFrame, all_leads: bool = True) -> DataFrame:
-    """One pass over rows dealt by h and sorted: repeats come out as ranges (away -1), the leads of undecided groups as they are."""
+    """One pass over rows dealt and sorted by their digits: repeats come out as ranges, the leads of undecided groups as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the last row's (h, t, id, start) with the group's first lead if that is not out yet
+        held_, many_before = None, False  # the last lead, and whether its group has sent one already
         for b in batches:
             if not b.num_rows:
                 continue
-            h, t, ids, start, n, away = (b.column(k).to_numpy() for k in range(6))
-            known = away == -1
+            c = _columns(b)
+            known = c[8] < 0
             if known.any():
-                yield from _ranges(ids[known], start[known], n[known])
-                h, t, ids, start, n, away = (x[~known] for x in (h, t, ids, start, n, away))
-            if not len(h):
+                yield b.filter(pa.array(known))
+                c = [x[~known] for x in c]
+            if not len(c[0]):
                 continue
-            fresh = 0
-            if held is not None:  # put the last group's lead before this batch
-                h, t, ids, start, n, away = (np.concatenate([[x], y]) for x, y in zip(held[0], (h, t, ids, start, n, away), strict=True))
-                fresh = 1
-            new_h = np.ones(len(h), dtype=bool)
-            new_h[1:] = h[1:] != h[:-1]
-            new_t = new_h.copy()
-            new_t[1:] |= t[1:] != t[:-1]
-            head = np.maximum.accumulate(np.where(new_t, np.arange(len(h)), 0))
-            again = ~new_t & ((ids != ids[head]) | (start != start[head]))
+            fresh = held_ is not None
+            if fresh:  # put the last group's lead before this batch
+                c = [np.concatenate([[x], y]) for x, y in zip(held_, c, strict=True)]
+            size = len(c[0])
+            new_d = np.ones(size, dtype=bool)
+            new_d[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in c[:3]])
+            new_t = new_d.copy()
+            new_t[1:] |= c[3][1:] != c[3][:-1]
+            head = np.maximum.accumulate(np.where(new_t, np.arange(size), 0))
+            again = ~new_t & np.logical_or.reduce([x != x[head] for x in c[4:7]])
             if again.any():
-                yield from _ranges(ids[again], start[again], n[again])
+                yield from ranges([x[again] for x in c[4:7]], c[7][again], PROPOSED, [x[head[again]] for x in (c[4].astype(np.int64), c[5], c[6])])
             lead = np.flatnonzero(new_t)
-            group = np.cumsum(new_h)[lead]
-            per = np.bincount(group)
-            many = per[group] > 1
-            if fresh and held[1] and len(group):
-                many |= group == group[0]  # that group had more than one lead before
-            out = np.zeros(len(h), dtype=bool)
+            group = np.cumsum(new_d)[lead]
+            many = np.bincount(group)[group] > 1
+            if fresh and many_before:
+                many |= group == group[0]
+            out = np.zeros(size, dtype=bool)
             out[lead[many]] = True
-            if fresh and held[1]:
-                out[0] = False  # already given
-            last_many = bool(many[-1])
+            if fresh and many_before:
+                out[0] = False  # given already
             if all_leads and out.any():
-                yield _rows(h[out], t[out], ids[out], start[out], n[out], away[out])
-            k = lead[-1]
-            held = ((h[k], t[k], ids[k], start[k], n[k], away[k]), last_many)
+                yield _rows([x[out] for x in c])
+            held_, many_before = [x[lead[-1]] for x in c], bool(many[-1])
 
-    return rows.repartition(F.col("h")).sortWithinPartitions("h", "t", "at_id", "start").mapInArrow(run, ROWS)
+    return rows.repartition("d1", "d2", "d3").sortWithinPartitions("d1", "d2", "d3", "t", "late", "at_id", "place").mapInArrow(run, ROWS)
 
 
-def window_bytes(leads: DataFrame, docs: DataFrame, rule: Repeats) -> DataFrame:
-    """The bytes that the leads' windows cover: h, away, at_id, start, bytes."""
+def _doc_of(late: str = "late", at_id: str = "at_id", place: str = "place") -> list:
+    return [F.col(late).cast("boolean").alias("late"), F.col(at_id).alias("at_id"), F.shiftright(place, STARTS).alias("text_key")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in runs_of(batches, 1):
-            data, at = utf8(b.column(1))
-            lists = b.column(2)
-            row = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
-            h, start, n, away = (lists.flatten().field(k).to_numpy() for k in range(4))
-            begin = at[row] + start
-            end = np.minimum(begin + n + rule.length - 1, at[row + 1])
-            size = end - begin
-            offsets = np.concatenate([[0], np.cumsum(size)])
-            take = np.repeat(begin - offsets[:-1], size) + np.arange(offsets[-1])
-            held = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(data[take].tobytes())])
-            ids = b.column(0).to_numpy()[row]
-            for lo in range(0, len(row), 20_000):
-                hi = lo + 20_000
-                yield pa.RecordBatch.from_arrays([pa.array(h[lo:hi]), pa.array(away[lo:hi]), pa.array(ids[lo:hi]), pa.array(start[lo:hi]), held[lo:hi]], names=["h", "away", "at_id", "start", "bytes"])
-
-    by_doc = leads.groupBy("at_id").agg(F.collect_list(F.struct("h", "start", "n", "away")).alias("leads"))
-    return _texts(docs).join(by_doc, "at_id").select("at_id", "text", "leads").mapInArrow(run, "h long, away int, at_id long, start long, bytes binary")
 
+def start_of(place: str):
+    return F.col(place).bitwiseAND(F.lit((1 << STARTS) - 1))
 
-def _texts(docs: DataFrame) -> DataFrame:
-    """at_id, text: the same columns wherever texts are joined, so that one exchange of them serves all joins of a plan."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LATE)).alias("at_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
+def slices_of(texts: DataFrame, wanted: DataFrame, schema: str) -> DataFrame:
+    """Bytes of texts: wanted holds DOC and `list`, of structs whose first two fields are a start and a number of bytes; each gives a row of DOC, its other fields and bytes. A copy of
+    the row before is passed over."""
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for b in runs_of(batches, 3):
+            docs = list(zip(*(b.column(k).to_pylist() for k in range(3)), strict=True))
+            fresh = np.array([d != e for d, e in zip(docs, [last, *docs[:-1]], strict=True)])
+            last = docs[-1] if docs else last
+            if not fresh.all():
+                b = b.filter(pa.array(fresh))
+            if not b.num_rows:
+                continue
+            data, at = utf8(b.column(3))
+            lists = b.column(4)
+            row = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
+            flat = lists.flatten()
+            begin = at[row] + flat.field(0).to_numpy()
+            long = flat.field(1).to_numpy().astype(np.int64)
+            lo = 0
+            while lo < len(row):
+                hi = max(lo + 1, lo + int(np.searchsorted(np.cumsum(long[lo : lo + 20_000]), 1 << 22)))
+                hi = min(hi, len(row), lo + 20_000)
+                off = np.concatenate([[0], np.cumsum(long[lo:hi])])
+                take = np.repeat(begin[lo:hi] - off[:-1], long[lo:hi]) + np.arange(off[-1])
+                got = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(off.astype(np.int32).tobytes()), pa.py_buffer(data[take].tobytes())])
+                of = pa.array(row[lo:hi])
+                more = [flat.field(k).slice(lo, hi - lo) for k in range(flat.type.num_fields)]
+                yield pa.RecordBatch.from_arrays([*(b.column(k).take(of) for k in range(3)), *more, got], names=names)
+                lo = hi
+
+    return texts.join(wanted, DOC).select(*DOC, "text", "list").mapInArrow(run, schema)
 
-def compare_windows(held: DataFrame, rule: Repeats) -> DataFrame:
-    """ROWS: ranges (away -1) of windows that repeat within their group; groups beyond the buffer as one row for each window (h: its hash)."""
 
-    def windows(part: list[pa.RecordBatch]) -> tuple[np.ndarray, ...]:
+def window_bytes(leads: DataFrame, docs: DataFrame, rule: Repeats) -> DataFrame:
+    """The leads with the bytes that their windows cover."""
+    cover = F.struct(start_of("place").alias("start"), (F.col("n") + F.lit(rule.length - 1)).alias("size"), "d1", "d2", "d3", "n", "away", "place")
+    wanted = leads.withColumn("text_key", F.shiftright("place", STARTS)).groupBy(*DOC).agg(F.collect_list(cover).alias("list"))
+    schema = "late boolean, at_id long, text_key long, start long, size int, d1 long, d2 long, d3 long, n int, away int, place long, bytes binary"
+    return slices_of(_long_texts(docs, rule), wanted, schema).select("d1", "d2", "d3", "late", "at_id", "place", "away", "bytes")
+
+
+def radix(data: np.ndarray, begin: np.ndarray, group: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(windows, groups) that are left when windows of one group each are ordered by eight bytes a pass through `length` bytes; groups of one leave
+    after each pass. Members of a group then have equal bytes."""
+    live = np.arange(len(begin))
+    group = group.copy()
+
+    def split(digit: np.ndarray | None) -> None:
+        nonlocal live, group
+        order = np.argsort(group, kind="stable") if digit is None else np.lexsort((digit, group))
+        live, g = live[order], group[order]
+        new = np.ones(len(g), dtype=bool)
+        new[1:] = g[1:] != g[:-1]
+        if digit is not None:
+            x = digit[order]
+            new[1:] |= x[1:] != x[:-1]
+        number = np.cumsum(new) - 1
+        stay = np.bincount(number)[number] > 1 if len(number) else new
+        live, group = live[stay], number[stay]
+
+    split(None)
+    for off in [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]:
+        if not len(live):
+            break
+        split(words_at(data, begin[live] + off))
+    return live, group
+
+
+def compare_windows(got: DataFrame, rule: Repeats) -> DataFrame:
+    """ROWS: exact ranges of windows that repeat within their group; groups beyond the buffer as one row for each window, by its first 24 bytes."""
+
+    def windows(part: list[pa.RecordBatch]) -> tuple:
         whole = pa.Table.from_batches(part).combine_chunks()
         data, at = utf8(whole.column("bytes"))
         n = np.maximum(np.diff(at) - rule.length + 1, 0)
         row = np.repeat(np.arange(len(n)), n)
         step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        begin = at[row] + step
-        key = RangeHash(data)(begin, begin + rule.length) if len(row) else np.zeros(0, np.uint64)
-        h, away, ids, start = (whole.column(c).to_numpy() for c in ("h", "away", "at_id", "start"))
-        # equal bytes under one minimiser have it at an equal distance
-        key = mix64(key ^ mix64((away[row] - step).astype(np.uint64) + U64(7)))
-        return key, h[row], ids[row], start[row] + step
+        d1, d2, d3, late, ids, place, away = (whole.column(c).to_numpy() for c in ("d1", "d2", "d3", "late", "at_id", "place", "away"))
+        return data, at[row] + step, row, step, (d1, d2, d3), late[row], ids[row], place[row] + step, away[row] - step
 
     def decided(part: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, h, ids, at = windows(part)
-        order = np.lexsort((at, ids, key, h))
-        k, g, i, s = key[order], h[order], ids[order], at[order]
-        same = np.zeros(len(k), dtype=bool)
-        same[1:] = (k[1:] == k[:-1]) & (g[1:] == g[:-1])
-        head = np.maximum.accumulate(np.where(same, 0, np.arange(len(k)))) if len(k) else same.astype(int)
-        again = same & ((i != i[head]) | (s != s[head]))
+        data, begin, row, _, digits, late, ids, place, far = windows(part)
+        new = np.zeros(len(digits[0]), dtype=np.int64)
+        new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in digits])
+        # equal windows have one first digit at one distance
+        live, group = radix(data, begin, np.cumsum(new)[row] * (2 * rule.length) + far, rule.length)
+        order = np.lexsort((place[live], ids[live], late[live], group))
+        live, group = live[order], group[order]
+        again = np.zeros(len(live), dtype=bool)
+        again[1:] = group[1:] == group[:-1]
+        first = live[np.maximum.accumulate(np.where(again, 0, np.arange(len(live))))] if len(live) else live
+        again &= (place[live] != place[first]) | (ids[live] != ids[first]) | (late[live] != late[first])
         if again.any():
-            yield from _ranges(i[again], s[again], np.ones(int(again.sum()), np.int64))
+            k = live[again]
+            yield from ranges([late[k], ids[k], place[k]], np.ones(len(k), np.int64), EXACT)
 
     def dealt(part: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in part:
             for lo in range(0, b.num_rows, 512):
-                key, h, ids, at = windows([b.slice(lo, 512)])
-                n = len(key)
-                yield _rows(mix64(key ^ h.view(np.uint64)).view(np.int64), np.zeros(n, np.int64), ids, at, np.ones(n), np.zeros(n))
+                data, begin, _, _, _, late, ids, place, _ = windows([b.slice(lo, 512)])
+                if len(begin):
+                    t = RangeHash(data)(begin, begin + rule.length).view(np.int64)
+                    yield _rows([*(words_at(data, begin + 8 * k).view(np.int64) for k in range(3)), t, late, ids, place, np.ones(len(t), np.int64), np.zeros(len(t), np.int64)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_: list[pa.RecordBatch] = []  # the group that the last batch ended in
-        spilled = None  # its h, once it is known to pass the buffer
+        open_: list[pa.RecordBatch] = []  # rows of whole groups, and of the last group so far
+        tail = 0  # rows of the last group
+        last, large = None, False
         for b in batches:
-            if not b.num_rows:
-                continue
-            h = b.column(0).to_numpy()
-            if spilled is not None:
-                k = int(np.searchsorted(h != spilled, True)) if (h != spilled).any() else len(h)
-                yield from dealt([b.slice(0, k)])
-                if k == len(h):
-                    continue
-                b, h, spilled = b.slice(k), h[k:], None
-            cuts = np.flatnonzero(h[1:] != h[:-1]) + 1
-            if len(open_) and open_[0].column(0)[0].as_py() != h[0]:
-                yield from decided(open_)
-                open_ = []
-            tail = int(cuts[-1]) if len(cuts) else 0
-            if tail:
-                sizes = np.diff(np.concatenate([[0], cuts]))
-                begin = 0
-                if sizes.max() > rule.buffer:  # a large group inside one batch
-                    for k in np.flatnonzero(sizes > rule.buffer):
-                        lo = int(cuts[k] - sizes[k])
-                        head = open_ if begin == 0 else []
-                        if begin == 0 and lo == 0:
-                            yield from dealt([*open_, b.slice(0, int(sizes[k]))])
+            lo = 0
+            while lo < b.num_rows:
+                part = b.slice(lo, min(2048, b.num_rows - lo))
+                lo += part.num_rows
+                digits = [part.column(k).to_numpy() for k in range(3)]
+                cuts = np.flatnonzero(np.logical_or.reduce([x[1:] != x[:-1] for x in digits])) + 1
+                edges = [0, *cuts.tolist(), part.num_rows]
+                for a, z in zip(edges[:-1], edges[1:], strict=True):
+                    name = tuple(int(x[a]) for x in digits)
+                    if name != last:
+                        if sum(x.num_rows for x in open_) >= rule.buffer:
+                            yield from decided(open_)
                             open_ = []
-                        else:
-                            if lo > begin or head:
-                                yield from decided([*head, b.slice(begin, lo - begin)])
-                                open_ = [] if begin == 0 else open_
-                            yield from dealt([b.slice(lo, int(sizes[k]))])
-                        begin = int(cuts[k])
-                if tail > begin or open_:
-                    yield from decided([*open_, b.slice(begin, tail - begin)])
-                    open_ = []
-            open_.append(b.slice(tail))
-            if sum(x.num_rows for x in open_) > rule.buffer:
-                spilled = open_[0].column(0)[0].as_py()
-                yield from dealt(open_)
-                open_ = []
+                        last, tail, large = name, 0, False
+                    piece = part.slice(a, z - a)
+                    tail += z - a
+                    if large:
+                        yield from dealt([piece])
+                        continue
+                    open_.append(piece)
+                    if tail > rule.buffer:  # this group alone passes the buffer: its rows are the last ones of `open_`
+                        whole = pa.Table.from_batches(open_)
+                        before = whole.slice(0, whole.num_rows - tail).to_batches()
+                        if before:
+                            yield from decided(before)
+                        yield from dealt(whole.slice(whole.num_rows - tail).combine_chunks().to_batches())
+                        open_, large = [], True
         if open_:
             yield from decided(open_)
 
-    return held.repartition(F.col("h")).sortWithinPartitions("h").mapInArrow(run, ROWS)
+    return got.repartition("d1", "d2", "d3").sortWithinPartitions("d1", "d2", "d3").mapInArrow(run, ROWS)
+
+
+def joined_ranges(proposed: DataFrame) -> DataFrame:
+    """DOC, start, n, s_late, s_id, s_key, s_start: proposed ranges of one text from one source at one distance, merged."""
+    names = [*DOC, "s_late", "s_id", "s_key", "start", "n", "s_start"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(6)
+            row = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
+            start, n, s_start = (lists.flatten().field(k).to_numpy().astype(np.int64) for k in range(3))
+            order = np.lexsort((start, s_start - start, row))
+            row, start, n, s_start = row[order], start[order], n[order], s_start[order]
+            new = np.ones(len(row), dtype=bool)
+            new[1:] = (row[1:] != row[:-1]) | ((s_start - start)[1:] != (s_start - start)[:-1]) | (start[1:] > (start + n)[:-1])
+            first = np.flatnonzero(new)
+            stop = np.maximum.reduceat(start + n, first) if len(first) else n
+            take = pa.array(row[first])
+            yield pa.RecordBatch.from_arrays([*(b.column(k).take(take) for k in range(6)), pa.array(start[first]), pa.array(stop - start[first]), pa.array(s_start[first])], names=names)
+
+    source = _doc_of("d3", "d1", "d2")
+    rows = proposed.select(*_doc_of(), *[c.alias(x) for c, x in zip(source, ("s_late", "s_id", "s_key"), strict=True)], start_of("place").alias("start"), "n", start_of("d2").alias("s_start"))
+    grouped = rows.groupBy(*names[:6]).agg(F.collect_list(F.struct("start", "n", "s_start")).alias("list"))
+    return grouped.mapInArrow(run, "late boolean, at_id long, text_key long, s_late boolean, s_id long, s_key long, start long, n long, s_start long")
 
 
 def repeated_starts(docs: DataFrame, rule: Repeats = Repeats()) -> DataFrame:
-    """at_id, start, n: ranges of window starts whose windows start earlier too."""
-    first = cut(decide(cut_blocks(docs, rule)))
-    leads = first.filter("away >= 0")
-    # not cut: the texts' exchange is then part of the final plan and used again there
-    second = compare_windows(window_bytes(leads, docs, rule), rule)
+    """DOC, exact (start, n: windows that start earlier too), proofs (start, n, bytes of the earlier text) of every text that has any."""
+    first = held(decide(cut_blocks(docs, rule)))
+    second = compare_windows(window_bytes(first.filter("away >= 0"), docs, rule), rule)
     third = decide(second.filter("away >= 0"), all_leads=False)
-    ranges = first.filter("away = -1").unionByName(second.filter("away = -1")).unionByName(third.filter("away = -1"))
-    return ranges.select("at_id", "start", "n")
+    merged = joined_ranges(first.filter(F.col("away") == PROPOSED).unionByName(third.filter(F.col("away") == PROPOSED)))
+    place = ["s_late", "s_id", "s_key", "s_start", "n"]
+    ask = merged.select(*place).distinct().groupBy(*[F.col(a).alias(b) for a, b in zip(place[:3], DOC, strict=True)]).agg(F.collect_list(F.struct("s_start", (F.col("n") + F.lit(rule.length - 1)).alias("size"), "n")).alias("list"))
+    said = slices_of(_long_texts(docs, rule), ask, "s_late boolean, s_id long, s_key long, s_start long, size long, n long, bytes binary").drop("size").dropDuplicates(place)
+    proofs = merged.join(said, place).groupBy(*DOC).agg(F.collect_list(F.struct("start", "n", "bytes")).alias("proofs"))
+    exact = first.filter(F.col("away") == EXACT).unionByName(second.filter(F.col("away") == EXACT))
+    exact = exact.select(*_doc_of(), start_of("place").alias("start"), F.col("n").cast("long").alias("n")).groupBy(*DOC).agg(F.collect_list(F.struct("start", "n")).alias("exact"))
+    return exact.join(proofs, DOC, "full_outer")
 
 
 def dedup(docs: DataFrame, rule: Repeats = Repeats()) -> DataFrame:
@@ -308,36 +428,50 @@ def dedup(docs: DataFrame, rule: Repeats = Repeats()) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in runs_of(batches, 1):
             data, at = utf8(b.column(1))
-            lists = b.column(2).fill_null([]) if b.column(2).null_count else b.column(2)
-            row = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
-            start, n = (lists.flatten().field(k).to_numpy() for k in range(2))
-            end = np.minimum(start + n - 1 + rule.length, np.diff(at)[row])
-            order = np.lexsort((start, row))
-            o, s = row[order], start[order]
-            far = end[order] + o * (1 << 40)  # rows never mix
-            reach = np.maximum.accumulate(far) if len(far) else far
-            new = np.ones(len(o), dtype=bool)
-            new[1:] = (s + o * (1 << 40))[1:] > reach[:-1]
-            first = np.flatnonzero(new)
-            o2, s2 = o[first], s[first]
-            e2 = reach[np.append(first[1:], len(o)) - 1] - o2 * (1 << 40) if len(first) else s2
-            removed = np.bincount(o2, weights=e2 - s2, minlength=b.num_rows).astype(np.int64)
-            spans = np.bincount(o2, minlength=b.num_rows)
+            size = np.diff(at)
             flag = np.zeros(len(data) + 1, dtype=np.int64)
-            np.add.at(flag, at[o2] + s2, 1)
-            np.add.at(flag, at[o2] + e2, -1)
-            keep = np.cumsum(flag)[:-1] == 0
-            ends = np.concatenate([[0], np.cumsum(keep)])[at]
-            kept = data[keep]
-            bounds = np.searchsorted(o2, np.arange(b.num_rows + 1))
-            text = [kept[ends[k] : ends[k + 1]].tobytes() for k in range(b.num_rows)]
-            pairs = [np.stack([s2[bounds[k] : bounds[k + 1]], e2[bounds[k] : bounds[k + 1]]], axis=1).reshape(-1).tolist() for k in range(b.num_rows)]
-            ids = b.column(0)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(at)), pa.array(removed), pa.array(spans.astype(np.int64)), pa.array(text, type=pa.binary()), pa.array(pairs, type=pa.list_(pa.int64()))], names=["at_id", "n_bytes", "n_removed", "n_spans", "kept", "spans"])
-
-    by_doc = repeated_starts(docs, rule).groupBy("at_id").agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
-    done = _texts(docs).join(by_doc, "at_id", "left").select("at_id", "text", "ranges").mapInArrow(run, "at_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<long>")
-    return done.select(F.when(F.col("at_id") != LATE, F.col("at_id")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept", "spans")
+
+            def mark(row: np.ndarray, start: np.ndarray, n: np.ndarray) -> None:
+                np.add.at(flag, at[row] + start, 1)  # noqa: B023
+                np.add.at(flag, np.minimum(at[row] + start + n - 1 + rule.length, at[row + 1]), -1)  # noqa: B023
+
+            exact = b.column(2)
+            row = np.repeat(np.arange(b.num_rows), np.diff(exact.offsets.to_numpy())) if not exact.null_count else np.repeat(np.arange(b.num_rows), [len(x) if x.is_valid else 0 for x in exact])
+            flat = exact.flatten()
+            mark(row, flat.field(0).to_numpy(), flat.field(1).to_numpy())
+            for r, own in enumerate(b.column(3).to_pylist()):
+                for x in own or ():
+                    a = at[r] + x["start"]
+                    if data[a : a + x["n"] + rule.length - 1].tobytes() == x["bytes"]:
+                        mark(np.array([r]), x["start"], x["n"])
+            for r in np.flatnonzero(b.column(4).to_numpy(zero_copy_only=False)).tolist():
+                mark(np.array([r]), 0, size[r] - rule.length + 1)
+            gone = np.cumsum(flag)[:-1] > 0
+            ends = np.concatenate([[0], np.cumsum(~gone)])[at]
+            kept = data[~gone]
+            edge = gone.copy()
+            edge[1:] &= ~gone[:-1]
+            edge[at[:-1][size > 0]] = gone[at[:-1][size > 0]]  # runs never cross rows
+            stop = gone.copy()
+            stop[:-1] &= ~gone[1:]
+            stop[at[1:][size > 0] - 1] = gone[at[1:][size > 0] - 1]
+            s, e = np.flatnonzero(edge), np.flatnonzero(stop) + 1
+            of = np.searchsorted(at, s, side="right") - 1
+            spans = np.bincount(of, minlength=b.num_rows)
+            bounds = np.searchsorted(of, np.arange(b.num_rows + 1))
+            pairs = np.stack([s - at[of], e - at[of]], axis=1) if len(s) else np.zeros((0, 2), np.int64)
+            lists = pa.ListArray.from_arrays(pa.array((2 * bounds).astype(np.int32)), pa.array(pairs.reshape(-1)))
+            text = pa.array([kept[ends[k] : ends[k + 1]].tobytes() for k in range(b.num_rows)], type=pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size), pa.array(size - np.diff(ends)), pa.array(spans.astype(np.int64)), text, lists], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "spans"])
+
+    joined = _long_texts(docs, rule).join(repeated_starts(docs, rule), DOC, "left")
+    joined = joined.withColumn("copy", F.row_number().over(W.partitionBy(*DOC).orderBy("at_id")) > 1)
+    none = F.array().cast("array<struct<start: long, n: long>>")
+    out = joined.select(F.when(~F.col("late"), F.col("at_id")).alias("doc_id"), "text", F.coalesce("exact", none).alias("exact"), "proofs", "copy").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<long>")
+    small = _texts(docs).filter(F.octet_length("text") < rule.length)
+    zero = F.lit(0).cast("long")
+    rest = small.select(F.when(~F.col("late"), F.col("at_id")).alias("doc_id"), F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.col("text").cast("binary").alias("kept"), F.array().cast("array<long>").alias("spans"))
+    return out.unionByName(rest)
 
 
 def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,27 +86,63 @@ def test_encoder_equals_tokenizer():
         assert np.frombuffer(encode(c), "<u4").tolist() == t.encode(c, add_special_tokens=False).ids, repr(c)
 
 
-def test_suffixes(docs, rows, none):
-    for rule in (suffixes.Repeats(), suffixes.Repeats(buffer=1)):
-        done = suffixes.dedup(docs, rule).collect()
-        seen: dict[bytes, tuple] = {}
-        every = sorted(((r[0] if r[0] is not None else 1 << 70, (r[1] or "").encode()) for r in rows))
-        for i, b in every:
-            for s in range(len(b) - 99):
-                seen.setdefault(b[s : s + 100], (i, s))
-        want = []
-        for i, b in every:
-            gone = np.zeros(len(b), dtype=bool)
-            for s in range(len(b) - 99):
-                if seen[b[s : s + 100]] != (i, s):
-                    gone[s : s + 100] = True
-            spans = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
-            want.append((i if i < 1 << 70 else None, len(b), int(gone.sum()), spans, np.frombuffer(b, np.uint8)[~gone].tobytes()))
-        got = [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in done]
-        assert sorted(got, key=str) == sorted(want, key=str)
+def removed_windows(rows):
+    """(id, bytes, removed, spans, kept) of each row by brute force: documents in order of id (none last), of texts of one id in any order that
+    is given by their key; a copy of a row before it loses all that it has."""
+    every = sorted(((i is None, i if i is not None else 0, key, (t or "").encode()) for i, t, key in rows))
+    seen: dict[bytes, tuple] = {}
+    for k, (_, _, _, b) in enumerate(every):
+        for s in range(len(b) - 99):
+            seen.setdefault(b[s : s + 100], (k, s))
+    out = []
+    for k, (late, i, _, b) in enumerate(every):
+        gone = np.zeros(len(b), dtype=bool)
+        for s in range(len(b) - 99):
+            if seen[b[s : s + 100]] != (k, s):
+                gone[s : s + 100] = True
+        spans = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
+        out.append((None if late else i, len(b), int(gone.sum()), spans, np.frombuffer(b, np.uint8)[~gone].tobytes()))
+    return sorted(out, key=str)
+
+
+def test_suffixes(spark, docs, rows, none):
+    def check(df, given):
+        keys = {(r["late"], r["at_id"], r["text"]): r["text_key"] for r in suffixes._texts(df).collect()}
+        order = {(r["late"], r["text"]): r["at_id"] for r in suffixes._texts(df).collect()}
+        ranked = [(i, t, (order[(i is None, t or "")] if i is None else 0, keys[(i is None, order[(True, t or "")] if i is None else i, t or "")])) for i, t in given]
+        for rule in (suffixes.Repeats(), suffixes.Repeats(buffer=1)):
+            got = [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in suffixes.dedup(df, rule).collect()]
+            assert sorted(got, key=str) == removed_windows(ranked)
+
+    check(docs, [(r[0], r[1]) for r in rows])
+    rng = random.Random(41)
+    a, b, c = text(rng, 60), text(rng, 60), text(rng, 60)
+    some = [(None, a), (None, "x " + a), (None, b), (None, b), (5, c), (5, c[50:] + a[:200]), (5, c), (6, c[:150] + b[30:170]), (7, text(rng, 50)), (None, text(rng, 50)), (None, "")]
+    check(spark.createDataFrame(some, "doc_id long, text string").repartition(3), some)
+    phrase = text(rng, 9)[:60]
+    many = [(k, text(rng, 12) + phrase + text(rng, 12) + (a[:130] if k % 3 == 0 else "")) for k in range(60)]
+    check(spark.createDataFrame(many, "doc_id long, text string").repartition(5), many)
     assert suffixes.dedup(none).count() == 0
 
 
+def test_radix_passes():
+    """Groups that are left at full depth are exactly the windows of equal bytes; digits compare like bytes."""
+    rng = np.random.default_rng(3)
+    data = rng.integers(0, 2, 4000).astype(np.uint8)
+    for length in (8, 13, 20):
+        begin = np.arange(0, 3900)
+        live, group = suffixes.radix(data, begin, begin * 0, length)
+        want = collections.defaultdict(list)
+        for s in begin.tolist():
+            want[data[s : s + length].tobytes()].append(s)
+        got = collections.defaultdict(list)
+        for s, g in zip(live.tolist(), group.tolist(), strict=True):
+            got[g].append(s)
+        assert sorted(map(sorted, got.values())) == sorted(v for v in want.values() if len(v) > 1)
+    words = suffixes.words_at(data, np.arange(100))
+    assert sorted(range(100), key=lambda k: data[k : k + 8].tobytes()) == np.argsort(words, kind="stable").tolist()
+
+
 def test_near_copies(docs, rows, none):
     bags = {}
     for k, r in enumerate(rows):
