@@ -9,12 +9,13 @@ Viterbi finds the likeliest states of a conversation; runs of them are turns, re
 Parameters are counted, with add-one smoothing, from labelled transcripts (a few hundred numbers at most, summed
 before they reach the driver), or the defaults.
 
-Rows are dealt by conversation and streamed in order; a conversation longer than `lines` lines is decoded in blocks with
-`ahead` lines of look-ahead, each block starting from the state that the last one ended in, so a hot conversation needs no
-more memory than a block. Output is one row for each piece of a turn within an input row.
+Rows are dealt by conversation and streamed twice, so that a hot conversation needs no more memory than a row: forwards, where each line leaves the
+best state before it for each of its states (six bytes a line), and backwards, where the likeliest path is read off these and turns are
+rendered. The path is that of the whole conversation, however long it is. Output is one row for each piece of a turn within an input row: the first
+piece of a turn opens it, the last one closes it, and the pieces of a turn joined by line feeds are the rendered turn.
 
-Defined results: null and empty texts have one empty line, which continues the turn at hand; a null conv_id is a conversation of its own;
-null turns come first; repeated rows are parsed one after the other; ties go to the earlier state in STATES; an empty table gives an empty
+Defined results: null and empty texts have one empty line, which continues the turn at hand; a row with a null conv_id is a conversation of its own;
+null turns come first, rows of one turn by their text; repeated rows are parsed one after the other; ties go to the earlier state in STATES; an empty table gives an empty
 result; other columns don't take part, whatever their names.
 """
 
@@ -82,28 +83,40 @@ class Model:
     move: np.ndarray = field(default_factory=lambda: _default()[1])
     mark: np.ndarray = field(default_factory=lambda: _default()[2])
     bits: np.ndarray = field(default_factory=lambda: _default()[3])
-    lines: int = 2048
-    ahead: int = 64
 
     def emit(self, seen: list[tuple[int, int, int]]) -> np.ndarray:
         x = np.array([(m, b) for m, b, _ in seen]).reshape(-1, 2)
         return self.mark[:, x[:, 0]].T + self.bits[:, x[:, 1]].T
 
-    def viterbi(self, seen: list[tuple[int, int, int]], before: int | None = None) -> list[int]:
-        """The likeliest states, given the state before the first line if there is one."""
-        if not seen:
-            return []
+    def forward(self, seen: list[tuple[int, int, int]], before: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """(scores of the last line's states, the best state before each line for each of its states), from the scores before the first line."""
         e = self.emit(seen)
-        v = e[0] + (self.start if before is None else self.move[before])
         back = np.zeros((len(seen), len(STATES)), dtype=np.int8)
-        for t in range(1, len(seen)):
+        v = before
+        for t in range(len(seen)):
+            if v is None:
+                v = e[t] + self.start
+                continue
             w = v[:, None] + self.move
             back[t] = w.argmax(axis=0)
             v = w.max(axis=0) + e[t]
-        path = [int(v.argmax())]
-        for t in range(len(seen) - 1, 0, -1):
-            path.append(int(back[t, path[-1]]))
-        return path[::-1]
+        return v, back
+
+    def viterbi(self, seen: list[tuple[int, int, int]]) -> list[int]:
+        """The likeliest states of one conversation."""
+        if not seen:
+            return []
+        v, back = self.forward(seen, None)
+        return trace(back, int(v.argmax()))[0]
+
+
+def trace(back: np.ndarray, last: int) -> tuple[list[int], int]:
+    """(states of the lines, the state before them), given the state of the last line."""
+    path = []
+    for t in range(len(back) - 1, -1, -1):
+        path.append(last)
+        last = int(back[t, last])
+    return path[::-1], last
 
 
 def _lines(text: str | None) -> list[str]:
@@ -123,67 +136,50 @@ def parse(rows: DataFrame, model: Model) -> DataFrame:
     schema = "conv_id long, turn long, first_line long, n_lines long, role string, opens boolean, marked boolean, rendered string"
     names = [x.split()[0] for x in schema.split(", ")]
     kinds = [pa.int64()] * 4 + [pa.string(), pa.bool_(), pa.bool_(), pa.string()]
-    slim = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("text").cast("string").alias("text"))
-
-    def pieces(held: list[tuple], states: list[int]) -> Iterator[tuple]:
-        at = 0
-        for conv, turn, first, lines, seen in held:
-            own = states[at : at + len(lines)]
-            at += len(lines)
-            k = 0
-            while k < len(own):
-                stop = k + 1
-                while stop < len(own) and own[stop] == own[k] // 2 * 2 + 1:
-                    stop += 1
-                role, opens = STATES[own[k]]
-                body = "\n".join([lines[k][seen[k][2] :] if opens else lines[k], *lines[k + 1 : stop]])
-                yield conv, turn, first + k, stop - k, role, opens, seen[k][0] > 0, (f"<|{role}|>\n" if opens else "") + body + "\n<|end|>"
-                k = stop
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        held: list[tuple] = []  # (conv, turn, first line, lines, observations) not decoded yet
-        now, before, waiting = object(), None, 0
-
-        def batch() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
-            out.clear()
-            return made
-
-        def flush(final: bool) -> None:
-            nonlocal held, before, waiting
-            states = model.viterbi([o for h in held for o in h[4]], before)
-            keep: list[tuple] = []
-            if not final:  # the last rows, for `ahead` lines, wait for what follows
-                spare = 0
-                while len(held) > 1 and spare < model.ahead:
-                    spare += len(held[-1][3])
-                    keep.insert(0, held.pop())
-            done = sum(len(h[3]) for h in held)
-            out.extend(pieces(held, states[:done]))
-            before = states[done - 1] if done else before
-            held, waiting = keep, sum(len(h[3]) for h in keep)
 
+    def forwards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, scores, seq = None, None, 0
         for b in batches:
-            for conv, turn, text in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                if conv != now:
-                    if held:
-                        flush(True)
-                    now, before, waiting = conv, None, 0
-                lines, seen = _lines(text), _observe(text)
-                for lo in range(0, len(lines), model.lines):  # a very long row is decoded in blocks too
-                    held.append((conv, turn, lo, lines[lo : lo + model.lines], seen[lo : lo + model.lines]))
-                    waiting += len(held[-1][3])
-                    if waiting > model.lines + model.ahead:
-                        flush(False)
-                if len(out) >= 4000:
-                    yield batch()
-        if held:
-            flush(True)
-        if out:
-            yield batch()
-
-    return slim.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "text").mapInArrow(run, schema)
+            for lo in range(0, b.num_rows, 1024):
+                part = b.slice(lo, 1024)
+                backs, seqs, finals = [], [], []
+                for conv, text in zip(part.column(1).to_pylist(), part.column(3).to_pylist(), strict=True):
+                    if conv is None or conv != now:
+                        now, scores, seq = conv, None, 0
+                    scores, back = model.forward(_observe(text), scores)
+                    backs.append(back.tobytes())
+                    seqs.append(seq)
+                    finals.append(int(scores.argmax()))
+                    seq += 1
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(seqs, type=pa.int64()), pa.array(backs, type=pa.binary()), pa.array(finals, type=pa.int32())], names=["deal", "conv_id", "turn", "text", "seq", "back", "final"])
+
+    def backwards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state, follows = None, 0, False  # follows: whether the next line goes on with this line's turn
+        for b in batches:
+            for lo in range(0, b.num_rows, 1024):
+                out: list[tuple] = []
+                for conv, turn, text, back, final in zip(*(b.column(k).slice(lo, 1024).to_pylist() for k in (1, 2, 3, 5, 6)), strict=True):
+                    if conv is None or conv != now:
+                        now, state, follows = conv, final, False
+                    lines, seen = _lines(text), _observe(text)
+                    own, state = trace(np.frombuffer(back, dtype=np.int8).reshape(-1, len(STATES)), state)
+                    stop = len(own)
+                    while stop:
+                        k = stop - 1
+                        while k and not STATES[own[k]][1]:
+                            k -= 1
+                        role, opens = STATES[own[k]]
+                        body = "\n".join([lines[k][seen[k][2] :] if opens else lines[k], *lines[k + 1 : stop]])
+                        out.append((conv, turn, k, stop - k, role, opens, seen[k][0] > 0, (f"<|{role}|>\n" if opens else "") + body + ("" if follows else "\n<|end|>")))
+                        stop, follows = k, not opens
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+
+    conv, turn, text = F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("text").cast("string")
+    deal = F.coalesce(conv, F.xxhash64(turn, text))  # rows without a conversation are spread
+    slim = rows.select(deal.alias("deal"), conv.alias("conv_id"), turn.alias("turn"), text.alias("text"))
+    order = ["deal", "conv_id"]
+    told = slim.repartition("deal").sortWithinPartitions(*order, "turn", "text").mapInArrow(forwards, "deal long, conv_id long, turn long, text string, seq long, back binary, final int")
+    return told.repartition("deal").sortWithinPartitions(*order, F.desc("seq")).mapInArrow(backwards, schema)
 
 
 def estimate(rows: DataFrame) -> Model:
