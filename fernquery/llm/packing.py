@@ -9,7 +9,7 @@ to powers of two, which need no padding.
 Each partition packs its own documents while they stream through, with a pool of bounded size, so
 nothing is shuffled and a lost task is redone from its input split alone.
 
-Defined results: null or empty text has the closing id only; repeated rows are packed once each; a null
+Defined results: null or empty text has the closing id only; repeated rows are packed once each, and `row_id` tells their pieces apart; a null
 doc_id is carried as null; an empty table gives an empty result; columns other than the id, the text
 and `loss_tokens` are ignored, whatever their names.
 """
@@ -17,6 +17,7 @@ and `loss_tokens` are ignored, whatever their names.
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from fernquery.llm.common import table
 
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long, ids binary"
+SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long, ids binary, row_id long"
 
 
 @dataclass(frozen=True)
@@ -55,7 +56,8 @@ class Encoder:
 
     The pre-tokenizer never joins what stands before a space to what follows it, except a single space
     to the visible text after it, so a text may be cut before every space that visible text follows and
-    each chunk encoded alone. The ids equal those of the same vocabulary's byte_bpe_50k.json.
+    each chunk encoded alone. Special tokens of the vocabulary stand for themselves wherever a text holds them, as a tokenizer reads them. The
+    ids equal those of the same vocabulary's byte_bpe_50k.json.
     """
 
     loose = re.compile(r" (?=\s)| \Z")
@@ -70,11 +72,22 @@ class Encoder:
         self.bpe = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.most = most
         self.cache: dict[str, bytes] = {}
+        with open(path.removesuffix(".tiktoken") + ".json", encoding="utf-8") as f:
+            added = json.load(f).get("added_tokens", [])
+        if any(x.get(k) for x in added for k in ("lstrip", "rstrip", "single_word")):
+            raise ValueError("added tokens that change their surroundings aren't known here")
+        self.special = {x["content"]: np.array([x["id"]], dtype="<u4").tobytes() for x in added}
+        self.around = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if added else None
 
     def _chunk(self, chunk: str) -> bytes:
         return np.asarray(self.bpe.encode_ordinary(chunk), dtype="<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
+        if self.around and any(t in text for t in self.special):
+            return b"".join(self.special[x] if x in self.special else self._plain(x) for x in self.around.split(text))
+        return self._plain(text)
+
+    def _plain(self, text: str) -> bytes:
         if not text:
             return b""
         parts = self.tight.split(text) if self.loose.search(text) else text.split(" ")
@@ -97,7 +110,7 @@ class Encoder:
 
 
 class Packer:
-    """Streams items (doc_id, start, ids, doc_tokens, loss) into sequences and yields finished rows."""
+    """Streams items (document, start, ids, doc_tokens, loss) into sequences and yields finished rows. A document is its doc_id and its row's number."""
 
     def __init__(self, limits: Limits, first_id: int):
         self.limits, self.next_id = limits, first_id
@@ -114,11 +127,11 @@ class Packer:
         offset = 0
         for doc_id, start, ids, total, loss in pieces:
             n = len(ids) // 4
-            rows.append((doc_id, start, n, zlib.crc32(ids), total, self.next_id, offset, loss, ids))
+            rows.append((doc_id[0], start, n, zlib.crc32(ids), total, self.next_id, offset, loss, ids, doc_id[1]))
             offset += n
         self.next_id += 1
 
-    def add(self, doc_id: int | None, ids: bytes, loss: int | None = None) -> list[tuple]:
+    def add(self, doc_id: tuple[int | None, int], ids: bytes, loss: int | None = None) -> list[tuple]:
         rows: list[tuple] = []
         size, total = self.limits.tokens, len(ids) // 4
         item = (doc_id, 0, ids, total, total if loss is None else loss)
@@ -213,9 +226,10 @@ def pack(docs: DataFrame, limits: Limits = Limits(), path: str | None = None, cl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder(path or vocabulary())
-        packer = Packer(limits, TaskContext.get().partitionId() << 40)
+        row_id = TaskContext.get().partitionId() << 40
+        packer = Packer(limits, row_id)
         names = [x.split()[0] for x in SCHEMA.split(", ")]
-        kinds = [pa.int64()] * 8 + [pa.binary()]
+        kinds = [pa.int64()] * 8 + [pa.binary(), pa.int64()]
 
         def out(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
             for low in range(0, len(rows), 2000):
@@ -231,7 +245,8 @@ def pack(docs: DataFrame, limits: Limits = Limits(), path: str | None = None, cl
             for k in range(batch.num_rows):
                 tokens = encode(texts[k].as_py() or "") + closing
                 n = len(tokens) // 4
-                rows += packer.add(ids[k], tokens, None if loss is None else min(n, max(0, loss[k] if loss[k] is not None else n)))
+                rows += packer.add((ids[k], row_id), tokens, None if loss is None else min(n, max(0, loss[k] if loss[k] is not None else n)))
+                row_id += 1
                 if len(rows) >= 2000:
                     yield from out(rows)
                     rows = []
