@@ -14,8 +14,8 @@ one packed block for each `QUERY_BLOCK` queries (a stated query set against all
 of each query; the final k are the best of those by one aggregation on the query. Each query's expansion in a block stops by the
 radius rule against its best k so far in that block, so a result never depends on how rows are dealt beyond missed rows.
 
-Defined results: vectors that are null, zero, or hold null or non-finite components take no part, nor do vectors of a
-dimension other than the commonest (of equals, the largest); fewer than k candidates give all of them; a null vec_id takes no part; rows of equal vec_id are candidates
+Defined results: vectors that are null, zero, or hold null or non-finite components take no part; a query's candidates are
+the vectors of its own dimension, as cosines of others don't exist; fewer than k candidates give all of them; a null vec_id takes no part; rows of equal vec_id are candidates
 one by one but never of a query of that id; an empty table gives an empty result; other columns don't take part, whatever their names.
 """
 
@@ -46,7 +46,7 @@ class Collide:
     ratio: float = 1.4
     start: float = 0.35
     margin: float = 2.0
-    block: int = 8_192  # rows of a block; below 65,536, so that ranks are 16-bit numbers
+    block: int = 8_192  # rows of a block
     seed: int = 20240607
 
     @property
@@ -72,6 +72,18 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
+def window(arrays: np.ndarray, at: np.ndarray, side: str) -> np.ndarray:
+    """The place of one value on each sorted array, by bisection of all arrays together."""
+    m, n = arrays.shape
+    lo, hi, every = np.zeros(m, np.int64), np.full(m, n), np.arange(m)
+    while (open_ := lo < hi).any():
+        mid = (lo + hi) // 2
+        held = arrays[every, np.minimum(mid, n - 1)]
+        right = open_ & ((held < at) if side == "left" else (held <= at))
+        lo, hi = np.where(right, mid + 1, lo), np.where(open_ & ~right, mid, hi)
+    return lo
+
+
 def search_block(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, k: int, rule: Collide) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(index of the query, vec_id, cosine) of the k nearest found in one block of rows."""
     n, d = x.shape
@@ -82,46 +94,39 @@ def search_block(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarra
     px, pq = (xu[first_copy] @ lines)[copy_of].T, (qu @ lines).T
     order = np.argsort(px, axis=1, kind="stable")
     arrays = np.take_along_axis(px, order, axis=1)
-    wide = np.uint16 if n < 1 << 16 else np.uint32
-    rank = np.empty((rule.lines, n), dtype=wide)  # a row's place on each sorted array: in a window if lo <= place < hi
-    np.put_along_axis(rank, order, np.broadcast_to(np.arange(n, dtype=wide), rank.shape), axis=1)
-    best_i = [np.zeros(0, np.int64) for _ in q]
-    best_s = [np.zeros(0) for _ in q]
-    taken = np.zeros((len(q), n), dtype=bool) if len(q) * n <= 1 << 28 else None
-    radius, live = np.full(len(q), rule.start), np.arange(len(q))
-    while len(live):
-        half = rule.width * radius[live] / 2
-        lo = np.stack([np.searchsorted(arrays[m], pq[m, live] - half) for m in range(rule.lines)], axis=1)
-        hi = np.stack([np.searchsorted(arrays[m], pq[m, live] + half, side="right") for m in range(rule.lines)], axis=1)
-        going = []
-        for at, j in enumerate(live):
-            span = hi[at] - lo[at]
-            hits = ((rank - lo[at].astype(wide)[:, None]) < np.minimum(span, np.iinfo(wide).max).astype(wide)[:, None]).sum(axis=0, dtype=np.uint16)
-            found = hits >= rule.needed
-            whole = (span == n).all()
-            if taken is not None:
-                found &= ~taken[j]
-                taken[j] |= found
-                keep_i, keep_s = best_i[j], best_s[j]
-            else:
-                keep_i, keep_s = np.zeros(0, np.int64), np.zeros(0)
-            fresh = np.flatnonzero(found)
-            fresh = fresh[ids[fresh] != q_ids[j]]
-            if len(fresh) > k:  # only those near the k-th best can count; sums differ by their place in the product, so exact cosines decide
-                near = xu[fresh] @ qu[j]
-                fresh = fresh[near >= np.partition(near, len(near) - k)[len(near) - k] - 1e-9]
-            different, which = np.unique(copy_of[fresh], return_inverse=True)
+    places = np.stack([np.searchsorted(arrays[m], pq[m]) for m in range(rule.lines)]) if len(q) else np.zeros((rule.lines, 0), np.int64)
+    best_i, best_s = [], []
+    for j in range(len(q)):
+        keep_i, keep_s = np.zeros(0, np.int64), np.zeros(0)
+        hits, taken = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=bool)
+        lo = hi = places[:, j]  # a window on each sorted array, empty at first
+        radius = rule.start
+        while True:
+            half = rule.width * radius / 2
+            new_lo, new_hi = window(arrays, pq[:, j] - half, "left"), window(arrays, pq[:, j] + half, "right")
+            # only what the windows have come to cover is counted
+            fresh = [order[m, a:b] for m in range(rule.lines) for a, b in ((new_lo[m], lo[m]), (hi[m], new_hi[m])) if a < b]
+            lo, hi = np.minimum(lo, new_lo), np.maximum(hi, new_hi)
+            if fresh:
+                hits += np.bincount(np.concatenate(fresh), minlength=n)
+            found = (hits >= rule.needed) & ~taken
+            taken |= found
+            found = np.flatnonzero(found)
+            found = found[ids[found] != q_ids[j]]
+            if len(found) > k:  # only those near the k-th best can count; sums differ by their place in the product, so exact cosines decide
+                near = xu[found] @ qu[j]
+                found = found[near >= np.partition(near, len(near) - k)[len(near) - k] - 1e-9]
+            different, which = np.unique(copy_of[found], return_inverse=True)
             exact = np.array([cosine(x[i], q[j]) for i in first_copy[different]])
-            keep_i, keep_s = np.concatenate([keep_i, fresh]), np.concatenate([keep_s, exact[which]])
+            keep_i, keep_s = np.concatenate([keep_i, found]), np.concatenate([keep_s, exact[which]])
             top = np.lexsort((ids[keep_i], -keep_s))[:k]
             keep_i, keep_s = keep_i[top], keep_s[top]
-            best_i[j], best_s[j] = keep_i, keep_s
             far = math.sqrt(max(0.0, 2 - 2 * keep_s.min())) if len(keep_s) >= k else math.inf
-            if whole or far <= radius[j]:
-                continue
-            radius[j] = min(radius[j] * rule.ratio, far)
-            going.append(j)
-        live = np.array(going, dtype=np.int64)
+            if far <= radius or (hi - lo == n).all():
+                break
+            radius = min(radius * rule.ratio, far)
+        best_i.append(keep_i)
+        best_s.append(keep_s)
     index = np.repeat(np.arange(len(q)), [len(b) for b in best_i])
     rows = np.concatenate(best_i) if len(q) else np.zeros(0, np.int64)
     return index, ids[rows], np.concatenate(best_s) if len(q) else np.zeros(0)
@@ -140,18 +145,14 @@ def cosine(a: np.ndarray, b: np.ndarray) -> float:
 def search(vectors: DataFrame, queries: DataFrame, k: int, rule: Collide = Collide()) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest found of every row of queries (vec_id, embedding) among vectors."""
     rows, asked = clean(vectors), clean(queries)
-    size = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    if size is None:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows, asked = rows.filter(F.size("v") == size["d"]), asked.filter(F.size("v") == size["d"])
-    total = rows.count()
+    total, n_queries = rows.count(), asked.count()
     blocks = max(1, -(-total // rule.block))
     # every block meets every query block: the pairs are (rows' block) x (queries' block), never single rows
-    n_queries = asked.count()
     q_blocks = max(1, -(-n_queries // QUERY_BLOCK))
-    row_key = F.pmod(F.xxhash64("vec_id", F.hash("v")), F.lit(blocks)).cast("int")
-    left = rows.select("vec_id", "v", row_key.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("q_block"), F.lit(False).alias("asks"))
-    right = asked.select("vec_id", "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(q_blocks)).cast("int").alias("q_block"), F.lit(True).alias("asks"))
+    row_key = F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(blocks)).cast("int")  # repeated rows are spread too
+    keyed = rows.select("vec_id", "v", row_key.alias("block"))
+    left = keyed.select("vec_id", "v", F.size("v").alias("d"), "block", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("q_block"), F.lit(False).alias("asks"))
+    right = asked.select("vec_id", "v", F.size("v").alias("d"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(q_blocks)).cast("int").alias("q_block"), F.lit(True).alias("asks"))
 
     def run(table_: pa.Table) -> pa.Table:
         asks = table_.column("asks").to_numpy().astype(bool)
@@ -164,7 +165,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, rule: Collide = Colli
         j, i, s = search_block(ids[~asks], x[~asks], ids[asks], x[asks], k, rule)
         return pa.table([pa.array(ids[asks][j]), pa.array(i), pa.array(s)], schema=schema)
 
-    found = left.unionByName(right).groupBy("block", "q_block").applyInArrow(run, "query_id long, vec_id long, score double")
+    found = left.unionByName(right).groupBy("d", "block", "q_block").applyInArrow(run, "query_id long, vec_id long, score double")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
