@@ -7,12 +7,12 @@ are put back in text order and hashed as a tuple. A cell thus agrees between two
 items and have them in the same order, which is what makes the signature sensitive to edit distance and not to
 overlap alone. The likeness of two fingerprints is the share of agreeing cells among those that either fills.
 
-All of it is one pass over arrays of 64-bit numbers inside a row: hash in the high 40 bits, position in the low 24, so sorting is
-on primitive arrays. Positions past 2^24 tokens share the last position.
+All of it is one pass over arrays of 64-bit numbers inside a row: hash in the high bits, position in the low 30, so sorting is
+on primitive arrays. No string that Spark can hold has more tokens.
 
 The next document in descending order of ids comes from a window inside range buckets of ids; each bucket also gets a copy of the
-first row of the next one, so no window spans the whole table. Bounds of buckets come from approximate percentiles,
-at most MOST_BUCKETS of them.
+first row of the next one, so no window spans the whole table. Bounds of buckets come from approximate percentiles, as many as the number of rows asks
+for, and are looked up in two steps; at most MOST_BUCKETS of them.
 
 Defined results: null text is empty; an empty text fills no cell, and is like another empty text (1.0) and no other (0.0);
 equal texts have equal fingerprints; of rows with equal ids the order is that of their texts; a null id comes last; one row alone
@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 
 from fernquery.llm.common import table
 
-MOST_BUCKETS = 512
+MOST_BUCKETS = 4096
 ROWS_A_BUCKET = 2000
-_POSITIONS = 24
+_POSITIONS, _KEY = 30, 33
 _LAST = (1 << _POSITIONS) - 1
 _TUPLE = 57  # bits of a tuple's hash in a packed cell; cells are at most 64
 
@@ -54,8 +54,8 @@ def _head(v: Column) -> Column:
 
 
 def _pack(key: Column, position: Column) -> Column:
-    """Key's low 39 bits above a position, so that packed numbers stay positive."""
-    return F.shiftleft(key.bitwiseAND(F.lit((1 << 39) - 1)), _POSITIONS).bitwiseOR(position)
+    """Key's low bits above a position, so that packed numbers stay positive."""
+    return F.shiftleft(key.bitwiseAND(F.lit((1 << _KEY) - 1)), _POSITIONS).bitwiseOR(position)
 
 
 def _range(low: Column, high: Column) -> Column:
@@ -80,7 +80,7 @@ def cells(text: Column, rule: Order) -> Column:
         numbers = let(starts, lambda st: F.flatten(F.transform(st, lambda x, j: F.sequence(F.lit(0), F.coalesce(F.get(st, j + 1), n) - x - 1))))
         return F.sort_array(F.zip_with(s, numbers, lambda v, o: _pack(F.xxhash64(_head(v), o), v.bitwiseAND(F.lit(_LAST)))))
 
-    cell = lambda v: F.shiftright(v, _POSITIONS + 39 - (rule.cells - 1).bit_length())  # noqa: E731  the top bits of the 39
+    cell = lambda v: F.shiftright(v, _POSITIONS + _KEY - (rule.cells - 1).bit_length())  # noqa: E731  the top bits of the key
 
     def tuples(t: Column) -> Column:
         least = F.filter(t, lambda v, i: (i < rule.kept) | (cell(F.get(t, i - rule.kept)) != cell(v)))
@@ -114,14 +114,23 @@ def written(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda x: F.lpad(F.hex(x), 16, "0")), "")
 
 
+def below(v: Column, cuts: list[int]) -> Column:
+    """How many of the sorted cuts are less than v: first among every `step`-th of them, then among those between."""
+    step = max(1, int(len(cuts) ** 0.5))
+    coarse = F.array(*[F.lit(int(x)) for x in cuts[::step]])
+    runs = F.array(*[F.array(*[F.lit(int(x)) for x in cuts[k : k + step]]) for k in range(0, len(cuts), step)])
+    fewer = lambda xs: F.size(F.filter(xs, lambda x: x < v))
+    return let(fewer(coarse), lambda n: F.when(n == 0, 0).otherwise((n - 1) * step + fewer(F.get(runs, n - 1))))
+
+
 def with_next(docs: DataFrame, made: dict[str, Column]) -> DataFrame:
     """docs (doc_id, text) with the columns `made` and `next`, a struct of text and those of the next row by descending
     doc_id, cyclically. The columns are made once, just before the shuffle that deals rows to buckets."""
-    span = docs.agg(F.count("*"), F.percentile_approx("doc_id", [k / MOST_BUCKETS for k in range(1, MOST_BUCKETS)], 10_000)).first()
-    count, bounds = span[0], sorted(set(span[1] or []))
+    count = docs.count()
     wanted = max(1, min(MOST_BUCKETS, count // ROWS_A_BUCKET))
-    cuts = sorted({bounds[k * len(bounds) // wanted] for k in range(1, wanted)}) if bounds else []
-    bucket = F.lit(len(cuts)) - F.size(F.filter(F.array(*[F.lit(int(x)) for x in cuts]), lambda x: x < F.col("doc_id"))) if cuts else F.lit(0)
+    found = docs.agg(F.percentile_approx("doc_id", [k / wanted for k in range(1, wanted)], 10 * MOST_BUCKETS)).first()[0] if wanted > 1 else None
+    cuts = sorted(set(found or []))
+    bucket = F.lit(len(cuts)) - below(F.col("doc_id"), cuts) if cuts else F.lit(0)
     placed = docs.withColumn("bucket", F.when(F.col("doc_id").isNull(), len(cuts)).otherwise(bucket)).withColumn("extra", F.lit(False))
     # the first id of each bucket: one row for each of at most MOST_BUCKETS buckets
     heads = placed.groupBy("bucket").agg(F.max("doc_id").alias("doc_id"), F.count("doc_id").alias("n"))
