@@ -182,14 +182,14 @@ def class_prior(pos: np.ndarray, unl: np.ndarray, seed: int = 3) -> float:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network | None:
-    """A network from at most `sample` trusted positives and `sample` unlabelled rows of the learning folds."""
+    """A network from at most `sample` trusted positives and `sample` unlabelled ids of the learning folds; of rows of one id the least text counts."""
     learn = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.pmod(crc_of_id(), F.lit(3)).alias("fold"))
     trusted = labels.filter((F.col("quality") == 1) & (F.pmod(crc_of_id(), F.lit(3)) != 1)).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     order = F.xxhash64(F.lit(11), "doc_id")
     chosen = trusted.orderBy(order, "doc_id").limit(sample)
-    some = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().orderBy(F.xxhash64(F.lit(12), "doc_id"), "doc_id").limit(sample)
+    some = learn.filter("fold <> 1").select("doc_id").distinct().orderBy(F.xxhash64(F.lit(12), "doc_id"), "doc_id").limit(sample)
     of = chosen.withColumn("kind", F.lit(1)).unionByName(some.withColumn("kind", F.lit(0)))  # at most 2 * sample ids
-    rows = learn.select("doc_id", "text").join(F.broadcast(of), "doc_id").select("kind", "text")
+    rows = learn.select("doc_id", "text").join(F.broadcast(of), "doc_id").groupBy("kind", "doc_id").agg(F.min("text").alias("text")).select("kind", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
