@@ -1,7 +1,6 @@
 """The training-data operators against brute force on small fixtures, and on nulls, empty and long texts, ties, repeats, empty tables and clashing columns."""
 
 import collections
-import hashlib
 import itertools
 import math
 import random
@@ -51,7 +50,6 @@ def test_packing_round_trip(docs, rows, none):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     want = collections.Counter((r[0], tuple([*t.encode(r[1] or "", add_special_tokens=False).ids, 1])) for r in rows)
     limits = packing.Limits(tokens=64, segments=5, loss=50, pool=16)
     got = packing.pack(docs, limits).collect()
@@ -77,10 +75,9 @@ def test_encoder_equals_tokenizer():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     encode = packing.Encoder(packing.vocabulary())
     rng = random.Random(1)
-    cases = ["", " ", "  a", "a  b", "a \n b", "a\n\n b ", " it's  we'll\t x", "  x   y", "<|endoftext|> z", "a\u0085b \x1c c", "日本 語"]
+    cases = ["", " ", "  a", "a  b", "a \n b", "a\n\n b ", " it's  we'll\t x", "  x   y", "<|endoftext|> z", "a <|endoftext|><|endoftext|>b  <|endof", "a\u0085b \x1c c", "日本 語"]
     cases += ["".join(rng.choice("ab '\n\t.é 5") for _ in range(40)) for _ in range(300)]
     for c in cases:
         assert np.frombuffer(encode(c), "<u4").tolist() == t.encode(c, add_special_tokens=False).ids, repr(c)
@@ -430,12 +427,48 @@ def test_transcripts(spark):
     assert roles == ["system", "user", "assistant", "user", "assistant", "assistant"]
     assert next(r for r in got if r["turn"] == 1)["rendered"] == "<|user|>\nhello?\n<|end|>"
     assert transcripts.parse(df.limit(0), model).count() == 0
-    small = transcripts.Model(lines=8, ahead=4)
     long = spark.createDataFrame([(1, k, ("User: " if k % 2 else "Assistant: ") + "x") for k in range(200)], "conv_id long, turn long, text string")
-    got = transcripts.parse(long, small).orderBy("turn").collect()
+    got = transcripts.parse(long, model).orderBy("turn").collect()
     assert [r["role"] for r in got] == ["user" if k % 2 else "assistant" for k in range(200)]
 
 
+def test_transcripts_by_brute_force(spark):
+    """Whole conversations by one Viterbi run each, and turns over several rows rendered with one head and one end."""
+    rng = random.Random(51)
+    model = transcripts.Model()
+    rows = []
+    for c in range(12):
+        for t in range(rng.randrange(1, 30)):
+            lines = [rng.choice(["User: ", "Assistant: ", "", "", "", "[system] "]) + rng.choice(["why?", "so it is", "", text(rng, 40)]) for _ in range(rng.randrange(1, 5))]
+            rows.append((c, t, "\n".join(lines), "role", t))
+    rows += [(None, 1, "User: a"), (None, 1, "User: a"), (None, None, "b\nc"), (None, 2, None)]
+    rows = [(*r, "role", 0)[:5] for r in rows]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, text string, role string, seq long").repartition(5)
+    got = collections.defaultdict(list)
+    for r in transcripts.parse(df, model).collect():
+        got[r["conv_id"]].append(r)
+    for c in range(12):
+        seen, where = [], []
+        for r in sorted(r for r in rows if r[0] == c):
+            obs = transcripts._observe(r[2])
+            where += [(r[1], k, line, o[2]) for k, (line, o) in enumerate(zip(r[2].split("\n"), obs, strict=True))]
+            seen += obs
+        turns = []
+        for (_, _, line, cut), s in zip(where, model.viterbi(seen), strict=True):
+            role, opens = transcripts.STATES[s]
+            if opens or not turns:
+                turns.append([role, [line[cut:] if opens else line]])
+            else:
+                turns[-1][1].append(line)
+        pieces = sorted(got[c], key=lambda r: (r["turn"], r["first_line"]))
+        made = "\n".join(r["rendered"] for r in pieces)
+        want = "\n".join((f"<|{role}|>\n" if k or transcripts.STATES[model.viterbi(seen)[0]][1] else "") + "\n".join(ls) + "\n<|end|>" for k, (role, ls) in enumerate(turns))
+        assert made == want
+        assert made.count("<|end|>") == len(turns)
+    assert sorted(r["rendered"] for r in got[None]) == sorted(["<|user|>\na\n<|end|>"] * 2 + [r["rendered"] for r in got[None] if r["turn"] != 1])
+    assert len(got[None]) == 4
+
+
 def test_quality(spark, none):
     rng = random.Random(8)
     rows, labels = [], []
@@ -478,7 +511,6 @@ def test_context_mixing(docs, rows, none):
 
 def small_stream(rng, rows=5, symbols=9):
     tree = contextmix.huffman(np.array([rng.randrange(1, 60) for _ in range(symbols)]))
-    wide = tree[2].astype(np.uint64) * contextmix.ODD
     n = [rng.randrange(1, 90) for _ in range(rows)]
     row, nth = np.repeat(np.arange(rows), n), np.concatenate([np.arange(k) for k in n])
     symbol = np.array([rng.randrange(symbols) for _ in row])
@@ -486,11 +518,11 @@ def small_stream(rng, rows=5, symbols=9):
     plain = np.array([rng.randrange(-20, 20) for _ in range(symbols)], dtype=np.int8)
     codes = contextmix.packed_codes(tree)
     code = [tuple(tree[3][tree[0][k] : tree[0][k] + tree[1][k]].tolist()) for k in range(symbols)]
-    guess = [np.array([rng.randrange(symbols) for _ in row]) for _ in range(2)]
+    guess = [np.array([rng.randrange(symbols) for _ in row])]
     shared = [np.array([next((j for j in range(len(code[g])) if j >= len(code[x]) or code[g][j] != code[x][j]), 64) if g != x else 64 for g, x in zip(y, symbol, strict=True)]) for y in guess]
-    kinds = [np.array([rng.randrange(k) for _ in row]) for k in (contextmix.IN, contextmix.OUT)]
+    kinds = [np.array([rng.randrange(contextmix.IN) for _ in row])]
     assert len(set(codes.tolist())) == symbols
-    return contextmix.Stream(tree, wide, symbol, row, nth, 8, contexts, ("a",), plain, tuple(zip(shared, kinds, strict=True))), code, guess
+    return contextmix.Stream(tree, symbol, row, nth, 8, contexts, ("a",), plain, tuple(zip(shared, kinds, strict=True))), code, guess
 
 
 def test_mixing_cost_by_brute_force():
@@ -509,26 +541,25 @@ def test_mixing_cost_by_brute_force():
                 want[k][128 + 2 * slot(stream.contexts[k][t], int(nodes[first[x] + j]), 64) + bit] += 1
     assert all((held[k] == want[k]).all() for k in held)
     tables = {k: np.array([rng.randrange(-400, 400) for _ in range(64)], dtype=np.int16) for k in ("a", "b")}
-    weights = np.array([[rng.uniform(-0.3, 0.8) for _ in range(6)] for _ in range(contextmix.GATES)])
+    weights = np.array([[rng.uniform(-0.3, 0.8) for _ in range(5)] for _ in range(contextmix.GATES)])
     got = stream.cost(tables, weights, 5, 0.3)
-    total, add = np.zeros(5), np.zeros((5, 6))
+    total, add = np.zeros(5), np.zeros((5, 5))
     for r in range(5):
         own = np.flatnonzero(stream.row == r)
         edges = [0, 8, 16, 32, 64, 128]
         for a, b in itertools.pairwise(edges):
-            grad, seen = np.zeros(6), 0
+            grad, seen = np.zeros(5), 0
             for t in own[(stream.nth[own] >= a) & (stream.nth[own] < b)]:
                 x = stream.symbol[t]
                 for j, bit in enumerate(code[x]):
                     node = int(nodes[first[x] + j])
                     found = {k: int(tables[k][slot(stream.contexts[k][t], node, 64)]) for k in tables}
                     v, gate, scale = [stream.plain[node] / 10, (found["a"] >> 2) / 10, (found["b"] >> 2) / 10], found["a"] & 3, 4
-                    for (shared, kind), n in zip(stream.deep, (contextmix.IN, contextmix.OUT), strict=True):
+                    for shared, kind in stream.deep:
                         here = int(kind[t]) if shared[t] >= j else 0
                         says = bit if shared[t] > j else 1 - bit
                         v.append((3 if says else -3) if here else 0)
                         gate += scale * here
-                        scale *= n
                     v = np.array([*v, 1.0])
                     p = 1 / (1 + math.exp(-min(18, max(-18, float((weights[gate] + add[r]) @ v)))))
                     total[r] -= math.log2(p if bit else 1 - p)
@@ -548,9 +579,9 @@ def test_mixing_is_a_distribution():
         _, e = np.frexp((codes[guess] ^ codes[every]).astype(np.float64))
         shared = np.where(every == guess, 64, 53 - e)
         ones = np.ones(40, dtype=np.int64)
-        s = contextmix.Stream(tree, tree[2].astype(np.uint64) * contextmix.ODD, every, every, 0 * every, 8, {"a": ones.astype(np.uint64)}, ("a",), np.array([rng.randrange(-30, 30) for _ in range(40)], dtype=np.int8), ((shared, ones), (shared, 2 * ones)))
+        s = contextmix.Stream(tree, every, every, 0 * every, 8, {"a": ones.astype(np.uint64)}, ("a",), np.array([rng.randrange(-30, 30) for _ in range(40)], dtype=np.int8), ((shared, 2 * ones),))
         tables = {"a": np.array([rng.randrange(-300, 300) for _ in range(256)], dtype=np.int16)}
-        bits = s.cost(tables, np.full((contextmix.GATES, 5), 0.4), 40, 0.05)
+        bits = s.cost(tables, np.full((contextmix.GATES, 4), 0.4), 40, 0.05)
         assert abs((2.0**-bits).sum() - 1) < 1e-4
 
 
@@ -587,8 +618,66 @@ def test_codes_are_complete():
     assert len(nodes) == size.sum()
 
 
-def test_pipeline_stages_exist():
+@pytest.fixture(scope="module")
+def corpus(spark, tmp_path_factory):
+    """A small corpus: good prose in two sources, shouting junk, exact and near copies, a repeated passage, null and empty texts."""
+    rng = random.Random(61)
+    rows, labels = [], []
+    for k in range(240):
+        rows.append((k, "\n".join(text(rng, 14) for _ in range(6)), "en", "ab"[k % 2], 0))
+        labels.append((k, 1, 0))
+    for k in range(240, 300):
+        rows.append((k, " ".join(rng.choice(["BUY!!!", "$$$", "click", "NOW!!!"]) for _ in range(60)), "en", "a", 0))
+        labels.append((k, 0, 0))
+    rows += [(400 + k, rows[k][1], "en", "a", 0) for k in range(20)]
+    rows += [(500 + k, rows[30 + k][1] + " more", "en", "b", 0) for k in range(20)]
+    passage = "\n".join(text(rng, 20) for _ in range(3))
+    rows += [(600 + k, text(rng, 40) + "\n" + passage + "\n" + text(rng, 40), "en", "a", 0) for k in range(4)]
+    rows += [(700, None, "en", "a", 0), (701, "", None, None, 0), (None, text(rng, 50), "en", "b", 0), (5, rows[5][1], "en", "b", 0)]
+    at = tmp_path_factory.mktemp("corpus")
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"{at}/labels.parquet")
+    return str(at), rows, passage
+
+
+def test_pipeline(spark, corpus):
+    """Every stage does its work on what the one before kept, and the last table holds all token ids of what the mix drew."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    at, rows, passage = corpus
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "line dedup", "near duplicates", "source mixing", "packing"]
+    docs, seen = spark.read.parquet(f"{at}/documents.parquet"), []
+    for _, stage in corpus_pipeline.STAGES:
+        docs = spark.createDataFrame(stage(spark, docs, at).collect(), stage(spark, docs.limit(0), at).schema)
+        seen.append(docs)
+    good, fresh, one, mixed, packed = (d.collect() for d in seen)
+    assert all(d.columns == corpus_pipeline.COLUMNS for d in seen[:4])
+    ids = [r["doc_id"] for r in good]
+    assert sum(i is not None and i < 240 for i in ids) >= 235 and not any(240 <= (i or 0) < 300 for i in ids)
+    assert sum(passage.split("\n")[1] in (r["text"] or "") for r in fresh) == 1
+    assert all(r["n_chars"] == len(r["text"] or "") for r in fresh)
+    kept = {r["doc_id"] for r in one}
+    assert not any(500 <= (i or 0) < 520 for i in kept) and not any(400 <= (i or 0) < 420 for i in kept)
+    assert {i for i in ids if i is not None and i < 240 and i != 5} <= kept
+    drawn = collections.Counter((r["doc_id"], r["text"]) for r in mixed)
+    assert set(drawn) == {(r["doc_id"], r["text"]) for r in one} or max(drawn.values()) > 1
+    import public_tokenizers
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = collections.defaultdict(list)
+    for r in packed:
+        pieces[(r["doc_id"], r["row_id"])].append(r)
+    made = collections.Counter((k[0], tuple(np.frombuffer(b"".join(bytes(r["ids"]) for r in sorted(own, key=lambda r: r["start"])), "<u4").tolist())) for k, own in pieces.items())
+    assert made == collections.Counter({(i, (*t.encode(x or "", add_special_tokens=False).ids, 1)): n for (i, x), n in drawn.items()})
+
+
+def test_pipeline_run(spark, corpus, tmp_path):
     import corpus_pipeline
 
-    assert len(corpus_pipeline.STAGES) == 5
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+    at, _, _ = corpus
+    out = corpus_pipeline.run(spark, at)
+    assert out.count() > 200 and {"doc_id", "ids", "sequence_id", "row_id"} <= set(out.columns)
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long, score double, row string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
