@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fernquery.llm import linechunks, mixing, nearcopies, packing, quality
-from fernquery.llm.common import table
+from fernquery.llm.common import shared_folder, table
 from fernquery.session import ship
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -42,9 +43,9 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents placed in training sequences (operator 3)."""
+    """Pieces of documents placed in training sequences, with their token ids (operator 3). A document that the mix draws twice has two values of `row_id`."""
     ship(spark)
-    return packing.pack(docs.select("doc_id", "text"), with_ids=False).drop("ids")
+    return packing.pack(docs.select("doc_id", "text"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -60,18 +61,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents. Each result is written as Parquet beside the checkpoints and read again."""
-    import uuid
+    """All stages over documents. Each result is written as Parquet in the shared folder and read again; once the next one is written it is removed.
 
-    docs = table(spark, sf_dir, "documents")
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        from fernquery.llm.common import cut
-
-        cut(spark.range(1).toDF("id"))  # chooses the shared folder
-    base = context._jsc.sc().getCheckpointDir().get()
+    Null texts count as empty, ties and repeated rows as each operator states, an empty table goes through all stages, and columns other than
+    those of documents are left out before the first stage, so that they can't clash."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    base = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
-        out = f"{base}/pipeline-{uuid.uuid4().hex}-{k}"
+        out = f"{base}-{k}"
         stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
+        if before:
+            path = spark._jvm.org.apache.hadoop.fs.Path(before)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        before = out
     return docs
