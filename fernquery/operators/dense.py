@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -48,9 +49,24 @@ def scale(v: Column) -> Column:
 
 
 def quantise(v: Column) -> Column:
-    """8-bit components: half up, as floor(x + 0.5); a zero vector is all zero."""
-    s = scale(v)
-    return F.transform(doubles(v), lambda x: F.when(s > 0, F.floor(x * (1 / s) + 0.5)).otherwise(0).cast("int"))
+    """8-bit components: half up, as floor(x + 0.5); a zero vector is all zero. The scale is bound once for all components."""
+    over = F.transform(F.array(scale(v)), lambda s: F.transform(doubles(v), lambda x: F.when(s > 0, F.floor(x * (1 / s) + 0.5)).otherwise(0).cast("int")))
+    return F.get(over, F.lit(0))
+
+
+def tiers(vectors: DataFrame, key: str = "vec_id", column: str = "embedding") -> DataFrame:
+    """key, s, q (8-bit components) and sign bytes of every vector, to be stored."""
+    v = F.col(column)
+    return vectors.select(key, scale(v).alias("s"), F.transform(quantise(v), lambda x: x.cast("tinyint")).alias("q"), F.transform(sign_bytes(v), lambda x: x.cast("smallint")).alias("bits"))
+
+
+def nearest_stored(held: DataFrame, query: list[float], k: int, key: str = "vec_id") -> DataFrame:
+    """The k nearest rows of a stored 8-bit tier; a cosine doesn't feel the scale. The squares of integers are exact."""
+    q = F.array(*[F.lit(float(x)) for x in query])
+    qq = sum(float(x) * float(x) for x in query) ** 0.5
+    size = F.sqrt(F.aggregate("q", F.lit(0).cast("long"), lambda s, x: s + x.cast("long") * x))
+    top = F.aggregate(F.zip_with(q, F.col("q"), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    return held.select(key, F.when((size > 0) & F.lit(qq > 0), top / (size * qq)).otherwise(0.0).alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 
 def dequantise(q: Column, s: Column) -> Column:
@@ -77,13 +93,16 @@ def background_mean(vectors: DataFrame, column: str = "embedding") -> DataFrame:
 
 def background_deviation(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", reservoir: int = 4096, pairs: int = 8000, seed: int = 7) -> DataFrame:
     """Population deviation of the cosines of at most `pairs` pairs of a reservoir of at most 4096 rows chosen by hash."""
-    kept = vectors.orderBy(F.xxhash64(F.lit(seed), key), key).limit(reservoir).select(F.struct(F.xxhash64(F.lit(seed), key).alias("h"), F.col(key).alias("k"), F.col(column).alias("v")).alias("r"))
-    held = kept.agg(F.sort_array(F.collect_list("r")).alias("all"))
-    n = F.size("all")
-    draws = held.select("all", F.explode(F.sequence(F.lit(0), F.lit(pairs - 1))).alias("i"))
-    a = F.pmod(F.xxhash64(F.lit(seed), "i"), n.cast("long")).cast("int")
-    step = (F.pmod(F.xxhash64(F.lit(seed + 1), "i"), (n - 1).cast("long")) + 1).cast("int")
-    return draws.filter(n > 1).select(dot(F.get("all", a)["v"], F.get("all", F.pmod(a + step, n))["v"]).alias("c")).agg(F.stddev_pop("c").alias("deviation"))
+    h = F.xxhash64(F.lit(seed), key)
+    kept = vectors.orderBy(h, key).limit(reservoir).select(h.alias("h"), key, column)
+    held = kept.select((F.row_number().over(W.orderBy("h", key)) - 1).alias("i"), F.col(column).alias("v"))  # at most `reservoir` rows
+    total = held.agg(F.count("*").alias("n"))
+    draws = vectors.sparkSession.range(pairs).crossJoin(F.broadcast(total)).filter("n > 1")
+    a = F.pmod(F.xxhash64(F.lit(seed), F.col("id").cast("int")), F.col("n"))
+    step = F.pmod(F.xxhash64(F.lit(seed + 1), F.col("id").cast("int")), F.col("n") - 1) + 1
+    drawn = draws.select(a.cast("int").alias("i"), F.pmod(a + step, F.col("n")).cast("int").alias("j"))
+    both = drawn.join(F.broadcast(held), "i").join(F.broadcast(held.select(F.col("i").alias("j"), F.col("v").alias("w"))), "j")
+    return both.select(dot(F.col("v"), F.col("w")).alias("c")).agg(F.stddev_pop("c").alias("deviation"))
 
 
 def confidence(c: Column, mean: Column, deviation: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fernquery.functions import analyzer
+from fernquery.sources import store
 
 FIELDS = {"title": 10.0, "aliases": 6.0, "tags": 3.0, "content": 3.0, "properties": 2.0, "headings": 3.0}
 BOOSTED = FIELDS | {"aliases": 9.0, "tags": 2.0, "headings": 4.0}
@@ -28,7 +29,9 @@ class Bm25:
 
 def field_terms(chunks: DataFrame, fields: list[str]) -> DataFrame:
     """chunk_id, field, term: a row for each indexed occurrence; one pass over the chunks."""
-    texts = F.array(*[F.struct(F.lit(f).alias("field"), F.coalesce(F.col(f), F.lit("")).alias("text")) for f in fields])
+    kinds = dict(chunks.dtypes)
+    held = {f: F.array_join(F.col(f), " ") if kinds[f].startswith("array") else F.col(f).cast("string") for f in fields}
+    texts = F.array(*[F.struct(F.lit(f).alias("field"), F.coalesce(c, F.lit("")).alias("text")) for f, c in held.items()])
     rows = chunks.select("chunk_id", F.explode(texts).alias("t")).select("chunk_id", "t.field", F.explode(analyzer.tokens(F.col("t.text"))).alias("token"))
     # folded in a step of its own: the plural rules use it many times
     folded = rows.select("chunk_id", "field", analyzer.fold(F.col("token")).alias("folded"))
@@ -65,45 +68,89 @@ def saturation(tf: Column, length: Column, average: Column, p: Bm25) -> Column:
 
 @dataclass
 class Index:
-    """The persisted tables of one corpus version. Statistics are those of the whole corpus, whatever a query filters."""
+    """The tables of one corpus version. Statistics are those of the whole corpus, whatever a query filters."""
 
-    posts: DataFrame  # term, field, chunk_id, tf
-    lens: DataFrame  # chunk_id, field, len
+    posts: DataFrame  # term, field, chunk_id, tf, len, bucket
+    terms: DataFrame  # term, field, df, bucket
+    averages: DataFrame  # field, avglen
     total: int
+    buckets: int = 16
 
     @staticmethod
-    def build(chunks: DataFrame, fields: list[str]) -> Index:
+    def build(chunks: DataFrame, fields: list[str], buckets: int = 16) -> Index:
         posts = postings(chunks, fields)
-        return Index(posts, lengths(posts), chunks.count())
+        n = chunks.count()
+        lens = lengths(posts)
+        bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket")
+        return Index(posts.join(lens, ["chunk_id", "field"]).select("term", "field", "chunk_id", "tf", "len", bucket), frequencies(posts).select("term", "field", "df", bucket), field_averages(lens, n), n, buckets)
 
-    def weighted(self, terms: DataFrame, boosts: dict[str, float] = FIELDS, p: Bm25 = Bm25()) -> DataFrame:
-        """chunk_id, source, part of every match; terms: term, source, weight, one row for each occurrence in the query."""
+    @staticmethod
+    def stored(spark, name: str, chunks: DataFrame, fields: list[str], buckets: int = 16) -> Index:
+        """The index of `name`, which the first call of an application builds and writes: postings and terms lie by bucket of the term, in its order."""
+
+        def make() -> dict[str, DataFrame]:
+            i = Index.build(chunks, fields, buckets)
+            laid = lambda df: df.repartition("bucket").sortWithinPartitions("bucket", "term")
+            return {"posts": laid(i.posts), "terms": laid(i.terms), "averages": i.averages.withColumn("total", F.lit(i.total))}
+
+        held = store.once(spark, name, make, {"posts": ["bucket"], "terms": ["bucket"]})
+        first = held["averages"].select("total").first()
+        return Index(held["posts"], held["terms"], held["averages"].drop("total"), first["total"] if first else 0, buckets)
+
+    def _of(self, table: DataFrame, words: list[str]) -> DataFrame:
+        """Rows of a query's words: whole buckets and row groups are skipped."""
+        spark = table.sparkSession
+        where = [r["b"] for r in spark.createDataFrame([(w,) for w in words], "w string").select(F.pmod(F.xxhash64("w"), F.lit(self.buckets)).cast("int").alias("b")).distinct().collect()] if words else []
+        return table.filter(F.col("bucket").isin(where) & F.col("term").isin(words))
+
+    def weighted(self, terms: DataFrame | list[tuple[str, str, float]], boosts: dict[str, float] = FIELDS, p: Bm25 = Bm25()) -> DataFrame:
+        """chunk_id, source, part of every match; terms: term, source, weight, one row for each occurrence in the query. A list is a query's own words,
+        which choose the files to read; a frame may hold any number of expansions, and the planner chooses its join."""
+        spark = self.posts.sparkSession
+        posts, df = self.posts, self.terms
+        if isinstance(terms, list):
+            words = sorted({t for t, _, _ in terms})
+            posts, df = self._of(posts, words), self._of(df, words)
+            terms = spark.createDataFrame(terms, "term string, source string, weight double")
         boost = F.create_map(*[x for f, w in boosts.items() for x in (F.lit(f), F.lit(w))])
-        hits = self.posts.join(F.broadcast(terms), "term")
-        df = self.posts.join(F.broadcast(terms.select("term").distinct()), "term").groupBy("term", "field").agg(F.count("*").alias("df"))
-        averages = field_averages(self.lens, self.total)
-        hits = hits.join(F.broadcast(df), ["term", "field"]).join(F.broadcast(averages), "field").join(self.lens, ["chunk_id", "field"])
+        idfs = df.select("term", "field", "df").join(terms, "term").join(F.broadcast(self.averages), "field")  # averages: a row a field
+        hits = posts.select("term", "field", "chunk_id", "tf", "len").join(idfs, ["term", "field"])
         part = F.col("weight") * F.coalesce(boost[F.col("field")], F.lit(0.0)) * idf(F.lit(self.total), F.col("df")) * saturation(F.col("tf"), F.col("len"), F.col("avglen"), p)
         return hits.select("chunk_id", "source", "term", part.alias("part"))
 
-    def scores(self, terms: DataFrame, boosts: dict[str, float] = FIELDS, p: Bm25 = Bm25()) -> DataFrame:
+    def scores(self, terms: DataFrame | list, boosts: dict[str, float] = FIELDS, p: Bm25 = Bm25()) -> DataFrame:
         """chunk_id, score, matched (distinct query terms hit, expansions counted for their source)."""
         return self.weighted(terms, boosts, p).groupBy("chunk_id").agg(F.sum("part").alias("score"), F.countDistinct("source").alias("matched"))
 
-    def bound(self, terms: DataFrame, boosts: dict[str, float] = FIELDS, p: Bm25 = Bm25()) -> DataFrame:
+    def bound(self, asked: DataFrame | list, boosts: dict[str, float] = FIELDS, p: Bm25 = Bm25()) -> DataFrame:
         """One row, bound: the sum over query occurrences of the best single-term score."""
-        occurrences = terms.groupBy("term").agg(F.count("*").alias("times"), F.first("weight").alias("weight"))
-        one = terms.select("term", F.col("term").alias("source"), F.lit(1.0).alias("weight")).distinct()
-        each = self.weighted(one, boosts, p).groupBy("term", "chunk_id").agg(F.sum("part").alias("s")).groupBy("term").agg(F.max("s").alias("best"))
+        spark = self.posts.sparkSession
+        times: dict[str, int] = {}
+        for t, _, _ in _own(asked):
+            times[t] = times.get(t, 0) + 1
+        each = self.weighted([(t, t, 1.0) for t in times], boosts, p).groupBy("term", "chunk_id").agg(F.sum("part").alias("s")).groupBy("term").agg(F.max("s").alias("best"))
+        occurrences = spark.createDataFrame(list(times.items()), "term string, times int")
         return each.join(F.broadcast(occurrences), "term").agg(F.coalesce(F.sum(F.col("best") * F.col("times")), F.lit(0.0)).alias("bound"))
 
+    def known(self, asked: DataFrame | list) -> DataFrame:
+        """One row, k: how many of a query's distinct words the corpus has."""
+        return self._of(self.terms, sorted({t for t, _, _ in _own(asked)})).agg(F.countDistinct("term").alias("k"))
+
     def vocabulary(self) -> DataFrame:
-        return self.posts.select("term").distinct()
+        return self.terms.select("term").distinct()
+
+
+def _own(asked: DataFrame | list) -> list[tuple[str, str, float]]:
+    """A query's own words, which are few, as a list."""
+    return asked if isinstance(asked, list) else [(r["term"], r["source"], r["weight"]) for r in asked.collect()]
+
+
+def query_list(query: str) -> list[tuple[str, str, float]]:
+    return [(t, t, 1.0) for t in analyzer.query_terms(query)]
 
 
 def query_frame(spark, query: str) -> DataFrame:
-    terms = analyzer.query_terms(query)
-    return spark.createDataFrame([(t, t, 1.0) for t in terms] or [], "term string, source string, weight double")
+    return spark.createDataFrame(query_list(query), "term string, source string, weight double")
 
 
 def prefix_terms(vocabulary: DataFrame, last: str) -> DataFrame:

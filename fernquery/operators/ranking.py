@@ -83,11 +83,10 @@ def union_of(*arms: DataFrame) -> DataFrame:
 
 def fuse(rows: DataFrame, p: Profile) -> DataFrame:
     """rows: dense (null without a vector), lexical, coverage, bound, recency, boost; adds the signals and `score`."""
-    whole = W.partitionBy()
-    floor = F.coalesce(F.min("dense").over(whole), F.lit(0.0))
-    lexical = F.col("lexical") * F.pow("coverage", F.lit(p.coverage_power))
-    rows = rows.withColumn("covered", lexical).withColumn("dense_filled", F.coalesce("dense", floor))
-    rows = rows.withColumn("dense_n", dense_norm(F.col("dense_filled"))).withColumn("bm25_n", bm25_norm(F.col("covered"), F.col("bound"), F.max("covered").over(whole)))
+    rows = rows.withColumn("covered", F.col("lexical") * F.pow("coverage", F.lit(p.coverage_power)))
+    ends = rows.agg(F.coalesce(F.min("dense"), F.lit(0.0)).alias("_floor"), F.max("covered").alias("_most"))
+    rows = rows.crossJoin(F.broadcast(ends))  # one row
+    rows = rows.withColumn("dense_filled", F.coalesce("dense", "_floor")).withColumn("dense_n", dense_norm(F.col("dense_filled"))).withColumn("bm25_n", bm25_norm(F.col("covered"), F.col("bound"), F.col("_most"))).drop("_floor", "_most")
     rows = rows.withColumn("hybrid", p.alpha * F.col("dense_n") + (1 - p.alpha) * F.col("bm25_n"))
     return rows.withColumn("score", F.nanvl(F.col("hybrid") + p.epsilon * F.col("recency") + F.col("boost"), F.lit(0.0)))
 

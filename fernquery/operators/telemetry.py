@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 
 
 def floor_percentiles(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """n, least, greatest, mean, p50 and p95 at the index floor(q (n - 1)) of the sorted values; by rank, so no list is collected."""
+    """n, least, greatest, mean, p50 and p95 at the index floor(q (n - 1)) of the sorted values. Rows are counted by value before any window, so
+    a key's task holds its different values and not its rows. Null values don't count."""
+    counted = rows.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
     own = W.partitionBy(*by)
-    ranked = rows.withColumn("_i", F.row_number().over(own.orderBy(value)) - 1).withColumn("_n", F.count("*").over(own))
-    at = lambda q: F.max(F.when(F.col("_i") == F.floor(q * (F.col("_n") - 1)), F.col(value)))
-    return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.min(value).alias("least"), F.max(value).alias("greatest"), F.avg(value).alias("mean"), at(0.5).alias("p50"), at(0.95).alias("p95"))
+    ranked = counted.withColumn("_upto", F.sum("_c").over(own.orderBy(value))).withColumn("_n", F.sum("_c").over(own))
+    at = lambda q: F.min(F.when(F.col("_upto") > F.floor(q * (F.col("_n") - 1)), F.col(value)))
+    mean = F.sum(F.col(value) * F.col("_c")) / F.sum("_c")
+    return ranked.groupBy(*by).agg(F.sum("_c").alias("n"), F.min(value).alias("least"), F.max(value).alias("greatest"), mean.alias("mean"), at(0.5).alias("p50"), at(0.95).alias("p95"))
 
 
 def milestones(errors: DataFrame, message: str, at: list[str]) -> DataFrame:

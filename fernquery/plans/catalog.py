@@ -12,6 +12,7 @@ from fernquery.functions import analyzer, notes
 from fernquery.operators import dense, filters, lexical, maintenance, ranking, telemetry
 from fernquery.plans import search
 from fernquery.session import ship
+from fernquery.sources import store
 from fernquery.sources.tables import note_chunks, read, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,8 +66,9 @@ def content_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def content_index(spark: SparkSession, sf_dir: str) -> lexical.Index:
-    posts = content_posts(spark, sf_dir)
-    return lexical.Index(posts, lexical.lengths(posts), read(spark, sf_dir, "documents").count())
+    """The stored index of all texts: the first query of an application builds it."""
+    d = spread(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content")))
+    return lexical.Index.stored(spark, f"content {sf_dir}", d, ["content"])
 
 
 # Analyzer
@@ -124,22 +126,21 @@ SCORES_SQL = f"""{CONTENT_TERMS}, tf AS (SELECT doc_id, term, count(*) tf FROM t
 
 @query("bm25_top10", f"WITH {SCORES_SQL} SELECT doc_id AS chunk_id, round(sum(s), 6) score, count(DISTINCT term) matched FROM part GROUP BY doc_id ORDER BY sum(s) DESC, doc_id LIMIT 10")
 def _(spark, sf):
-    s = content_index(spark, sf).scores(lexical.query_frame(spark, QUERY))
+    s = content_index(spark, sf).scores(lexical.query_list(QUERY))
     return ranking.top(s, "score", 10, "chunk_id").select("chunk_id", r6("score").alias("score"), "matched")
 
 
 @query("bm25_coverage", f"WITH {SCORES_SQL} SELECT doc_id AS chunk_id, round(sum(s) * pow(least(1.0, count(DISTINCT term) / (SELECT count(*) FROM df)), 2), 6) score FROM part GROUP BY doc_id")
 def _(spark, sf):
     index = content_index(spark, sf)
-    asked = lexical.query_frame(spark, QUERY)
-    known = index.posts.join(F.broadcast(asked.select("term").distinct()), "term", "left_semi").agg(F.countDistinct("term").alias("k"))
-    s = index.scores(asked).crossJoin(F.broadcast(known))
+    asked = lexical.query_list(QUERY)
+    s = index.scores(asked).crossJoin(F.broadcast(index.known(asked)))
     return s.select("chunk_id", r6(F.col("score") * F.pow(F.least(F.lit(1.0), F.col("matched") / F.col("k")), F.lit(2.0))).alias("score"))
 
 
 @query("bm25_bound", f"WITH {SCORES_SQL}, best AS (SELECT term, max(s) b FROM part GROUP BY term) SELECT round(sum(b), 6) bound FROM best")
 def _(spark, sf):
-    return content_index(spark, sf).bound(lexical.query_frame(spark, QUERY)).select(r6("bound").alias("bound"))
+    return content_index(spark, sf).bound(lexical.query_list(QUERY)).select(r6("bound").alias("bound"))
 
 
 _MULTI = ["title", "content", "tags_text"]
@@ -152,19 +153,19 @@ MULTI_SQL = f"""{CHUNKS_SQL}, {terms_sql("title", "chunk_id", "chunks", True, "t
 
 @query("multi_field_bm25", f"WITH {MULTI_SQL} SELECT chunk_id, round(sum(s), 6) score, count(DISTINCT term) matched FROM part GROUP BY chunk_id ORDER BY sum(s) DESC, chunk_id LIMIT 50")
 def _(spark, sf):
-    chunks = note_chunks(spark, sf).withColumn("tags", F.array_join("tags", " "))
-    s = lexical.Index.build(chunks, ["title", "content", "tags"]).scores(lexical.query_frame(spark, QUERY))
+    chunks = note_chunks(spark, sf)
+    s = lexical.Index.stored(spark, f"multi {sf}", chunks, ["title", "content", "tags"]).scores(lexical.query_list(QUERY))
     return ranking.top(s, "score", 50, "chunk_id").select("chunk_id", r6("score").alias("score"), "matched")
 
 
 @query("prefix_expand", f"WITH {CONTENT_TERMS}, v AS (SELECT DISTINCT term FROM terms) SELECT term, round(0.375 * 4 / length(term), 6) weight FROM v WHERE starts_with(term, 'onnt') AND length(term) > 4")
 def _(spark, sf):
-    return lexical.prefix_terms(content_posts(spark, sf).select("term").distinct(), "onnt").select("term", r6("weight").alias("weight"))
+    return lexical.prefix_terms(content_index(spark, sf).vocabulary(), "onnt").select("term", r6("weight").alias("weight"))
 
 
 @query("fuzzy_expand", f"WITH {CONTENT_TERMS}, v AS (SELECT DISTINCT term FROM terms), q AS (SELECT * FROM (VALUES ('ther', 1), ('attion', 2), ('onnt', 1)) q(source, allowed)) SELECT source, term, levenshtein(term, source) edits FROM v, q WHERE term <> source AND abs(length(term) - length(source)) <= allowed AND levenshtein(term, source) <= allowed")
 def _(spark, sf):
-    return lexical.fuzzy_terms(content_posts(spark, sf).select("term").distinct(), TERMS).select("source", "term", F.col("edits").cast("long").alias("edits"))
+    return lexical.fuzzy_terms(content_index(spark, sf).vocabulary(), TERMS).select("source", "term", F.col("edits").cast("long").alias("edits"))
 
 
 @query("synonym_mates", """WITH m AS (SELECT DISTINCT p_partkey // 2 class_id, unnest(string_split(p_name, ' ')) || (p_partkey // 4) token FROM part), c AS (SELECT token FROM m GROUP BY token HAVING count(DISTINCT class_id) = 1), e AS (SELECT m.* FROM m JOIN c USING (token))
@@ -211,7 +212,8 @@ def _(spark, sf):
 
 @query("int8_rerank", f"WITH {_INT8}, d AS (SELECT vec_id, list_transform(q, lambda x: x * s) w FROM q8), c AS (SELECT vec_id, list_dot_product(w, q) / (sqrt(list_dot_product(w, w)) * sqrt(list_dot_product(q, q))) c FROM d, {Q0}) SELECT vec_id, round(c, 6) score FROM c ORDER BY c DESC, vec_id LIMIT 20")
 def _(spark, sf):
-    return dense.nearest(read(spark, sf, "embeddings"), _vector(spark, sf), 20, tier="int8").select("vec_id", r6("score").alias("score"))
+    tiers = store.once(spark, f"tiers {sf}", lambda: {"tiers": dense.tiers(read(spark, sf, "embeddings"))})["tiers"]
+    return dense.nearest_stored(tiers, _vector(spark, sf), 20).select("vec_id", r6("score").alias("score"))
 
 
 @query("bg_mean_closed_form", "WITH d AS (SELECT unnest(range(64)) i), s AS (SELECT i, sum(embedding[i + 1]::DOUBLE) s FROM embeddings, d GROUP BY i), n AS (SELECT count(*) n FROM embeddings) SELECT n, round((sum(s * s) / n - 1) / (n - 1), 6) mean FROM s, n GROUP BY n")
@@ -277,8 +279,8 @@ HYBRID_SQL = f"""{SCORES_SQL}, lex AS (SELECT doc_id, sum(s) * pow(least(1.0, co
 
 
 def _hybrid(spark, sf) -> DataFrame:
-    index, asked = content_index(spark, sf), lexical.query_frame(spark, QUERY)
-    known = index.posts.join(F.broadcast(asked.select("term").distinct()), "term", "left_semi").agg(F.countDistinct("term").alias("k"))
+    index, asked = content_index(spark, sf), lexical.query_list(QUERY)
+    known = index.known(asked)
     q = F.array(*[F.lit(float(x)) for x in _vector(spark, sf)])
     d = read(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), dense.cosine(q, F.col("embedding")).alias("dense"))
     s = index.scores(asked).withColumnRenamed("chunk_id", "doc_id")
@@ -307,7 +309,7 @@ def _(spark, sf):
 def _(spark, sf):
     chunks = note_chunks(spark, sf)
     vectors = read(spark, sf, "embeddings").select(F.lpad(F.col("vec_id").cast("string"), 12, "0").alias("chunk_id"), "embedding")
-    corpus = search.Corpus.build(chunks, vectors, ["title", "content"])
+    corpus = search.Corpus(chunks, vectors, lexical.Index.stored(spark, f"search {sf}", chunks, ["title", "content"]))
     return search.search(corpus, QUERY + " tag:en -zzzz", _vector(spark, sf), 10)
 
 
@@ -403,12 +405,6 @@ def _(spark, sf):
     return search.with_snippets(d, QUERY).select("chunk_id", "snippet")
 
 
-@query("highlight_ranges")
-def _(spark, sf):
-    f = F.pandas_udf(lambda s: s.map(lambda t: [list(x) for x in notes.highlights(t, QUERY.split())]), "array<array<int>>")
-    return read(spark, sf, "documents").select("doc_id", F.size(f(F.col("text"))).alias("n"))
-
-
 _URL = "regexp_replace(regexp_replace(url, '^https?://', '', 'i'), '^www\\.', '', 'i')"
 
 
@@ -567,3 +563,6 @@ def _(spark, sf):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["bm25_top10"](spark, sf_dir)
+
+
+from fernquery.plans import upkeep  # noqa: E402, F401 - registers more queries with the decorators above

@@ -49,7 +49,8 @@ def search(corpus: Corpus, query: str, vector: list[float] | None, k: int = 10,
     caps = dense.pool_caps(corpus.index.total)
     asked = lexical.query_frame(spark, text)
     last = analyzer.query_terms(text)[-1:] or [None]
-    terms = lexical.expand(asked, corpus.index, last[0], fuzzy) if fuzzy else asked
+    words = lexical.query_list(text)
+    terms = lexical.expand(asked, corpus.index, last[0], fuzzy) if fuzzy else words
     scored = corpus.index.scores(terms)
     base = eligible.select("chunk_id").join(scored, "chunk_id", "left").select("chunk_id", F.coalesce("score", F.lit(0.0)).alias("lexical"), F.coalesce("matched", F.lit(0)).alias("matched"))
     arms = [ranking.arm(base, "lexical", caps["bm25"], "chunk_id", 1)]
@@ -63,8 +64,8 @@ def search(corpus: Corpus, query: str, vector: list[float] | None, k: int = 10,
     rows = F.broadcast(pool)
     cand = corpus.vectors.join(rows.select("chunk_id"), "chunk_id")
     cos = cand.select("chunk_id", dense.cosine(F.array(*[F.lit(float(x)) for x in vector]), F.col("embedding")).alias("dense")) if vector is not None else pool.limit(0).select("chunk_id", F.lit(0.0).alias("dense"))
-    known = corpus.index.vocabulary().join(F.broadcast(asked.select("term").distinct()), "term", "left_semi").agg(F.count("*").alias("asked_terms"))
-    full = meta.join(rows, "chunk_id").join(base, "chunk_id").join(cos, "chunk_id", "left").crossJoin(F.broadcast(corpus.index.bound(asked))).crossJoin(F.broadcast(known))
+    known = corpus.index.known(words).withColumnRenamed("k", "asked_terms")
+    full = meta.join(rows, "chunk_id").join(base, "chunk_id").join(cos, "chunk_id", "left").crossJoin(F.broadcast(corpus.index.bound(words))).crossJoin(F.broadcast(known))
     full = full.withColumn("coverage", F.when(F.col("asked_terms") <= 1, 1.0).otherwise(F.least(F.lit(1.0), F.col("matched") / F.col("asked_terms"))))
     full = full.withColumn("recency", ranking.recency(F.col("date_ms"), now_ms, profile.half_life)).withColumn("boost", ranking.title_boost(text, F.col("note_path"), F.col("aliases"), profile.title_boost))
     fused = ranking.fuse(full, profile)

@@ -63,23 +63,23 @@ def read_records(shards: DataFrame, index: DataFrame, dim: int) -> DataFrame:
     """id, q, s, sign of the index rows (id, shard, off) whose bytes are there and sound; shards: shard, content. A row whose bytes have not arrived
     is left out and comes with a later pass."""
     stride = dim + 8 + (dim + 7) // 8 + 4
-    whole = index.join(shards.select("shard", F.length("content").alias("held")), "shard").filter((F.col("off") >= 0) & (F.col("off") + stride <= F.col("held")))
-    raw = whole.drop("held").join(shards, "shard").select("id", F.expr(f"substring(content, cast(off as int) + 1, {stride})").alias("raw"))
+    wanted = index.filter("off >= 0").groupBy("shard").agg(F.collect_list(F.struct("id", "off")).alias("rows"))  # a shard's size bounds its rows
 
     def decode(batches):
         for b in batches:
-            got = [(i, unpack_record(bytes(r), dim)) for i, r in zip(b["id"], b["raw"], strict=True)]
-            yield pd.DataFrame([(i, [int(v) for v in x[0]], x[1], x[2]) for i, x in got if x], columns=["id", "q", "s", "sign"])
+            for content, rows in zip(b["content"], b["rows"], strict=True):
+                got = [(r["id"], unpack_record(bytes(content[r["off"] : r["off"] + stride]), dim)) for r in rows]
+                yield pd.DataFrame([(i, [int(v) for v in x[0]], x[1], x[2]) for i, x in got if x], columns=["id", "q", "s", "sign"])
 
-    return raw.mapInPandas(decode, "id string, q array<int>, s double, sign binary")
+    return shards.join(wanted, "shard").select("content", "rows").mapInPandas(decode, "id string, q array<int>, s double, sign binary")
 
 
-def write_version(tables: dict[str, DataFrame], root: str, version: int, stamp: dict[str, str]) -> str:
-    """All tables of one index version, then its stamp: readers only see stamped versions."""
+def write_version(tables: dict[str, DataFrame], root: str, version: int, stamp: dict[str, str], partitions: dict[str, list[str]] | None = None) -> str:
+    """All tables of one index version, then its stamp: readers only see stamped versions. `partitions`: columns that a table's folders are named by."""
     spark = next(iter(tables.values())).sparkSession
     base = f"{root}/v{version:06d}"
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{base}/{name}")
+        df.write.mode("overwrite").partitionBy(*(partitions or {}).get(name, [])).parquet(f"{base}/{name}")
     spark.createDataFrame([(version, base, {k: str(v) for k, v in stamp.items()})], "version long, base string, stamp map<string,string>").coalesce(1).write.mode("append").json(f"{root}/stamps")
     return base
 
