@@ -625,13 +625,13 @@ def corpus(spark, tmp_path_factory):
     rng = random.Random(61)
     rows, labels = [], []
     for k in range(240):
-        rows.append((k, "\n".join(text(rng, 14) for _ in range(6)), "en", "ab"[k % 2], 0))
+        rows.append((k, ("\n" if k < 200 else " ").join(text(rng, 14) for _ in range(6)), "en", "ab"[k % 2], 0))
         labels.append((k, 1, 0))
     for k in range(240, 300):
         rows.append((k, " ".join(rng.choice(["BUY!!!", "$$$", "click", "NOW!!!"]) for _ in range(60)), "en", "a", 0))
         labels.append((k, 0, 0))
     rows += [(400 + k, rows[k][1], "en", "a", 0) for k in range(20)]
-    rows += [(500 + k, rows[30 + k][1] + " more", "en", "b", 0) for k in range(20)]
+    rows += [(500 + k, rows[210 + k][1] + " more", "en", "b", 0) for k in range(20)]
     passage = "\n".join(text(rng, 20) for _ in range(3))
     rows += [(600 + k, text(rng, 40) + "\n" + passage + "\n" + text(rng, 40), "en", "a", 0) for k in range(4)]
     rows += [(700, None, "en", "a", 0), (701, "", None, None, 0), (None, text(rng, 50), "en", "b", 0), (5, rows[5][1], "en", "b", 0)]
