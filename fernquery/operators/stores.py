@@ -6,11 +6,11 @@ import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fernquery.operators import dense, maintenance
+from fernquery.operators import dense
 
 # Gates of maintenance, on which its decisions depend.
 LEAST_BYTES, LEAST_DEAD = 2 * 1024 * 1024, 0.5
@@ -216,13 +216,3 @@ def changes(events: DataFrame) -> DataFrame:
     own = events.select("seq", F.col("path").alias("note_path"), kind.alias("state"))
     moved = events.filter("kind = 'rename'").select("seq", F.col("old_path").alias("note_path"), F.lit("deleted").alias("state"))
     return own.unionByName(moved).groupBy("note_path").agg(F.max_by("state", F.struct("seq", F.col("state") == "dirty")).alias("state"))
-
-
-def matches_stamp(stamp: Column, wanted: dict[str, str]) -> Column:
-    out = F.lit(True)
-    for k, v in wanted.items():
-        out = out & F.coalesce(F.try_element_at(stamp, F.lit(k)) == v, F.lit(False))
-    return out
-
-
-merge_log = maintenance.merge_log
