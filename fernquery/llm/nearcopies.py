@@ -185,7 +185,7 @@ def multisets(docs: DataFrame, near: Near) -> DataFrame:
     return docs.select("node", "text").mapInArrow(run, "node long, items binary")
 
 
-def verify(pairs: DataFrame, items: DataFrame, similarity: float) -> DataFrame:
+def verify(pairs: DataFrame, items: DataFrame) -> DataFrame:
     """a, b, similarity of every pair whose nodes have multisets; the joins are on single keys that AQE can split."""
     left = pairs.select("a", "b").join(items.select(F.col("node").alias("a"), F.col("items").alias("items_a")), "a")
     both = left.join(items.select(F.col("node").alias("b"), F.col("items").alias("items_b")), "b").select("a", "b", "items_a", "items_b")
@@ -195,11 +195,7 @@ def verify(pairs: DataFrame, items: DataFrame, similarity: float) -> DataFrame:
             out = np.zeros((b.num_rows, 3), dtype=np.int64)
             for k in range(b.num_rows):
                 x, y = (np.frombuffer(b.column(c)[k].as_buffer(), dtype=np.uint64) for c in (2, 3))
-                low, high = min(len(x), len(y)), max(len(x), len(y))
-                if low < similarity * high:
-                    same = low  # lengths alone rule it out; this bounds what they share
-                else:
-                    same = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+                same = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(y) else 0  # exact: the last pass counts on it
                 out[k] = same, len(x), len(y)
             same, m, n = out.T
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(same / np.maximum(m + n - same, 1)), *map(pa.array, (same, m, n))], names=["a", "b", "similarity", "same", "size_a", "size_b"])
@@ -332,7 +328,7 @@ def verified_pairs(pairs: DataFrame, known: DataFrame | None, items: DataFrame,
     fresh = pairs.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     if known is not None:
         fresh = fresh.join(known.select("a", "b"), ["a", "b"], "left_anti")
-    return cut(verify(few(fresh, rows), items, near.similarity))
+    return cut(verify(few(fresh, rows), items))
 
 
 def keep_one(docs: DataFrame, near: Near = Near()) -> DataFrame:
