@@ -608,6 +608,10 @@ def test_anchors_and_planes():
     assert (contextmix.from_planes(contextmix.planes(tok)) == tok).all()
     a, b = contextmix.anchors_of(tok, contextmix.Mixing()), contextmix.anchors_of(tok[100:], contextmix.Mixing())
     assert {(p - 100, k) for p, k in zip(*a, strict=True) if p > 110} == {(p, k) for p, k in zip(*b, strict=True) if p > 10}
+    row, pos, key = contextmix.anchors_of_rows([tok[:200], tok[:0], tok[:3], tok[200:]], contextmix.Mixing())
+    for r, own in ((0, tok[:200]), (3, tok[200:])):
+        assert [(pos[row == r] == contextmix.anchors_of(own, contextmix.Mixing())[0]).all(), (key[row == r] == contextmix.anchors_of(own, contextmix.Mixing())[1]).all()] == [True, True]
+    assert set(row.tolist()) == {0, 3}
     mean = 500 / contextmix.Mixing().anchor
     assert mean / 3 < len(a[0]) < 3 * mean and len(contextmix.anchors_of(tok[:3], contextmix.Mixing())[0]) == 0
 
