@@ -35,6 +35,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fernquery.llm.common import RangeHash, cut, mix64, slices, table, utf8, word_spans
+from fernquery.llm.common import held as compact  # wide tables of small numbers take a fraction of a checkpoint
 
 U64 = np.uint64
 _GOLD = U64(0x9E3779B97F4A7C15)
@@ -239,14 +240,14 @@ def last_pairs(open_: DataFrame, hubs: DataFrame, known: DataFrame, items: DataF
     twin = lambda df, more: df.select("hub", *[F.col(x).alias(f"{x}_b") for x in ("node", "label", "k")], *more)
     small = nodes.filter("members <= 3")
     direct = small.join(twin(small, []), "hub").filter("label < label_b")
-    held = cut(differing(nodes.filter("members > 3"), items))
+    held = compact(differing(nodes.filter("members > 3"), items))
     common = held.groupBy("hub", "item").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("hub", "item", "n")
     own = W.partitionBy("hub", "node")
     held = held.join(common, ["hub", "item"]).withColumn("left", F.count("*").over(own)).withColumn("place", F.row_number().over(own.orderBy("n", "item")))
     held = held.select("hub", "node", "item", (F.col("left") - F.col("place") + 1).alias("rest")).join(nodes.select("hub", "node", "label", "k", "least_k"), ["hub", "node"])
     # a pair is found by its node of lesser k in `index`, by the other in `probe`: they share at least k, and at least half of k and the least k
     at_least = lambda x: F.greatest(F.ceil(x - 1e-9), F.lit(1))
-    held = cut(held.filter(F.col("rest") >= at_least((F.col("k") + F.col("least_k")) / 2)))
+    held = compact(held.filter(F.col("rest") >= at_least((F.col("k") + F.col("least_k")) / 2)))
     index, probe = held.filter(F.col("rest") >= at_least(F.col("k"))), twin(held, [F.col("item"), F.col("rest").alias("rest_b")])
     # all that a pair shares stands at or behind its first common item in both, so this bound holds there
     close = index.join(probe, ["hub", "item"]).filter((F.col("label") != F.col("label_b")) & (F.col("k") <= F.col("k_b")) & (F.least("rest", "rest_b") >= (F.col("k") + F.col("k_b")) / 2 - 1e-9))
@@ -287,7 +288,7 @@ def classes(docs: DataFrame, near: Near = Near()) -> DataFrame:
     texts = cut(texts.withColumn("node", F.monotonically_increasing_id()))
     member = texts.select("node", F.explode("bands").alias("bucket"))
     shared = member.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1")
-    buckets = cut(member.join(shared, "bucket").select("bucket", "node", "leader"))
+    buckets = compact(member.join(shared, "bucket").select("bucket", "node", "leader"))
     n = buckets.count()
     buckets = few(buckets, n)
     wanted = texts.join(buckets.select("node").distinct(), "node", "left_semi").select("text_key", "node")
@@ -304,7 +305,7 @@ def classes(docs: DataFrame, near: Near = Near()) -> DataFrame:
         labelled = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         labelled = few(labelled, n)
         mixed = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("bucket")
-        open_ = few(cut(labelled.join(mixed, "bucket", "left_semi")), n)
+        open_ = few(compact(labelled.join(mixed, "bucket", "left_semi")), n)
         if open_.isEmpty():
             break
         if step == 0:
