@@ -9,8 +9,8 @@ only as far as the document's total weight makes a further minimum unlikely; doc
 open are continued.
 
 Candidates. Texts that are equal are one node. Nodes that share a band are one bucket; a bucket compares its members with
-one leader at a time, never all with all: first the least node, then the member most similar to that leader (the
-likely origin of edited copies), then a pseudo-random one. Leaders are only compared with members that no verified
+one leader at a time, never all with all: first the least node, then the member that meets the most nodes over all its open buckets (the
+likely origin of edited copies, so that the buckets of a group have one hub and not one each), then a pseudo-random one. Leaders are only compared with members that no verified
 link has joined to them yet. A last pass takes every pair of a bucket that is still in different classes and that their
 differences from a common leader don't rule out (prefix filtering on those), so no link between candidates is lost. Each candidate pair is verified on the whole multisets.
 
@@ -205,19 +205,20 @@ def verify(pairs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def differing(nodes: DataFrame, items: DataFrame) -> DataFrame:
-    """hub, node, label, item: the items that exactly one of each node and its hub holds."""
-    left = nodes.select("hub", "node", "label").join(items.select("node", F.col("items").alias("own")), "node")
-    both = left.join(items.select(F.col("node").alias("hub"), F.col("items").alias("others")), "hub").select("hub", "node", "label", "own", "others")
+    """hub, node, label, k, least_k, item: the items that exactly one of each node and its hub holds."""
+    names = ["hub", "node", "label", "k", "least_k"]
+    left = nodes.select(*names).join(items.select("node", F.col("items").alias("own")), "node")
+    both = left.join(items.select(F.col("node").alias("hub"), F.col("items").alias("others")), "hub").select(*names, "own", "others")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
-                held = [np.setxor1d(*(np.frombuffer(part.column(c)[k].as_buffer(), dtype=np.uint64) for c in (3, 4)), assume_unique=True) for k in range(part.num_rows)]
+                held = [np.setxor1d(*(np.frombuffer(part.column(c)[k].as_buffer(), dtype=np.uint64) for c in (5, 6)), assume_unique=True) for k in range(part.num_rows)]
                 take = pa.array(np.repeat(np.arange(part.num_rows), [len(x) for x in held]))
-                yield pa.RecordBatch.from_arrays([*(part.column(c).take(take) for c in range(3)), pa.array(np.concatenate(held).view(np.int64))], names=["hub", "node", "label", "item"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(take) for c in range(5)), pa.array(np.concatenate(held).view(np.int64))], names=[*names, "item"])
 
-    return both.mapInArrow(run, "hub long, node long, label long, item long")
+    return both.mapInArrow(run, "hub long, node long, label long, k double, least_k double, item long")
 
 
 def last_pairs(open_: DataFrame, hubs: DataFrame, known: DataFrame, items: DataFrame, near: Near, rows: int) -> DataFrame:
@@ -244,7 +245,7 @@ def last_pairs(open_: DataFrame, hubs: DataFrame, known: DataFrame, items: DataF
     common = held.groupBy("hub", "item").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("hub", "item", "n")
     own = W.partitionBy("hub", "node")
     held = held.join(common, ["hub", "item"]).withColumn("left", F.count("*").over(own)).withColumn("place", F.row_number().over(own.orderBy("n", "item")))
-    held = held.select("hub", "node", "item", (F.col("left") - F.col("place") + 1).alias("rest")).join(nodes.select("hub", "node", "label", "k", "least_k"), ["hub", "node"])
+    held = held.select("hub", "node", "label", "k", "least_k", "item", (F.col("left") - F.col("place") + 1).alias("rest"))
     # a pair is found by its node of lesser k in `index`, by the other in `probe`: they share at least k, and at least half of k and the least k
     at_least = lambda x: F.greatest(F.ceil(x - 1e-9), F.lit(1))
     held = compact(held.filter(F.col("rest") >= at_least((F.col("k") + F.col("least_k")) / 2)))
@@ -309,8 +310,8 @@ def classes(docs: DataFrame, near: Near = Near()) -> DataFrame:
         if open_.isEmpty():
             break
         if step == 0:
-            seen = open_.filter("node <> leader").join(known.select(F.col("a").alias("node"), F.col("b").alias("leader"), "similarity"), ["node", "leader"])
-            hubs = few(cut(seen.groupBy("bucket").agg(F.max_by(F.struct("node", "label"), F.struct("similarity", "node")).alias("to"))), n)
+            met = open_.join(open_.groupBy("bucket").agg(F.count("*").alias("meets")), "bucket").groupBy("node").agg(F.sum("meets").alias("meets"))
+            hubs = few(cut(open_.join(few(met, n), "node").groupBy("bucket").agg(F.max_by(F.struct("node", "label"), F.struct("meets", -F.col("node"))).alias("to"))), n)
             pairs = open_.join(hubs, "bucket").select(F.col("node").alias("a"), F.col("to.node").alias("b"))
         elif step == 1:
             lead = open_.groupBy("bucket").agg(F.min_by(F.struct("node", "label"), F.xxhash64("node", "bucket")).alias("to"))

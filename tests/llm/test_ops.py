@@ -230,6 +230,29 @@ def test_near_copies_of_near_copies(spark):
     assert 10 < len(least) < len(made) - 10
 
 
+def test_last_pairs_join_items_once(spark, monkeypatch):
+    """The pairs that differ from their hub alike are found, and rows of items meet no other table than that of common items."""
+    hub = set(range(100))
+    nodes = {0: hub, 1: hub - set(range(12)) | set(range(1000, 1012)), 2: hub - set(range(12)) | set(range(1000, 1011))}
+    nodes |= {k: hub - set(range(12 * k, 12 * k + 12)) | set(range(1000 * k, 1000 * k + 12)) for k in (3, 4, 5)}
+    held = [(k, np.array(sorted(x), dtype=np.uint64).tobytes()) for k, x in nodes.items()]
+    items = spark.createDataFrame(held, "node long, items binary")
+    open_ = spark.createDataFrame([(7, k, 0, k) for k in nodes], "bucket long, node long, leader long, label long")
+    hubs = open_.filter("node = 0").select("bucket", F.struct("node", "label").alias("to"))
+    known = spark.createDataFrame([(k, 0, len(x & hub), len(x), 100) for k, x in nodes.items() if k], "a long, b long, same long, size_a long, size_b long")
+    plans, compact = {}, nearcopies.compact
+
+    def planned(df):
+        plans["rest" in df.columns] = df._jdf.queryExecution().optimizedPlan().toString()
+        return compact(df)
+
+    monkeypatch.setattr(nearcopies, "compact", planned)
+    got = {frozenset((r["a"], r["b"])) for r in nearcopies.last_pairs(open_, hubs, known, items, nearcopies.Near(), 6).collect()}
+    want = {frozenset(x) for x in itertools.combinations(range(1, 6), 2) if len(nodes[x[0]] & nodes[x[1]]) >= 0.8 * len(nodes[x[0]] | nodes[x[1]])}
+    assert want == {frozenset((1, 2))} <= got
+    assert plans[True].count("Join ") == 1
+
+
 def test_one_of_each_class(spark):
     """One row stays of each class, also where ids are null or repeated."""
     rng = random.Random(22)
