@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fernquery.llm.common import DIGITS, RangeHash, cut, mix64, runs_of, slices, table, utf8, word_spans
+from fernquery.llm.common import DIGITS, RangeHash, cut, mix64, runs_of, slices, table, trimming, utf8, word_spans
 
 U64 = np.uint64
 LATE = (1 << 63) - 1
@@ -132,7 +132,7 @@ def slim_chunks(docs: DataFrame, rule: Lines) -> DataFrame:
                 take = pa.array(row + lo)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(line.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(pair), pa.array(digest)], names=["at_id", "key", "line", "n", "pair", "digest"])
 
-    return _keyed(docs.select("doc_id", "text")).select("at_id", "key", "row.text").mapInArrow(run, "at_id long, key long, line int, n int, pair boolean, digest long")
+    return _keyed(docs.select("doc_id", "text")).select("at_id", "key", "row.text").mapInArrow(trimming(run), "at_id long, key long, line int, n int, pair boolean, digest long")
 
 
 def ranges_of(spans: list[dict]) -> list[tuple[int, int, int, int, int]]:
@@ -163,7 +163,7 @@ def sought(spans: DataFrame) -> DataFrame:
             columns = list(zip(*made, strict=True)) if made else [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int32() if x in ("line", "n", "f_line") else pa.int64()) for c, x in zip(columns, names, strict=True)], names=names)
 
-    return spans.select("at_id", "key", "spans").mapInArrow(run, "at_id long, key long, line int, n int, f_id long, f_key long, f_line int")
+    return spans.select("at_id", "key", "spans").mapInArrow(trimming(run), "at_id long, key long, line int, n int, f_id long, f_key long, f_line int")
 
 
 def fetch(wanted: DataFrame, docs: DataFrame) -> DataFrame:
@@ -188,7 +188,7 @@ def fetch(wanted: DataFrame, docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, type=pa.int64()), pa.array(keys, type=pa.int64()), pa.array(line, type=pa.int32()), pa.array(n, type=pa.int32()), pa.array(got, type=pa.binary())], names=["f_id", "f_key", "f_line", "n", "bytes"])
 
     joined = _keyed(docs).join(wanted, ["at_id", "key"]).select("at_id", "key", "row", "ranges")
-    return joined.mapInArrow(run, "f_id long, f_key long, f_line int, n int, bytes binary").dropDuplicates(["f_id", "f_key", "f_line", "n"])
+    return joined.mapInArrow(trimming(run), "f_id long, f_key long, f_line int, n int, bytes binary").dropDuplicates(["f_id", "f_key", "f_line", "n"])
 
 
 def repeated(docs: DataFrame, rule: Lines = Lines()) -> DataFrame:
@@ -263,7 +263,7 @@ def dedup(docs: DataFrame, rule: Lines = Lines(), counts: bool = False) -> DataF
             out = [texts if j == at else b.column(j) for j in range(k)]
             yield pa.RecordBatch.from_arrays([*out, pa.array(n_lines.astype(np.int64)), pa.array(n_gone)], names=[f.name for f in schema.fields])
 
-    done = flat.mapInArrow(run, schema)
+    done = flat.mapInArrow(trimming(run), schema)
     plain = _keyed(docs, keep=False).select(*[F.col("row").getField(c).alias(f"c{k}") for k, c in enumerate(columns)])
     one = (F.length(F.coalesce(F.col(f"c{at}"), F.lit(""))) > 0).cast("long")
     done = done.unionByName(plain.withColumn("n_lines", one).withColumn("n_removed", F.lit(0).cast("long")))

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fernquery.llm.common import RangeHash, cut, mix64, slices, table, utf8, word_spans
+from fernquery.llm.common import RangeHash, cut, mix64, slices, table, trimming, utf8, word_spans
 from fernquery.llm.common import held as compact  # wide tables of small numbers take a fraction of a checkpoint
 
 U64 = np.uint64
@@ -141,31 +141,33 @@ def _text_key():
     return F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
 
 
+def bands_of(data: np.ndarray, at: np.ndarray, near: Near) -> tuple[np.ndarray, np.ndarray]:
+    """(bands of each row, whether it has shingles). A row has about a thousand points however short it is, so rows are bounded and not just bytes."""
+    found, size = [(np.zeros((0, near.bands), np.int64), np.zeros(0, bool))], near.bands * near.rows
+    for lo, hi in slices(len(at) - 1, at, 1 << 21, 1 << 10):
+        keys, per = shingles(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], near.words)
+        order, number = numbered(keys, per)
+        of = np.repeat(np.arange(hi - lo), per)
+        lastone = np.ones(len(number), dtype=bool)
+        lastone[:-1] = number[1:] == 0
+        pick = order[lastone]
+        sig = bag_signatures(keys[pick], number[lastone] + 1, of[pick], hi - lo, size)
+        found.append((band_keys(sig, near), per > 0))
+    return np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
+
+
 def banded(docs: DataFrame, near: Near) -> DataFrame:
     """doc_id, text_key and the bands of every document, in one pass without a shuffle."""
-    size = near.bands * near.rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, at = utf8(b.column(2))
-            found = []
-            for lo, hi in slices(b.num_rows, at, 1 << 21):
-                keys, per = shingles(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], near.words)
-                order, number = numbered(keys, per)
-                of = np.repeat(np.arange(hi - lo), per)
-                lastone = np.ones(len(number), dtype=bool)
-                lastone[:-1] = number[1:] == 0
-                pick = order[lastone]
-                sig = bag_signatures(keys[pick], number[lastone] + 1, of[pick], hi - lo, size)
-                found.append((band_keys(sig, near), per > 0))
-            bands = np.concatenate([x[0] for x in found]) if found else np.zeros((0, near.bands), np.int64)
-            has = np.concatenate([x[1] for x in found]) if found else np.zeros(0, bool)
+            bands, has = bands_of(*utf8(b.column(2)), near)
             ends = np.concatenate([[0], np.cumsum(has * near.bands)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(bands[has].reshape(-1)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists], names=["doc_id", "text_key", "bands"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_key().alias("text_key"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, text_key binary, bands array<long>")
+    return slim.mapInArrow(trimming(run), "doc_id long, text_key binary, bands array<long>")
 
 
 def multisets(docs: DataFrame, near: Near) -> DataFrame:
@@ -183,7 +185,7 @@ def multisets(docs: DataFrame, near: Near) -> DataFrame:
                 out += [np.sort(items[cuts[k] : cuts[k + 1]]).tobytes() for k in range(hi - lo)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, type=pa.binary())], names=["node", "items"])
 
-    return docs.select("node", "text").mapInArrow(run, "node long, items binary")
+    return docs.select("node", "text").mapInArrow(trimming(run), "node long, items binary")
 
 
 def verify(pairs: DataFrame, items: DataFrame) -> DataFrame:
@@ -201,7 +203,7 @@ def verify(pairs: DataFrame, items: DataFrame) -> DataFrame:
             same, m, n = out.T
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(same / np.maximum(m + n - same, 1)), *map(pa.array, (same, m, n))], names=["a", "b", "similarity", "same", "size_a", "size_b"])
 
-    return both.mapInArrow(run, "a long, b long, similarity double, same long, size_a long, size_b long")
+    return both.mapInArrow(trimming(run), "a long, b long, similarity double, same long, size_a long, size_b long")
 
 
 def differing(nodes: DataFrame, items: DataFrame) -> DataFrame:
@@ -218,7 +220,7 @@ def differing(nodes: DataFrame, items: DataFrame) -> DataFrame:
                 take = pa.array(np.repeat(np.arange(part.num_rows), [len(x) for x in held]))
                 yield pa.RecordBatch.from_arrays([*(part.column(c).take(take) for c in range(5)), pa.array(np.concatenate(held).view(np.int64))], names=[*names, "item"])
 
-    return both.mapInArrow(run, "hub long, node long, label long, k double, least_k double, item long")
+    return both.mapInArrow(trimming(run), "hub long, node long, label long, k double, least_k double, item long")
 
 
 def last_pairs(open_: DataFrame, hubs: DataFrame, known: DataFrame, items: DataFrame, near: Near, rows: int) -> DataFrame:

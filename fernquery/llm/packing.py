@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernquery.llm.common import table
+from fernquery.llm.common import table, trimming
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long, ids binary, row_id long"
 
@@ -253,7 +253,7 @@ def pack(docs: DataFrame, limits: Limits = Limits(), path: str | None = None, cl
         rows += packer.drain(0)
         yield from out(rows)
 
-    return slim.mapInArrow(run, SCHEMA)
+    return slim.mapInArrow(trimming(run), SCHEMA)
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

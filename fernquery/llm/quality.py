@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernquery.llm.common import SPACE, RangeHash, crc_of_id, slices, table, utf8, word_spans
+from fernquery.llm.common import SPACE, RangeHash, crc_of_id, slices, table, trimming, utf8, word_spans
 
 SAMPLE = 8_000
 BLOCK = 64  # words whose worst share counts, so that junk after a clean start shows
@@ -196,7 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network | N
             x = all_features(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(x), type=pa.list_(pa.float32()))], names=["kind", "x"])
 
-    got = rows.mapInArrow(run, "kind int, x array<float>").toPandas()
+    got = rows.mapInArrow(trimming(run), "kind int, x array<float>").toPandas()
     if not len(got):
         return None
     x, kind = np.array(got["x"].to_list(), dtype=np.float64), got["kind"].to_numpy()
@@ -226,7 +226,7 @@ def score(docs: DataFrame, net: Network | None, keep: list[str]) -> DataFrame:
             s = net.scores(all_features(b.column(at))) if net is not None else np.full(b.num_rows, 0.5)
             yield pa.RecordBatch.from_arrays([*[b.column(taken.index(c)).cast(k) for c, k in zip(keep, kinds, strict=True)], pa.array(s, type=pa.float64())], names=[*names, "score"])
 
-    done = slim.mapInArrow(run, StructType([*schema, StructField("score", DoubleType())]))
+    done = slim.mapInArrow(trimming(run), StructType([*schema, StructField("score", DoubleType())]))
     return done.toDF(*keep, "score")
 
 

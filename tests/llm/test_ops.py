@@ -230,6 +230,23 @@ def test_near_copies_of_near_copies(spark):
     assert 10 < len(least) < len(made) - 10
 
 
+def test_signatures_of_many_short_rows_are_bounded():
+    """Ten thousand short rows take no more memory than the bytes of a slice would, and have the bands of the rows one by one."""
+    import tracemalloc
+
+    rng = random.Random(4)
+    texts = [text(rng, 7) for _ in range(10_000)]
+    cut_ = lambda some: (np.frombuffer("".join(some).encode(), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in some])]))
+    tracemalloc.start()
+    bands, has = nearcopies.bands_of(*cut_(texts), nearcopies.Near())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 << 20
+    assert has.all() and bands.shape == (10_000, 25)
+    for k in (0, 1023, 1024, 9_999):
+        assert (nearcopies.bands_of(*cut_(texts[k : k + 1]), nearcopies.Near())[0][0] == bands[k]).all()
+
+
 def test_last_pairs_join_items_once(spark, monkeypatch):
     """The pairs that differ from their hub alike are found, and rows of items meet no other table than that of common items."""
     hub = set(range(100))
