@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 
 from fernquery.llm.common import table, trimming
 
+#: Pieces that are given out together; one holds up to 8 kB of ids.
+GIVEN = 256
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long, ids binary, row_id long"
 
 
@@ -232,8 +234,8 @@ def pack(docs: DataFrame, limits: Limits = Limits(), path: str | None = None, cl
         kinds = [pa.int64()] * 8 + [pa.binary(), pa.int64()]
 
         def out(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-            for low in range(0, len(rows), 2000):
-                columns = list(zip(*rows[low : low + 2000], strict=True))
+            for low in range(0, len(rows), GIVEN):
+                columns = list(zip(*rows[low : low + GIVEN], strict=True))
                 if not with_ids:
                     columns[8] = [None] * len(columns[0])
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)], names=names)
@@ -247,7 +249,7 @@ def pack(docs: DataFrame, limits: Limits = Limits(), path: str | None = None, cl
                 n = len(tokens) // 4
                 rows += packer.add((ids[k], row_id), tokens, None if loss is None else min(n, max(0, loss[k] if loss[k] is not None else n)))
                 row_id += 1
-                if len(rows) >= 2000:
+                if len(rows) >= GIVEN:
                     yield from out(rows)
                     rows = []
         rows += packer.drain(0)

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from fernquery.llm.common import SPACE, RangeHash, crc_of_id, slices, table, trimming, utf8, word_spans
 
 SAMPLE = 8_000
+SLICE = 1 << 19  # bytes of text that are looked at together: arrays of features take up to 80 times as much
 BLOCK = 64  # words whose worst share counts, so that junk after a clean start shows
 _KINDS = np.zeros(256, dtype=np.uint8)  # 0 other, 1 lower, 2 upper, 3 digit, 4 ASCII punctuation, 5 space, 6 beyond ASCII
 _KINDS[97:123], _KINDS[65:91], _KINDS[48:58], _KINDS[128:] = 1, 2, 3, 6
@@ -113,7 +114,7 @@ def features(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def all_features(texts: pa.Array) -> np.ndarray:
     data, at = utf8(texts)
-    parts = [features(data[at[a] : at[b]], at[a : b + 1] - at[a]) for a, b in slices(len(at) - 1, at, 1 << 21)]
+    parts = [features(data[at[a] : at[b]], at[a : b + 1] - at[a]) for a, b in slices(len(at) - 1, at, SLICE)]
     return np.concatenate(parts) if parts else features(data, at)
 
 

@@ -509,6 +509,25 @@ def test_transcripts_by_brute_force(spark):
     assert len(got[None]) == 4
 
 
+def test_features_take_bounded_memory():
+    """Four MB of short texts are looked at in slices, with the features of the texts one by one."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    texts = pa.array([text(rng, 20) for _ in range(32_000)] + [None, "", text(rng, 9000)])
+    quality.all_features(texts[:10])
+    tracemalloc.start()
+    got = quality.all_features(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert texts.nbytes > 4_000_000 and peak < 64 << 20
+    assert got.shape[0] == len(texts)
+    for k in (0, 7, 12_345, 31_999, 32_000, 32_001, 32_002):
+        assert (quality.all_features(texts[k : k + 1])[0] == got[k]).all()
+
+
 def test_quality(spark, none):
     rng = random.Random(8)
     rows, labels = [], []
