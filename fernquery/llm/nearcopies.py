@@ -144,7 +144,7 @@ def _text_key():
 def bands_of(data: np.ndarray, at: np.ndarray, near: Near) -> tuple[np.ndarray, np.ndarray]:
     """(bands of each row, whether it has shingles). A row has about a thousand points however short it is, so rows are bounded and not just bytes."""
     found, size = [(np.zeros((0, near.bands), np.int64), np.zeros(0, bool))], near.bands * near.rows
-    for lo, hi in slices(len(at) - 1, at, 1 << 21, 1 << 10):
+    for lo, hi in slices(len(at) - 1, at, 1 << 20, 1 << 9):
         keys, per = shingles(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], near.words)
         order, number = numbered(keys, per)
         of = np.repeat(np.arange(hi - lo), per)
@@ -177,7 +177,7 @@ def multisets(docs: DataFrame, near: Near) -> DataFrame:
         for b in batches:
             data, at = utf8(b.column(1))
             out = []
-            for lo, hi in slices(b.num_rows, at, 1 << 21):
+            for lo, hi in slices(b.num_rows, at, 1 << 20):
                 keys, per = shingles(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], near.words)
                 order, number = numbered(keys, per)
                 items = mix64(keys[order] + mix64(number.astype(np.uint64)))

@@ -247,6 +247,28 @@ def test_signatures_of_many_short_rows_are_bounded():
         assert (nearcopies.bands_of(*cut_(texts[k : k + 1]), nearcopies.Near())[0][0] == bands[k]).all()
 
 
+def test_signatures_of_long_rows_take_bounded_memory(monkeypatch):
+    """Four MB of long rows are worked on in slices of one MB, and have the bands of the rows one by one."""
+    import tracemalloc
+
+    from fernquery.llm.common import RangeHash
+
+    monkeypatch.setattr(RangeHash, "_up", RangeHash._up[:1])  # as in a new worker
+    monkeypatch.setattr(RangeHash, "_down", RangeHash._down[:1])
+    rng = random.Random(6)
+    texts = [text(rng, 10_000) for _ in range(60)]
+    cut_ = lambda some: (np.frombuffer("".join(some).encode(), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in some])]))
+    data, at = cut_(texts)
+    tracemalloc.start()
+    bands, has = nearcopies.bands_of(data, at, nearcopies.Near())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(data) > 4_000_000 and peak < 80 << 20
+    assert has.all() and bands.shape == (60, 25)
+    for k in (0, 12, 13, 59):
+        assert (nearcopies.bands_of(*cut_(texts[k : k + 1]), nearcopies.Near())[0][0] == bands[k]).all()
+
+
 def test_last_pairs_join_items_once(spark, monkeypatch):
     """The pairs that differ from their hub alike are found, and rows of items meet no other table than that of common items."""
     hub = set(range(100))
