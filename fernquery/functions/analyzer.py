@@ -64,8 +64,8 @@ def singular(w: Column) -> Column:
     less = lambda k: F.substring(w, F.lit(1), n - k)
     rules = (
         F.when(w.endswith("ies") & (n > 4), F.concat(less(3), F.lit("y")))
-        .when(w.rlike("(?:sses|..(?:ches|shes)|..(?:xes|zes|ses))$"), less(2))
-        .when(w.rlike("[^suio]s$"), less(1))
+        .when(w.rlike("(?:sses|(?s:.)(?:ches|shes)|(?s:..)(?:xes|zes|ses))\\z"), less(2))
+        .when(w.rlike("[^suio]s\\z"), less(1))
         .otherwise(w)
     )
     return F.when((n <= 3) | ~w.endswith("s"), w).otherwise(F.coalesce(known, rules))

@@ -196,3 +196,11 @@ def test_scalars(spark):
     assert row["s"] == 181
     assert row["d"] == filters.date_ms("2026-03-02")
     assert dense.pool_caps(20_000) == {"binary": 400, "bm25": 200, "recency": 50}
+
+
+def test_plural_rules_of_columns_and_python_agree(spark):
+    """Words of five letters in -ches or -shes lost only their s as a column."""
+    words = ["ashes", "aches", "inches", "bushes", "shes", "axes", "boxes", "gazes", "ises", "gases", "sses", "losses", "dies", "parties", "movies", "lenses", "gas", "bus", "this", "chaos"]
+    got = spark.createDataFrame([(w,) for w in words], "w string").select("w", A.singular(F.col("w")).alias("s")).collect()
+    assert {r["w"]: r["s"] for r in got} == {w: A.singular_text(w) for w in words}
+    assert dict(map(tuple, got))["ashes"] == "ash"
