@@ -46,14 +46,20 @@ def _accents() -> tuple[str, str]:
     return "".join(c for c, _ in pairs), "".join(d for _, d in pairs)
 
 
+def _bare(text: Column) -> Column:
+    """Text without possessive endings."""
+    return F.when(F.contains(text, F.lit("'")) | F.contains(text, F.lit("’")), F.regexp_replace(text, POSSESSIVE, "")).otherwise(text)
+
+
 def tokens(text: Column) -> Column:
     """Canonical tokens in text order, case kept (scripts without spaces are left whole)."""
-    return F.filter(F.split(F.regexp_replace(text, POSSESSIVE, ""), SPLIT), lambda t: t != "")
+    return F.filter(F.split(_bare(text), SPLIT), lambda t: t != "")
 
 
 def fold(token: Column) -> Column:
-    """Lower case without combining marks, for Latin letters."""
-    return F.regexp_replace(F.translate(F.lower(token), *_accents()), "\\p{M}+", "")
+    """Lower case without combining marks, for Latin letters. ASCII has none."""
+    low = F.lower(token)
+    return F.when(F.octet_length(token) == F.length(token), low).otherwise(F.regexp_replace(F.translate(low, *_accents()), "\\p{M}+", ""))
 
 
 def singular(w: Column) -> Column:

@@ -27,21 +27,41 @@ class Bm25:
     coverage_power: float = 2.0
 
 
-def field_terms(chunks: DataFrame, fields: list[str]) -> DataFrame:
-    """chunk_id, field, term: a row for each indexed occurrence; one pass over the chunks."""
+def _field_texts(chunks: DataFrame, fields: list[str]) -> DataFrame:
+    """chunk_id, field, text: a row for each field of a chunk."""
     kinds = dict(chunks.dtypes)
     held = {f: F.array_join(F.col(f), " ") if kinds[f].startswith("array") else F.col(f).cast("string") for f in fields}
     texts = F.array(*[F.struct(F.lit(f).alias("field"), F.coalesce(c, F.lit("")).alias("text")) for f, c in held.items()])
-    rows = chunks.select("chunk_id", F.explode(texts).alias("t")).select("chunk_id", "t.field", F.explode(analyzer.tokens(F.col("t.text"))).alias("token"))
-    # folded in a step of its own: the plural rules use it many times
-    folded = rows.select("chunk_id", "field", analyzer.fold(F.col("token")).alias("folded"))
-    kept = folded.filter(F.col("field").isin(*NAME_FIELDS) | ~F.col("folded").isin(analyzer.STOPWORDS))
-    return kept.select("chunk_id", "field", analyzer.singular(F.col("folded")).alias("term")).filter("term <> ''")
+    return chunks.select("chunk_id", F.explode(texts).alias("t")).select("chunk_id", "t.field", "t.text")
+
+
+def _terms(field: Column, text: Column) -> Column:
+    """The indexed terms of a field's text, as an array. Steps on the array keep the optimizer from moving a filter below the folding, which would then fold
+    each token again for every place where the plural rules name it."""
+    kept = F.filter(F.transform(analyzer.tokens(text), analyzer.fold), lambda t: (t != "") & (field.isin(*NAME_FIELDS) | ~t.isin(analyzer.STOPWORDS)))
+    return F.transform(kept, analyzer.singular)
+
+
+def field_terms(chunks: DataFrame, fields: list[str]) -> DataFrame:
+    """chunk_id, field, term: a row for each indexed occurrence; one pass over the chunks."""
+    # an outer explosion: an inner one would be given a filter on the array's size, which makes the array twice
+    return _field_texts(chunks, fields).select("chunk_id", "field", F.explode_outer(_terms(F.col("field"), F.col("text"))).alias("term")).filter("term IS NOT NULL")
+
+
+def counted(chunks: DataFrame, fields: list[str]) -> DataFrame:
+    """chunk_id, field, len, term, tf. The texts of a chunk's field are brought together, so all its terms are counted as runs of one sorted array."""
+    texts = _field_texts(chunks, fields).groupBy("chunk_id", "field").agg(F.array_join(F.collect_list("text"), "\n").alias("text"))
+    runs = texts.select("chunk_id", "field", F.sort_array(_terms(F.col("field"), F.col("text"))).alias("s"))
+    first = F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda k: (k == 0) | (F.get("s", k) != F.get("s", k - 1)))
+    runs = runs.select("chunk_id", "field", "s", F.when(F.size("s") > 0, first).alias("first"))  # a filter here would go below and make the array twice
+    held = F.transform("first", lambda at, k: F.struct(F.get("s", at).alias("term"), (F.coalesce(F.get("first", k + 1), F.size("s")) - at).cast("long").alias("tf")))
+    rows = runs.select("chunk_id", "field", F.size("s").cast("long").alias("len"), F.explode_outer(held).alias("t"))
+    return rows.filter("t IS NOT NULL").select("chunk_id", "field", "len", "t.term", "t.tf")
 
 
 def postings(chunks: DataFrame, fields: list[str]) -> DataFrame:
     """chunk_id, field, term, tf."""
-    return field_terms(chunks, fields).groupBy("term", "field", "chunk_id").agg(F.count("*").alias("tf"))
+    return counted(chunks, fields).select("term", "field", "chunk_id", "tf")
 
 
 def lengths(posts: DataFrame) -> DataFrame:
@@ -66,6 +86,10 @@ def saturation(tf: Column, length: Column, average: Column, p: Bm25) -> Column:
     return p.d + tf * (p.k1 + 1) / (tf + p.k1 * (1 - p.b + p.b * length / average))
 
 
+def _bucketed(rows: DataFrame, buckets: int) -> DataFrame:
+    return rows.select("term", "field", "chunk_id", "tf", "len", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket"))
+
+
 @dataclass
 class Index:
     """The tables of one corpus version. Statistics are those of the whole corpus, whatever a query filters."""
@@ -78,20 +102,28 @@ class Index:
 
     @staticmethod
     def build(chunks: DataFrame, fields: list[str], buckets: int = 16) -> Index:
-        posts = postings(chunks, fields)
-        n = chunks.count()
-        lens = lengths(posts)
-        bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket")
-        return Index(posts.join(lens, ["chunk_id", "field"]).select("term", "field", "chunk_id", "tf", "len", bucket), frequencies(posts).select("term", "field", "df", bucket), field_averages(lens, n), n, buckets)
+        return Index._over(_bucketed(counted(chunks, fields), buckets), chunks.count(), buckets)
+
+    @staticmethod
+    def _over(posts: DataFrame, total: int, buckets: int) -> Index:
+        """The index of postings that are there already."""
+        return Index(posts, posts.groupBy("term", "field", "bucket").agg(F.count("*").alias("df")).select("term", "field", "df", "bucket"), field_averages(posts.select("field", F.col("tf").alias("len")), total), total, buckets)
 
     @staticmethod
     def stored(spark, name: str, chunks: DataFrame, fields: list[str], buckets: int = 16) -> Index:
-        """The index of `name`, which the first call of an application builds and writes: postings and terms lie by bucket of the term, in its order."""
+        """The index of `name`, which the first call of an application builds and writes: postings and terms lie by bucket of the term, in its order.
+        Terms and averages are counted from the postings as written, so texts are read once."""
+        # a bucket's postings are sorted in several tasks
+        laid = lambda df, *more: df.repartition("bucket", *more).sortWithinPartitions("bucket", "term")
+        over = lambda held, total=0: Index._over(held["posts"], total, buckets)
+
+        def averages(held: dict[str, DataFrame]) -> DataFrame:
+            i = over(held, chunks.count())
+            return i.averages.withColumn("total", F.lit(i.total))
 
         def make() -> dict[str, DataFrame]:
-            i = Index.build(chunks, fields, buckets)
-            laid = lambda df: df.repartition("bucket").sortWithinPartitions("bucket", "term")
-            return {"posts": laid(i.posts), "terms": laid(i.terms), "averages": i.averages.withColumn("total", F.lit(i.total))}
+            posts = _bucketed(counted(chunks, fields), buckets)
+            return {"posts": laid(posts, F.pmod(F.xxhash64("chunk_id"), F.lit(8))), "terms": lambda held: laid(over(held).terms), "averages": averages}
 
         held = store.once(spark, name, make, {"posts": ["bucket"], "terms": ["bucket"]})
         first = held["averages"].select("total").first()

@@ -29,7 +29,7 @@ def note_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("chunk_id"),
         "doc_id",
         F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".md"))).alias("note_path"),
-        F.array_join(F.slice(F.split("text", "[ \\n]+"), 1, 4), " ").alias("title"),
+        F.array_join(F.slice(F.split("text", "[ \\n]+", 5), 1, 4), " ").alias("title"),
         F.array("lang", F.concat(F.lit("src/"), F.col("source"))).alias("tags"),
         props.alias("properties"),
         F.col("text").alias("content"),

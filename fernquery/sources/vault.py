@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -74,12 +75,15 @@ def read_records(shards: DataFrame, index: DataFrame, dim: int) -> DataFrame:
     return shards.join(wanted, "shard").select("content", "rows").mapInPandas(decode, "id string, q array<int>, s double, sign binary")
 
 
-def write_version(tables: dict[str, DataFrame], root: str, version: int, stamp: dict[str, str], partitions: dict[str, list[str]] | None = None) -> str:
-    """All tables of one index version, then its stamp: readers only see stamped versions. `partitions`: columns that a table's folders are named by."""
+def write_version(tables: dict[str, DataFrame | Callable[[dict[str, DataFrame]], DataFrame]], root: str, version: int, stamp: dict[str, str], partitions: dict[str, list[str]] | None = None) -> str:
+    """All tables of one index version, then its stamp: readers only see stamped versions. `partitions`: columns that a table's folders are named by.
+    A table may be given as a function of those before it, as they were written, and is put in its place."""
     spark = next(iter(tables.values())).sparkSession
-    base = f"{root}/v{version:06d}"
-    for name, df in tables.items():
+    base, held = f"{root}/v{version:06d}", {}
+    for name, made in tables.items():
+        df = tables[name] = made(held) if callable(made) else made
         df.write.mode("overwrite").partitionBy(*(partitions or {}).get(name, [])).parquet(f"{base}/{name}")
+        held[name] = spark.read.schema(df.schema).parquet(f"{base}/{name}")
     spark.createDataFrame([(version, base, {k: str(v) for k, v in stamp.items()})], "version long, base string, stamp map<string,string>").coalesce(1).write.mode("append").json(f"{root}/stamps")
     return base
 

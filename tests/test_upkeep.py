@@ -104,3 +104,21 @@ def test_markup_reads_what_it_writes():
         markup.plain_snippet(t)
         markup.tags_in(t)
     assert markup.Prose().read("plain words, nothing else.") == "plain words, nothing else."
+
+
+def test_index_folds_once_and_reads_texts_once(spark):
+    chunks = spark.createDataFrame([(1, "Été's Ashes ashes"), (2, "the boxes"), (2, "boxes"), (3, "")], "chunk_id long, content string")
+    for rows in (lexical.field_terms(chunks, ["content"]), lexical.postings(chunks, ["content"])):
+        assert rows._jdf.queryExecution().optimizedPlan().toString().count("translate(") == 1  # each token was folded dozens of times
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(t):
+        seen.add(1)
+        return t
+
+    index = lexical.Index.stored(spark, "read once", chunks.select("chunk_id", counted(F.col("content")).alias("content")), ["content"])
+    assert seen.value == 4
+    assert {(r["chunk_id"], r["term"], r["tf"], r["len"]) for r in index.posts.collect()} == {(1, "ete", 1, 3), (1, "ash", 2, 3), (2, "box", 2, 2)}
+    assert {(r["term"], r["df"]) for r in index.terms.collect()} == {("ete", 1), ("ash", 1), ("box", 1)}
+    assert index.total == 4 and index.averages.first()["avglen"] == 5 / 4
