@@ -122,3 +122,11 @@ def test_index_folds_once_and_reads_texts_once(spark):
     assert {(r["chunk_id"], r["term"], r["tf"], r["len"]) for r in index.posts.collect()} == {(1, "ete", 1, 3), (1, "ash", 2, 3), (2, "box", 2, 2)}
     assert {(r["term"], r["df"]) for r in index.terms.collect()} == {("ete", 1), ("ash", 1), ("box", 1)}
     assert index.total == 4 and index.averages.first()["avglen"] == 5 / 4
+
+
+def test_vocabulary_needs_no_postings(spark):
+    chunks = spark.createDataFrame([(1, "Boxes box"), (2, "an ash")], "chunk_id long, content string")
+    assert {r["term"] for r in lexical.stored_words(spark, "few words", chunks, ["content"]).collect()} == {"box", "ash"}
+    assert not store.has(spark, "few words")
+    lexical.Index.stored(spark, "few words", chunks, ["content"])
+    assert {r["term"] for r in lexical.stored_words(spark, "few words", chunks, ["content"]).collect()} == {"box", "ash"}
