@@ -172,6 +172,13 @@ class Index:
         return self.terms.select("term").distinct()
 
 
+def stored_words(spark, name: str, chunks: DataFrame, fields: list[str]) -> DataFrame:
+    """term: the vocabulary of `name`, from its index if this application has built one; else it is stored by itself, for which no postings are made."""
+    if store.has(spark, name):
+        return Index.stored(spark, name, chunks, fields).vocabulary()
+    return store.once(spark, f"{name} words", lambda: {"words": field_terms(chunks, fields).select("term").distinct()})["words"]
+
+
 def _own(asked: DataFrame | list) -> list[tuple[str, str, float]]:
     """A query's own words, which are few, as a list."""
     return asked if isinstance(asked, list) else [(r["term"], r["source"], r["weight"]) for r in asked.collect()]

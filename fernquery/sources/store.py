@@ -28,6 +28,10 @@ def root(spark: SparkSession) -> str:
     return f"{spark.conf.get('spark.sql.warehouse.dir')}/fernquery-store"
 
 
+def has(spark: SparkSession, name: str) -> bool:
+    return (spark.sparkContext.applicationId, name) in _built
+
+
 def once(spark: SparkSession, name: str, build: Callable[[], dict[str, DataFrame | Callable]], partitions: dict[str, list[str]] | None = None) -> dict[str, DataFrame]:
     """The tables that `build` makes, written as a stamped version the first time that this application asks for `name`; see `vault.write_version`."""
     key = (spark.sparkContext.applicationId, name)
