@@ -10,10 +10,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+TASK_BYTES = 4 << 20  # of files, for a task that works on texts in Python
+
+
 def spread(scan: DataFrame) -> DataFrame:
-    """A scan of fewer files than half of the cores, dealt out to all of them: only small tables pay this shuffle."""
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores // 2 else scan
+    """A scan dealt out to all cores, and to tasks of about TASK_BYTES at most. Its own splits don't do: those of a file with one row group are empty but
+    for one. What a task holds at once is then bounded too, whatever the length of texts."""
+    held = int(str(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return scan.repartition(max(scan.sparkSession.sparkContext.defaultParallelism, -(-held // TASK_BYTES)))
 
 
 def note_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fernquery.functions import fields, markup
 from fernquery.operators import lexical, stores
 from fernquery.plans import upkeep  # noqa: F401 - its queries register themselves
+from fernquery.plans.catalog import QUERIES
 from fernquery.sources import store, vault
 
 
@@ -130,3 +131,14 @@ def test_vocabulary_needs_no_postings(spark):
     assert not store.has(spark, "few words")
     lexical.Index.stored(spark, "few words", chunks, ["content"])
     assert {r["term"] for r in lexical.stored_words(spark, "few words", chunks, ["content"]).collect()} == {"box", "ash"}
+
+
+def test_clean_markup_of_odd_texts(spark, tmp_path):
+    """As the SQL has it: an empty text leaves the blank before it, and tabs and wide blanks stay."""
+    texts = ["", "\n \n", "!#", "one\ttwo\u3000 \n three\r\n", "\u00a0x", None, "plain  words"]
+    rows = [(k, t, "en", "src1", len(t or "")) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["seen"], r["lost"]) for r in QUERIES["clean_markup"](spark, str(tmp_path)).collect()}
+    lead = "See src1 and t alt x org p q bold end. "
+    assert [got[k][0] for k in range(7)] == [lead, lead, lead, lead + "one\ttwo\u3000 three\r", lead + "x", None, lead + "plain words"]
+    assert {lost for _, lost in got.values()} == {"a.tiff b.png People/en http://u.v https://www.x.org.uk/p-q?z=1"}
