@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from fernquery.functions import fields, markup
-from fernquery.operators import lexical, stores
+from fernquery.operators import lexical, stores, telemetry
 from fernquery.plans import upkeep  # noqa: F401 - its queries register themselves
 from fernquery.plans.catalog import QUERIES
 from fernquery.sources import store, vault
@@ -142,3 +142,24 @@ def test_clean_markup_of_odd_texts(spark, tmp_path):
     lead = "See src1 and t alt x org p q bold end. "
     assert [got[k][0] for k in range(7)] == [lead, lead, lead, lead + "one\ttwo\u3000 three\r", lead + "x", None, lead + "plain words"]
     assert {lost for _, lost in got.values()} == {"a.tiff b.png People/en http://u.v https://www.x.org.uk/p-q?z=1"}
+
+
+def test_overlaps_without_pairs(spark):
+    """Against all pairs, with open spans, points and ties; and rows that all overlap are not paired."""
+    rng = random.Random(4)
+    ends = lambda x: x + rng.choice([0, 1, 3, 30, 400])
+    spans = [(f"c{k}", x := rng.randint(0, 300), None if k % 40 == 0 else ends(x)) for k in range(150)]
+    tasks = [(k, x := rng.randint(0, 300), ends(x)) for k in range(150)]
+    want = {}
+    for t, a, b in tasks:
+        found = [(min(b, 1 << 62 if e is None else e) - max(a, s), s, c) for c, s, e in spans if s < b and (e is None or a < e)]
+        if found:
+            best = max(found)
+            want[t] = (best[2], best[0])
+    frames = spark.createDataFrame(spans, "context string, start long, end long"), spark.createDataFrame(tasks, "task_id long, start long, end long")
+    for slot in (1, 7, 3600):
+        assert {r["task_id"]: (r["context"], r["overlap"]) for r in telemetry.overlaps(*frames, slot).collect()} == want
+    dense = spark.range(2000).selectExpr("id context", "id start", "id + 5000 end")
+    found = telemetry.overlaps(dense, dense.withColumnRenamed("context", "task_id"))
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString().replace("Join Cross", "")
+    assert all(r["task_id"] == r["context"] for r in found.collect())
