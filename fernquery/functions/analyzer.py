@@ -34,6 +34,11 @@ NOUNS_IN_IE = (
 SPLIT = "[\\n\\r\\p{Z}\\p{P}\\p{Sm}]+"
 POSSESSIVE = "(?<=\\p{L})['’][sS](?![\\p{L}\\p{N}])"
 GLUE = "-/.'’_"
+_POSSESSIVE = regex.compile(POSSESSIVE)
+_CAMEL = regex.compile(r"\p{Lu}+(?=\p{Lu}\p{Ll})|\p{Lu}?[\p{Ll}\p{N}\p{M}]+|\p{Lu}+[\p{N}]*|[^\p{Lu}\p{Ll}]+")
+_PIECE = regex.compile(r"([^\n\r\p{Z}\p{P}\p{Sm}]+)|([\n\r\p{Z}\p{P}\p{Sm}]+)")
+_MARKS = regex.compile(r"\p{M}+")
+_HANGUL = regex.compile(r"\p{Hangul}")
 _CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]")
 _BIGRAM = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー]+|\p{Hangul}+|[^\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]+")
 
@@ -87,12 +92,12 @@ def term(token: Column, keep_stopwords: bool = False) -> Column:
 
 
 def has_cjk(text: str) -> bool:
-    return bool(_CJK.search(text))
+    return not text.isascii() and bool(_CJK.search(text))
 
 
 def fold_text(text: str) -> str:
     text = text.lower()
-    return text if has_cjk(text) else regex.sub(r"\p{M}+", "", unicodedata.normalize("NFD", text))
+    return text if has_cjk(text) else _MARKS.sub("", unicodedata.normalize("NFD", text))
 
 
 def singular_text(w: str) -> str:
@@ -113,7 +118,7 @@ def segments(fragment: str) -> list[str]:
         return [fragment]
     out: list[str] = []
     for run in _BIGRAM.findall(fragment):
-        if has_cjk(run) and not regex.match(r"\p{Hangul}", run) and len(run) > 2:
+        if has_cjk(run) and not _HANGUL.match(run) and len(run) > 2:
             out += [run[k : k + 2] for k in range(len(run) - 1)]
         else:
             out.append(run)
@@ -122,13 +127,17 @@ def segments(fragment: str) -> list[str]:
 
 def camel_parts(token: str) -> list[str]:
     """Parts at lower-to-upper changes and before the last capital of an acronym; letters and digits never part."""
-    parts = regex.findall(r"\p{Lu}+(?=\p{Lu}\p{Ll})|\p{Lu}?[\p{Ll}\p{N}\p{M}]+|\p{Lu}+[\p{N}]*|[^\p{Lu}\p{Ll}]+", token)
+    if token.isascii() and token.isalnum() and (token.islower() or token.isdigit()):
+        return []
+    parts = _CAMEL.findall(token)
     return parts if len(parts) > 1 and "".join(parts) == token else []
 
 
 def tokenize(text: str, derived: bool = True) -> list[str]:
     """Canonical tokens; with derived, camel-case parts after a token and glued compounds after a run."""
-    text = regex.sub(r"(?<=\p{L})['’][sS](?![\p{L}\p{N}])", "", text or "")
+    text = text or ""
+    if "'" in text or "’" in text:
+        text = _POSSESSIVE.sub("", text)
     out: list[str] = []
     run: list[str] = []
 
@@ -137,9 +146,8 @@ def tokenize(text: str, derived: bool = True) -> list[str]:
             out.append("".join(run))
         run.clear()
 
-    for piece in regex.finditer(r"([^\n\r\p{Z}\p{P}\p{Sm}]+)|([\n\r\p{Z}\p{P}\p{Sm}]+)", text):
-        word, gap = piece.groups()
-        if word is None:
+    for word, gap in _PIECE.findall(text):
+        if not word:
             if any(c not in GLUE for c in gap):
                 flush()
         elif has_cjk(word):

@@ -163,3 +163,16 @@ def test_overlaps_without_pairs(spark):
     found = telemetry.overlaps(dense, dense.withColumnRenamed("context", "task_id"))
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString().replace("Join Cross", "")
     assert all(r["task_id"] == r["context"] for r in found.collect())
+
+
+def test_one_row_group_is_dealt_to_all_cores(spark):
+    """Splits of a file with one row group are empty but for one, however many there are; and a task's share is bounded."""
+    from fernquery.sources import tables
+
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")
+    try:
+        rows = tables.read(spark, "/root/testdata/sf0.001", "documents")
+        assert rows.rdd.getNumPartitions() > 4 and rows.select(F.spark_partition_id()).distinct().count() == 1
+        assert tables.spread(rows).select(F.spark_partition_id()).distinct().count() == 4
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
